@@ -35,10 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

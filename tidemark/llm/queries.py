@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, simhash
+from tidemark.llm import linededup, mixing, quality, rules, simhash, vectors, warc
+from tidemark.llm.common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,36 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = materialize(warc.write_archives(table(spark, sf_dir, "pages"), min_revisit_bytes=0), "warc", "zstd")
+    return warc.read_archives(archive).drop("url")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.clean(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *rules.BASE, "base_failed", "kept", "n_bad_lines", "lost_chars")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_embeddings": op3_embeddings,
+    "op4_warc": op4_warc,
+    "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
+    "op8_quality_rules": op8_quality_rules,
     "op7_simhash": op7_simhash,
 }
 
