@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, quality, rules, simhash, vectors, warc
+from tidemark.llm import linededup, mixing, quality, rules, simhash, substrings, vectors, warc
 from tidemark.llm.common import materialize
 
 
@@ -46,6 +46,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", "n_bad_lines", "lost_chars")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_embeddings": op3_embeddings,
@@ -53,9 +58,11 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op8_quality_rules": op8_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
     "op7_simhash": op7_simhash,
 }
 
+_GAP = r"'[\x20\x09-\x0D]+'"
 _SPACE = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -70,4 +77,19 @@ select l.doc_id, count(*) as n_lines, count(c.key) as n_dropped,
   sha256(coalesce(string_agg(l.line, chr(10) order by l.i) filter (c.key is null), '')) as kept_sha256
 from lines l left join common c on l.key = c.key
 group by l.doc_id""",
+    "op10_substring_dedup": f"""
+with words as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), {_GAP}), lambda x: x <> '') as w from documents),
+windows as (
+  select doc_id, i, hash(array_to_string(w[i:i+12], ' ')) as h, md5(array_to_string(w[i:i+12], ' ')) as m
+  from words, unnest(range(1, len(w) - 11)) as t(i)),
+first as (select h, m, min(doc_id) as owner from windows group by h, m having min(doc_id) < max(doc_id)),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as p
+  from windows join first using (h, m) where owner < doc_id),
+each as (select doc_id, p, w[p] as word from words, unnest(range(1, len(w) + 1)) as t(p))
+select d.doc_id, len(d.w) as n_words, count(g.p) as n_removed,
+  sha256(coalesce(string_agg(e.word, ' ' order by e.p) filter (g.p is null), '')) as kept_sha256
+from words d left join each e using (doc_id) left join gone g on g.doc_id = e.doc_id and g.p = e.p
+group by d.doc_id, d.w""",
 }
