@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, quality, rules, simhash, substrings, vectors, warc
+from tidemark.llm import linededup, lm, mixing, quality, rules, simhash, substrings, vectors, warc
 from tidemark.llm.common import materialize
 
 
@@ -46,6 +46,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", "n_bad_lines", "lost_chars")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents")).drop("n_bytes")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
     "op7_simhash": op7_simhash,
 }
