@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, lm, mixing, quality, rules, simhash, substrings, vectors, warc
+from tidemark.llm import linededup, lm, mixing, pieces, quality, rules, simhash, substrings, vectors, warc
 from tidemark.llm.common import materialize
 
 
@@ -23,6 +23,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(model or tokenizer_path())
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -57,6 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_embeddings": op3_embeddings,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
