@@ -1,4 +1,4 @@
-"""Connected components of a link table by label propagation with pointer jumping."""
+"""Connected components of a link table by contraction."""
 
 from __future__ import annotations
 
@@ -11,37 +11,31 @@ from tidemark.llm.common import materialize
 def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest id reachable.
 
-    Each round takes the smallest label among a node's neighbours and then that label's own
-    label, so that long chains shrink quickly. Tables between rounds are written to the shared
-    folder: a hub's edges meet its one label in a join of two plain exchanges, which AQE splits.
-    Only a sum comes to the driver.
+    Each round every node takes its smallest neighbour or itself as its label, then that label's
+    label until none moves; edges are redrawn between labels and those inside one label go, so that
+    a dense group's edges are gone after a round and the labels left at least halve in each. Tables between rounds are written to the shared folder:
+    a hub's edges meet its one label in a join of two plain exchanges, which AQE splits.
     """
-    edges = edges.where("a <> b")
-    both = materialize(
-        edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"), "edges"
-    )
-    labels = materialize(
-        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")),
-        "labels",
-    )
-
-    def total(df: DataFrame):
-        return df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-
-    before = total(labels)
-    for _ in range(rounds if before is not None else 0):
-        near = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
-        least = near.union(labels).groupBy("node").agg(F.min("label").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = materialize(
-            least.join(up, "label", "left").select("node", F.least("label", "up").alias("label")),
-            "labels",
-        )
-        after = total(labels)
-        if after == before:
-            break
-        before = after
-    else:
-        if before is not None:
-            raise RuntimeError(f"no fixed point after {rounds} rounds")
-    return labels.select("node", F.col("label").alias("component"))
+    drawn = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    out = None
+    for _ in range(rounds):
+        if drawn.isEmpty() and out is not None:
+            return out.select("node", F.col("label").alias("component"))
+        both = drawn.union(drawn.select("b", "a")).toDF("node", "near")
+        first = both.groupBy("node").agg(F.min("near").alias("near"))
+        first = materialize(first.select("node", F.least("node", "near").alias("label")), "labels")
+        labels, moved = first, True
+        while moved:
+            up = labels.toDF("label", "up")
+            jumped = labels.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved"))
+            jumped = materialize(jumped, "labels")
+            labels, moved = jumped.select("node", "label"), not jumped.where("moved").isEmpty()
+        a, b = labels.toDF("a", "x"), labels.toDF("b", "y")
+        ends = drawn.join(a, "a").join(b, "b").where("x <> y")
+        drawn = materialize(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if out is None:
+            out = labels
+        else:
+            up = labels.toDF("label", "up")
+            out = materialize(out.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "components")
+    raise RuntimeError(f"links are left after {rounds} rounds")
