@@ -15,6 +15,7 @@ have few children; matches that don't start on a word are skipped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -35,16 +36,12 @@ PASSAGE = 512
 BASE = 64
 
 
-class _Numbers(dict):
-    """word -> running number, and the words' hashes by number."""
-
-    def __init__(self) -> None:
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return n
+def numbered(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word in turn, equal words alike, and the hashes of the words by number."""
+    distinct = dict.fromkeys(chain.from_iterable(words))  # in order of appearance, which keeps lookups local
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+    number = dict(zip(distinct, range(len(distinct)), strict=True))
+    return np.fromiter(map(number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sum(map(len, words))), hashes
 
 
 class Shard:
@@ -53,17 +50,16 @@ class Shard:
     def __init__(self, ids: list, texts: list[bytes], window: int, passage: int = PASSAGE):
         self.window, self.passage = window, max(passage, window)
         self.ids = np.array([LAST if i is None else i for i in ids], dtype=np.int64)
-        numbers = _Numbers()
         self.words = [t.split() for t in texts]
         sizes = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.numbers = np.fromiter((numbers[w] for ws in self.words for w in ws), dtype=np.int64, count=int(sizes.sum()))
-        self.distinct = len(numbers)
+        self.numbers, hashes = numbered(self.words)
+        self.distinct = len(hashes)
         self.start = np.concatenate(([0], np.cumsum(sizes)))
         counts = np.maximum(sizes - window + 1, 0)
         self.doc = np.repeat(np.arange(len(sizes)), counts)
         first = np.concatenate(([0], np.cumsum(counts)))
         self.at = np.arange(len(self.doc)) - first[self.doc] + self.start[self.doc]
-        hashed = np.array(numbers.hashes, dtype=np.uint64)[self.numbers] if len(self.numbers) else np.empty(0, dtype=np.uint64)
+        hashed = hashes[self.numbers]
         code = np.zeros(max(0, len(hashed) - window + 1), dtype=np.uint64)
         for i in range(window):
             code *= np.uint64(0x9E3779B97F4A7C15)
