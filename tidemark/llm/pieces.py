@@ -165,14 +165,16 @@ def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(bucket, unit, spans) for distinct units of at most LONGEST characters, U+2581 for spaces.
 
     spans has start << 20 | id of each piece, in any order; characters without a piece have none,
-    and units without any edge are left out. With units partitioned by bucket, neither the explode
+    nor have lone characters under merges, which only join two pieces or more, and units without
+    any edge are left out. With units partitioned by bucket, neither the explode
     nor the broadcast join moves rows, and grouping needs no further shuffle.
     """
     pieces = _table(units.sparkSession, vocabulary)
     longest = max((len(p) for p, _, _ in vocabulary.normal()), default=1)
     n = F.char_length("unit")
-    starts = units.select("bucket", "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    cut = starts.select("bucket", "unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("k"))
+    least = 1 if vocabulary.unigram else 2
+    starts = units.where(n >= least).select("bucket", "unit", F.explode(F.sequence(F.lit(0), n - least)).alias("s"))
+    cut = starts.select("bucket", "unit", "s", F.explode(F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.lit(longest), n - F.col("s"))))).alias("k"))
     edges = cut.withColumn("piece", F.substr("unit", F.col("s") + 1, F.col("k"))).join(pieces, "piece")
     s, e = F.col("s"), F.col("s") + F.col("k")
     if vocabulary.unigram:
@@ -198,18 +200,21 @@ class Helper:
         """Byte pieces, or one unknown id where the vocabulary has none."""
         return [self.bytes[b] for b in char.encode()] if "byte" in self.kinds else [self.unk]
 
+    def lone(self, char: str) -> list[int]:
+        return [self.at[char][1]] if char in self.at else self.spell(char)
+
     def fill(self, unit: str, spans: list[int]) -> list[int]:
-        """The ids of a unit from the lattice's spans; characters without one are spelled in bytes."""
+        """The ids of a unit from the lattice's spans; characters between them stand alone."""
         out: list[int] = []
         pos = 0
         for x in sorted(spans):
             for char in unit[pos : x >> 20]:
-                out += self.spell(char)
+                out += self.lone(char)
             i = x & 0xFFFFF
             out.append(i)
             pos = (x >> 20) + len(self.pieces[i])
         for char in unit[pos:]:
-            out += self.spell(char)
+            out += self.lone(char)
         return out
 
     def encode(self, unit: str) -> list[int]:
@@ -259,21 +264,48 @@ def bucket_of(unit: bytes, bits: int) -> int:
     return xxhash.xxh64_intdigest(unit) >> (64 - bits)
 
 
-def by_bucket(texts: list[bytes], bits: int) -> list[tuple[int, list[bytes]]]:
-    """The distinct units of texts, newlines aside, sorted within each bucket."""
+def by_bucket(cut: list[list[bytes]], bits: int) -> list[tuple[int, list[bytes]]]:
+    """The distinct units of cut texts, newlines aside, sorted within each bucket."""
     found: dict[int, list[bytes]] = {}
-    for u in {u for t in texts for u in units_of(t)} - {b"\n"}:
+    for u in set().union(*cut) - {b"\n"}:
         found.setdefault(bucket_of(u, bits), []).append(u)
     return [(b, sorted(found[b])) for b in sorted(found)]
 
 
+class Ragged:
+    """Lists of ids in one array."""
+
+    def __init__(self, size: np.ndarray, flat: np.ndarray):
+        self.size, self.flat = size.astype(np.int64), flat
+        self.start = np.cumsum(self.size) - self.size
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Ragged:
+        return cls(np.array([len(x) for x in lists], dtype=np.int64), np.array([i for x in lists for i in x], dtype="<u4"))
+
+    def take(self, places: np.ndarray) -> Ragged:
+        size = self.size[places]
+        at = np.repeat(self.start[places] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        return Ragged(size, self.flat[at])
+
+    def dumps(self) -> bytes:
+        return np.concatenate([np.array([len(self.size)], dtype="<u4"), self.size.astype("<u4"), self.flat]).tobytes()
+
+    @classmethod
+    def loads(cls, data: bytes) -> Ragged:
+        flat = np.frombuffer(data, dtype="<u4")
+        n = int(flat[0])
+        return cls(flat[1 : n + 1], flat[n + 1 :])
+
+
 def _ask(bits: int, batch_bytes: int):
     """mapInArrow body: each batch's distinct units by bucket; newlines separate them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch, _, texts in doc_batches(rows, batch_bytes):
-            out = [(b, batch, squeeze.compress(b"\n".join(units))) for b, units in by_bucket(texts, bits)]
+            out = [(b, batch, squeeze.compress(b"\n".join(units))) for b, units in by_bucket([units_of(t) for t in texts], bits)]
             for at in range(0, len(out), 64):
                 b, k, u = zip(*out[at : at + 64], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(u, pa.binary())], ["bucket", "batch", "units"])
@@ -313,16 +345,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, batch_bytes: int = BATCH_BYT
         helper = Helper(shared.value)
         known = dict(zip(right["unit"], right["spans"], strict=True))
         squeeze = zstandard.ZstdCompressor(level=3)
-        out = []
-        for bucket, batch, data in zip(left["bucket"], left["batch"], left["units"], strict=True):
-            each = []
-            for u in map(written, _opened(data)):
-                spans = known.get(u)
-                each.append(helper.encode(u) if spans is None else helper.fill(u, spans.tolist()))
-            size = np.array([len(x) for x in each], dtype="<u4")
-            flat = np.array([i for x in each for i in x], dtype="<u4")
-            out.append((batch, bucket, squeeze.compress(np.concatenate([np.array([len(size)], dtype="<u4"), size, flat]).tobytes())))
-        return pd.DataFrame(out, columns=["batch", "bucket", "ids"])
+        place: dict[bytes, int] = {}
+        asked_for = []
+        for data in left["units"]:
+            asked_for.append(np.array([place.setdefault(u, len(place)) for u in _opened(data)], dtype=np.int64))
+        each = []
+        for u in map(written, place):
+            spans = known.get(u)
+            each.append(helper.encode(u) if spans is None else helper.fill(u, spans.tolist()))
+        ids = Ragged.of(each)
+        data = [squeeze.compress(ids.take(x).dumps()) for x in asked_for]
+        return pd.DataFrame({"batch": left["batch"], "bucket": left["bucket"], "ids": data})
 
     answers = asked.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(answer, "batch long, bucket long, ids binary")
 
@@ -333,18 +366,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, batch_bytes: int = BATCH_BYT
         frames = []
         for data in left["docs"]:
             table = unpack(data)
-            texts = table["text"].to_pylist()
-            ids_of = {b"\n": newline}
-            for b, units in by_bucket(texts, bits):
-                flat = np.frombuffer(opened.decompress(answers[b]), dtype="<u4")
-                n = int(flat[0])
-                if n != len(units):
+            cut = [units_of(t) for t in table["text"].to_pylist()]
+            place, parts = {b"\n": 0}, [Ragged.of([newline])]
+            for b, units in by_bucket(cut, bits):
+                parts.append(Ragged.loads(opened.decompress(answers[b])))
+                if len(parts[-1].size) != len(units):
                     raise RuntimeError("docs read differently the second time; write them first")
-                ends = np.cumsum(flat[1 : n + 1])
-                for u, x in zip(units, np.split(flat[n + 1 :], ends[:-1]), strict=True):
-                    ids_of[u] = x
-            empty = np.empty(0, dtype=np.int32)
-            ids = [np.concatenate([ids_of[u] for u in units_of(t)] or [empty]).astype(np.int32) for t in texts]
+                place.update(zip(units, range(len(place), len(place) + len(units)), strict=True))
+            known = Ragged(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("size", "flat")))
+            n_units = np.array([len(x) for x in cut], dtype=np.int64)
+            found = known.take(np.fromiter((place[u] for x in cut for u in x), dtype=np.int64, count=int(n_units.sum())))
+            ends = np.concatenate(([0], np.cumsum(found.size)))[np.cumsum(n_units)]
+            ids = np.split(found.flat.astype(np.int32), ends[:-1])
             frames.append(pd.DataFrame({"doc_id": pd.array(table["doc_id"].to_pylist(), dtype="Int64"), "ids": ids}))
         return pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], "ids": []})
 
