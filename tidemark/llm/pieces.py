@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import doc_batches, materialize, only
+from tidemark.llm.common import doc_batches, only
 from tidemark.llm.substrings import bucket_bits, packed, unpack
 
 SPACE = "▁"
@@ -335,7 +335,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, batch_bytes: int = BATCH_BYT
     rows = only(docs, "doc_id", "text")
     full = rows.where("text is not null")
     bits = bucket_bits(full)
-    asked = materialize(full.mapInArrow(_ask(bits, batch_bytes), "bucket long, batch long, units binary"), "units", "uncompressed")
+    asked = full.mapInArrow(_ask(bits, batch_bytes), "bucket long, batch long, units binary")  # one exchange, used twice
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = asked.groupBy("bucket").applyInPandas(_distinct, "bucket long, unit string").repartition(tasks, "bucket")
     found = lattice(units, vocabulary)
