@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tidemark import catalog
-from tidemark.operators import scan, sync
+from tidemark.operators import scan, sync, upsert
 from tidemark.streaming import dedup
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,16 @@ def test_streaming_dedup_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r.event_id for r in got.collect()} == {r.event_id for r in catalog.webhook_dedup(spark, SF).collect()}
     assert got.count() == got.select("event_id").distinct().count()
+
+
+def test_naive_caller_gets_21_of_83_calls_through(spark):
+    rows = catalog.rate_window_admission(spark, SF).orderBy("call_no").collect()
+    assert sum(r.wait == 0 for r in rows) == 21 and rows[-1].call_at == 4.15 and rows[-1].wait == 0
+
+
+def test_store_rejects_older_versions_and_keeps_marks(spark):
+    log = [(1, 5, 1, False), (1, 2, 2, False), (2, 1, 1, False), (2, 0, 2, True), (3, 1, 1, False), (3, 0, 2, True), (3, 1, 3, False),
+           (4, 0, 1, True), (5, 3, 1, False), (5, 0, 2, True), (5, 2, 3, False)]
+    df = spark.createDataFrame(log, "k long, version long, no long, mark boolean")
+    got = {r.k: (r.version, r.deleted) for r in upsert.apply_log(df, "k", "version", "no", "mark").collect()}
+    assert got == {1: (5, False), 2: (1, True), 3: (1, False), 5: (3, True)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog_sql import ORACLES  # noqa: F401
 from tidemark.functions.draws import bucket, draw
 from tidemark.functions.ranks import percentiles
-from tidemark.operators import channel, limits, reconcile, report, scan, sync
+from tidemark.operators import channel, limits, reconcile, report, scan, sync, upsert
 from tidemark.sources import fixtures
 from tidemark.sources.fixtures import HORIZON, INTERVAL, table
 
@@ -314,11 +314,32 @@ def access_pattern_cost(spark, sf):
 
 
 def fixed_sleep_schedule(spark, sf):
-    return limits.fixed_sleep(spark, 200, 2.5).select(F.col("call_no").cast("long").alias("call_no"), F.bround("at", 6).alias("at"), F.bround("wait", 6).alias("wait"))
+    return limits.fixed_sleep(spark, 200, 2.5).select(F.col("call_no").cast("long").alias("call_no"), F.bround("at", 6).alias("call_at"), F.bround("wait", 6).alias("wait"))
 
 
 def token_bucket_schedule(spark, sf):
-    return limits.token_bucket(spark, 200, 2.5, 2.5).select(F.col("call_no").cast("long").alias("call_no"), F.bround("at", 6).alias("at"), F.bround("wait", 6).alias("wait"))
+    return limits.token_bucket(spark, 200, 2.5, 2.5).select(F.col("call_no").cast("long").alias("call_no"), F.bround("at", 6).alias("call_at"), F.bround("wait", 6).alias("wait"))
+
+
+def rate_window_admission(spark, sf):
+    """The naive caller against 5 calls a second: 83 attempts, of which 21 get through."""
+    out = limits.window_admission(spark, 83, 5, 1.0)
+    return out.select(F.col("call_no").cast("long").alias("call_no"), F.bround("at", 6).alias("call_at"), F.bround("wait", 6).alias("wait"))
+
+
+def score(spark, sf):
+    return sync.score(_compared(spark, sf, [("a", 120.0, True)]))
+
+
+def local_live(spark, sf):
+    return _local(spark, sf)
+
+
+def store_state(spark, sf):
+    """What a versioned store holds after upserts and delete marks (error events) in arrival order."""
+    kinds = table(spark, sf, "events").select(F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("mark"))
+    log = _arrivals(spark, sf).join(kinds, "version")
+    return upsert.apply_log(log, "user_id", "version", "arrival_no", "mark")
 
 
 def bar_chart_kinds(spark, sf):
@@ -350,7 +371,7 @@ deletes_forgotten manifest_md5 pass_watermarks overlap_reads timestamp_only_page
 mitigation_ladder overlap_sweep overlap_knee score_by_kind attribute_wrong drift_report count_check
 partitioned_checksum full_id_inventory recon_matrix webhook_deliveries webhook_dedup channel_stats
 subscription_disable detection_latency latency_percentiles webhook_poll_delta upsert_latest out_of_order_rejects
-redundant_upserts resurrections access_pattern_cost fixed_sleep_schedule token_bucket_schedule bar_chart_kinds
+redundant_upserts resurrections store_state score local_live rate_window_admission access_pattern_cost fixed_sleep_schedule token_bucket_schedule bar_chart_kinds
 ext_loss_rollup ext_change_rate_window ext_record_sessions
 """.split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -98,7 +98,7 @@ _ARRIVALS = f"""arrivals as (select user_id, value, event_id as version, (event_
 def _fold(init: str, wait: str, rest: str) -> str:
     return f"""with recursive s as (select 0::BIGINT as call_no, 0.0::DOUBLE as t, 0.0::DOUBLE as wait, {init}
   union all select call_no + 1, t + w + 0.05::DOUBLE, w, {rest} from (select *, {wait} as w from s where call_no < 200))
-select call_no, round_even(t, 6) as at, round_even(wait, 6) as wait from s where call_no > 0"""
+select call_no, round_even(t, 6) as call_at, round_even(wait, 6) as wait from s where call_no > 0"""
 
 
 ORACLES: dict[str, str] = {
@@ -188,7 +188,21 @@ runs as (select *, sum(down::INT) over (partition by island order by seq) as run
   union all select call_no + 1, t + w + 0.05::DOUBLE, w, greatest(have, 1.0::DOUBLE) - 1.0::DOUBLE, t + w from (
     select *, case when have >= 1 then 0.0::DOUBLE else (1.0::DOUBLE - have) / 2.5::DOUBLE end as w from (
       select *, least(2.5::DOUBLE, tokens + (t - last) * 2.5::DOUBLE) as have from s where call_no < 200)))
-select call_no, round_even(t, 6) as at, round_even(wait, 6) as wait from s where call_no > 0""",
+select call_no, round_even(t, 6) as call_at, round_even(wait, 6) as wait from s where call_no > 0""",
+    "rate_window_admission": """with recursive s as (select 0::BIGINT as call_no, 0.0::DOUBLE as t, 0.0::DOUBLE as wait, []::DOUBLE[] as recent
+  union all select call_no + 1, now, case when free then 0.0::DOUBLE else greatest(0.001::DOUBLE, list_min(held) + 1.0::DOUBLE - now) end,
+    case when free then list_append(held, now) else held end from (
+      select *, len(held) < 5 as free from (
+        select call_no, t + 0.05::DOUBLE as now, list_filter(recent, lambda x: x > t + 0.05::DOUBLE - 1.0::DOUBLE) as held from s where call_no < 83)))
+select call_no, round_even(t, 6) as call_at, round_even(wait, 6) as wait from s where call_no > 0""",
+    "score": _with("select * from score", _reads("one")),
+    "local_live": _with("select * from copy", _reads("one"), _LOCAL),
+    "store_state": f"""with log as (select user_id, event_type = 'error' as mark, event_id as version,
+  (event_id + {_d('late', 'event_id')} % 50) * 1000000000 + event_id as arrival_no from events),
+sent as (select *, max(version) over (partition by user_id order by arrival_no rows between unbounded preceding and 1 preceding) as was from log where not mark),
+kept as (select user_id, max(version) as version, max(arrival_no) as written from sent where was is null or version >= was group by 1),
+gone as (select user_id, max(arrival_no) as marked from log where mark group by 1)
+select user_id, version, coalesce(marked > written, false) as deleted from kept left join gone using (user_id)""",
     "bar_chart_kinds": _with("""select kind as label, rpad(kind, wide::INT, ' ') || '  ' || rpad(repeat('#', case when n = 0 then 0 else greatest(1, round_even(44 * n / top::DOUBLE, 0)::INT) end), 44, ' ') || ' ' || n as line
   from (select *, max(n) over () as top, max(length(kind)) over () as wide from (select kind, count(*) as n from mut group by kind))"""),
     "ext_loss_rollup": _with("""select kind, hour, count(*) as n, grouping(kind, hour)::BIGINT as level

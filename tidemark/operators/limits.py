@@ -33,3 +33,15 @@ def token_bucket(spark: SparkSession, calls: int, rate: float, capacity: float)
     return _fold(spark, calls, f"'tokens', {capacity!r}D, 'last', 0D",
                  f"named_struct('t', s.t + {wait} + {LATENCY}D, 'tokens', {left}, 'last', s.t + {wait}, "
                  f"'log', concat(s.log, array(named_struct('call_no', i, 'at', s.t + {wait} + {LATENCY}D, 'wait', {wait}))))")
+
+
+def window_admission(spark: SparkSession, attempts: int, limit: int, window: float) -> DataFrame:
+    """An attempt every LATENCY seconds by a caller that never waits. One is admitted if fewer than
+    ``limit`` were in the window before it; wait is what a rejected one is told to wait, else 0."""
+    now = f"(s.t + {LATENCY}D)"
+    recent = f"filter(s.recent, x -> x > {now} - {window!r}D)"
+    free = f"size({recent}) < {limit}"
+    told = f"if({free}, 0D, greatest(0.001D, array_min({recent}) + {window!r}D - {now}))"
+    return _fold(spark, attempts, "'recent', cast(array() as array<double>)",
+                 f"named_struct('t', {now}, 'recent', if({free}, concat({recent}, array({now})), {recent}), "
+                 f"'log', concat(s.log, array(named_struct('call_no', i, 'at', {now}, 'wait', {told}))))")
