@@ -225,6 +225,15 @@ def _verify(threshold: float):
     return run
 
 
+def _sample(classes: DataFrame, n: int) -> list[list[float]]:
+    """About SAMPLE of the n embeddings, all if there are no more, in the order of a hash of rep. They
+    are picked by the hash before they reach the driver: a top-k would send SAMPLE rows of each partition."""
+    picked = classes.select(F.xxhash64("rep").alias("h"), "rep", "embedding")
+    if n > SAMPLE:
+        picked = picked.where(F.pmod("h", F.lit(1 << 40)) < (SAMPLE << 40) // n)
+    return [r["embedding"] for r in sorted(picked.collect(), key=lambda r: (r["h"], r["rep"]))]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.995, cells: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
@@ -235,13 +244,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     """
     each, classes = _classes(vectors)
     classes = classes.where("rep is not null")
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()
-    if not sample:
-        return each.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     n = classes.count()
+    if not n:
+        return each.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    sample = _sample(classes, n)
     if cells is None:
         cells = int(min(256, max(4, 2 ** round(np.log2(np.sqrt(n / 16) + 1)))))
-    index = MultiIndex(np.array([r[0] for r in sample], dtype=float), cells, threshold, recall)
+    index = MultiIndex(np.array(sample, dtype=float), cells, threshold, recall)
     spark = vectors.sparkSession
     fitted = spark.sparkContext.broadcast(index)  # two codebooks of at most 256 rows
 
