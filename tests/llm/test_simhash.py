@@ -95,3 +95,45 @@ def test_nulls_and_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_first(docs).count() == 3
+
+
+def slow_shingles(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def slow_similar(texts, least=0.8):
+    label = list(range(len(texts)))
+    sets = [slow_shingles(t or "") for t in texts]
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[j] < label[i] and (a == b or len(a & b) >= least * len(a | b)):
+                    label[i], changed = label[j], True
+    return label
+
+
+@pytest.mark.parametrize("group", [2048, 5])
+def test_pipeline_stage_matches_brute_force_jaccard(spark, monkeypatch, group):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(12):
+        text = ["w%d" % i for i in rng.integers(0, 3000, 100)]
+        for copy in range(8):
+            t = list(text)
+            for at in rng.integers(0, 100, copy):
+                t[at] = "edit%d" % copy
+            rows.append((len(rows), " ".join(t)))
+    rows += [(500, None), (501, " "), (502, rows[0][1].upper()), (503, "one two"), (504, "One two")]
+    label = slow_similar([t for _, t in rows])
+    want = [r[0] for i, r in enumerate(rows) if label[i] == i]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+    bits = simhash.keep_first(docs, 5, 4)
+    assert bits.count() > len(want)  # one changed word in 100 is past four bits

@@ -245,3 +245,133 @@ def keep_first(docs: DataFrame, shingle: int = 5, tau: int = 4) -> DataFrame:
     if not keep.where("n_same > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+#: Bands of minima and minima a band: at Jaccard 0.8 a pair shares no band with chance (1 - 0.8^5)^32, 3 in a million.
+BANDS, ROWS = 32, 5
+FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Documents and bytes of text of a candidate group that one task holds.
+GROUP, GROUP_BYTES = 2048, 16 << 20
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1])).tolist()
+    k = min(shingle, len(words))
+    hash_of = xxhash.xxh64_intdigest
+    return np.unique(np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], dtype=np.uint64))
+
+
+def class_of(found: np.ndarray) -> int:
+    """Names a set of shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A set's band keys; two sets agree on a band's minima with chance Jaccard^ROWS."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(found), 4096):
+        np.minimum(least, (found[at : at + 4096, None] * FACTORS).min(axis=0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def similar_forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places of links that connect what pairs sharing a band, of Jaccard least or more, connect."""
+    sizes = np.array([len(s) for s in sets])
+    rest = np.arange(len(sets))
+    queue: list[int] = []
+    out = []
+    while len(rest):
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+        here = queue.pop()
+        near = rest[(keys[rest] == keys[here]).any(axis=1)]
+        near = near[np.minimum(sizes[near], sizes[here]) >= least * np.maximum(sizes[near], sizes[here])]
+        if not len(near):
+            continue
+        both = np.isin(np.concatenate([sets[i] for i in near]), sets[here])
+        both = np.add.reduceat(both, np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
+        hit = near[both >= least * (sizes[near] + sizes[here] - both)]
+        out += [(here, int(i)) for i in hit]
+        queue += hit.tolist()
+        rest = np.setdiff1d(rest, hit, assume_unique=True)
+    return out
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class) per row and (rep, component) per class of equal shingle sets that has an id.
+
+    Classes are linked if the Jaccard similarity of their sets is least or more, by the sets
+    themselves. Classes that share a band with another form candidate groups, by links to each
+    band's smallest class; each group's texts come together once and are compared within. A group
+    over GROUP documents or GROUP_BYTES is dealt out in pairs of chunks.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            sets = [shingles(t or b"", shingle) for t in column(batch, "text")]
+            keys = [bands(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "class", "keys"],
+            )
+
+    texts = only(docs, "doc_id", "text")
+    each = materialize(texts.mapInArrow(run, "doc_id long, class long, keys array<long>"), "shingled")
+    classes = each.where("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    classes = materialize(classes, "classes")
+    keyed = classes.select(F.explode("keys").alias("key"), "rep")
+    pivots = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    met = materialize(keyed.join(pivots, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "met")
+    groups = connected(met).toDF("rep", "group")
+    members = groups.join(classes, "rep").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "class", "keys", "text")
+    members = materialize(members, "members")
+    parts = members.groupBy("group").agg(
+        F.ceil(F.greatest(F.count("*") / GROUP, F.sum(F.octet_length("text")) / GROUP_BYTES)).cast("int").alias("n")
+    )
+    mine = F.pmod(F.xxhash64("class"), F.col("n")).cast("int")
+    dealt = (
+        members.join(parts, "group")
+        .withColumn("c", mine)
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .select("group", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "rep", "class", "keys", "text")
+    )
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets, reps, keys = [], [], []
+        for rep, name, own, text in zip(pdf["rep"], pdf["class"], pdf["keys"], pdf["text"]):
+            found = shingles((text or "").encode(), shingle)
+            if class_of(found) == name:  # rows with one id may have other texts
+                sets.append(found)
+                reps.append(rep)
+                keys.append(own)
+        links = similar_forest(sets, np.array(keys, dtype=np.int64).reshape(-1, BANDS), least)
+        return pd.DataFrame({"a": [reps[i] for i, _ in links], "b": [reps[i] for _, i in links]}, dtype="int64")
+
+    linked = materialize(dealt.groupBy("group", "lo", "hi").applyInPandas(pair, "a long, b long").distinct(), "pairs")
+    found = connected(linked).toDF("rep", "component")
+    reps = classes.select("class", "rep")
+    return each.select("doc_id", "class"), materialize(
+        reps.join(found, "rep", "left").select("class", "rep", F.coalesce("component", "rep").alias("component")), "classes"
+    )
+
+
+def keep_first_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """docs without near-duplicates by Jaccard similarity of shingles: of each linked group the row
+    with the smallest doc_id stays. Null and repeated ids as in keep_first()."""
+    each, classes = similar_classes(docs, shingle, least)
+    first = classes.where("rep = component").select("class", F.col("rep").alias("doc_id"))
+    keep = materialize(each.join(first, ["class", "doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_same")), "keep")
+    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not keep.where("n_same > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
