@@ -72,3 +72,12 @@ def test_edges(spark):
     assert len(got) == 3 and all(r.kept for r in got)
     assert quality.keep_good(spark.createDataFrame(rows, DOCS), none).count() == 3
     assert quality.classify(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_rows_with_one_id_are_judged_apart(spark):
+    rows, labels = corpus()
+    clean, toxic = "calm words w1 w2 w3 w4 w5 w6 w7 w8 w9 w10", "vile scum vile w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    more = [(i, t, "s0", "en", "x") for i in (None, 9001) for t in (clean, toxic)]
+    docs, known = spark.createDataFrame(rows + more, DOCS), spark.createDataFrame(labels, LABELS)
+    kept = quality.keep_good(docs, known).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.doc_id in (None, 9001)) == [("9001", clean), ("None", clean)]

@@ -123,8 +123,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
     return w
 
 
-def evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, source, lang, low, toxic): log odds by each model."""
+def evidence(docs: DataFrame, weights: np.ndarray, whole: bool = False) -> DataFrame:
+    """(doc_id, source, lang, low, toxic): log odds by each model; if whole, also row, docs' row as a struct."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,20 +136,22 @@ def evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 scores[:, i] = prior + table[:, slots(text or b"", seen)].sum(axis=1)
                 if len(seen) > 1_000_000:
                     seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(scores[0]), pa.array(scores[1])],
-                ["doc_id", "source", "lang", "low", "toxic"],
-            )
+            out = [*(batch.column(i) for i in range(3)), pa.array(scores[0]), pa.array(scores[1])]
+            yield pa.RecordBatch.from_arrays(out + batch.columns[4:], ["doc_id", "source", "lang", "low", "toxic"] + ["row"] * whole)
 
-    return only(docs, "doc_id", "source", "lang", "text").mapInArrow(run, "doc_id long, source string, lang string, low double, toxic double")
+    names = ["doc_id", "source", "lang", "text"]
+    rows = docs.select(*names, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")) if whole else only(docs, *names)
+    shape = "doc_id long, source string, lang string, low double, toxic double"
+    return rows.mapInArrow(run, f"{shape}, row {rows.schema['row'].dataType.simpleString()}" if whole else shape)
 
 
 def _odds(p):
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, low_odds, toxic_odds, host_rate, path_rate, bad_probability, kept) per row of docs.
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.5, whole: bool = False) -> DataFrame:
+    """(doc_id, low_odds, toxic_odds, host_rate, path_rate, bad_probability, kept) per row of docs;
+    if whole, also row, docs' row as a struct.
 
     The host is source, the path source and lang; nulls are groups of their own, as are null texts
     the empty text. Site rates come from the classifier's verdicts over all documents. Repeated
@@ -157,7 +159,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold
     are kept. An empty table gives an empty result.
     """
     weights = fit(docs, labels, sample)
-    each = materialize(evidence(docs, weights), "evidence")
+    each = materialize(evidence(docs, weights, whole), "evidence")
     verdict = F.greatest("low", "toxic")
     p_bad = 1 / (1 + F.exp(-verdict))
     paths = each.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(p_bad).alias("bad"))
@@ -187,6 +189,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold
     return both.select(
         "doc_id", F.col("low").alias("low_odds"), F.col("toxic").alias("toxic_odds"), "host_rate", "path_rate",
         (1 - good).alias("bad_probability"), ((1 - good <= F.lit(threshold)) | F.lit(not weights.any())).alias("kept"),
+        *["row"] * whole,
     )
 
 
@@ -207,7 +210,7 @@ def _strength(groups: DataFrame, n: str, bad: str, mean) -> float:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that classify() keeps, with the columns of docs. Null ids are kept if any
-    row with a null id is; rows with one doc_id are kept or go together."""
-    verdict = classify(docs, labels, **options).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).where("not kept")
-    return docs.join(verdict, docs.doc_id.eqNullSafe(verdict.doc_id), "left_anti")
+    """The rows of docs that classify() keeps, with the columns of docs: each row by its own
+    verdict, whatever its doc_id."""
+    kept = classify(docs, labels, **options, whole=True).where("kept")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
