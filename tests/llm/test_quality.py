@@ -81,3 +81,21 @@ def test_rows_with_one_id_are_judged_apart(spark):
     docs, known = spark.createDataFrame(rows + more, DOCS), spark.createDataFrame(labels, LABELS)
     kept = quality.keep_good(docs, known).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept if r.doc_id in (None, 9001)) == [("9001", clean), ("None", clean)]
+
+
+def test_word_of_few_toxic_texts_counts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join([f"w{k}" for k in rng.integers(0, 300, 30)] + ["vile"] * (i % 20 == 0)), "s", "en", "x") for i in range(400)]
+    labels = [(i, 1, int(i % 20 == 0)) for i in range(200)]
+    got = quality.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    held = {r.doc_id: r.toxic_odds for r in got if r.doc_id >= 200}
+    assert all((odds > 0) == (i % 20 == 0) for i, odds in held.items())
+
+
+def test_held_out_toxic_documents_of_the_labelled_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    got = {r.doc_id: r.kept for r in quality.classify(docs, labels.where("doc_id % 5 < 3")).collect() if r.doc_id % 5 >= 3}
+    toxic = [not k for i, k in got.items() if i in known and known[i][1] == 1]
+    clean = [k for i, k in got.items() if known.get(i) == (1, 0)]
+    assert np.mean(toxic) > 0.6 and np.mean(clean) > 0.97

@@ -22,6 +22,8 @@ from tidemark.llm.common import column, materialize, only
 
 BITS = 16
 SLOTS = 1 << BITS
+#: The ridge of a telling slot, and how many standard errors from 0 its log odds ratio is where it doubles.
+RIDGE, HALF_Z = 0.1, 4.0
 
 
 class Features(dict):
@@ -56,13 +58,12 @@ def slots(text: bytes, seen: Features) -> np.ndarray:
     return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 384, least_z: float = 4.5) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> np.ndarray:
     """Weights (2, SLOTS + 1) for low quality and for toxicity; the last column is the intercept.
 
-    Fitted on at most ``sample`` labelled documents, those of smallest hash of doc_id. For each
-    model the slots are chosen whose log odds ratio is least_z standard errors from 0 or more, the
-    ``features`` strongest at most, and weighed by ridge logistic regression: only their sample by
-    features matrix comes to the driver.
+    Ridge logistic regression over all slots, fitted on at most ``sample`` labelled documents,
+    those of smallest hash of doc_id: only their slots come to the driver. No slot is left out; the
+    less its log odds ratio differs from 0, in standard errors, the more it is shrunk.
     """
     known = only(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("low"),
@@ -73,54 +74,78 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Features()
         for batch in batches:
-            found = [slots(text or b"", seen) for text in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2)), pa.array(found, pa.list_(pa.int32()))], ["low", "toxic", "slots"])
+            found = [np.sort(slots(text or b"", seen)).astype("<u2").tobytes() for text in column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2)), pa.array(found, pa.binary())], ["low", "toxic", "slots"])
 
     rows = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "low", "toxic")
-    rows = materialize(rows.mapInArrow(run, "low int, toxic int, slots array<int>"), "labelled")
-    n, n_low, n_toxic = rows.agg(F.count("*"), F.sum("low"), F.sum("toxic")).first()
+    rows = materialize(rows.mapInArrow(run, "low int, toxic int, slots binary"), "labelled")
+    # in an order of their own, so that sums don't depend on the partitions
+    picked = sorted((bytes(r["slots"]), r["low"], r["toxic"]) for r in rows.toLocalIterator())
     out = np.zeros((2, SLOTS + 1))
-    if not n:
+    if not picked:
         return out
-    sums = rows.select("low", "toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(
-        F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic"))
-    counts = np.zeros((3, SLOTS))
-    for r in sums.toLocalIterator():
-        counts[:, r[0]] = r[1:]
-    chosen = []
-    for k, bad in enumerate((n_low, n_toxic)):
-        a, b = counts[k + 1] + 0.5, bad - counts[k + 1] + 0.5
-        c, d = counts[0] - counts[k + 1] + 0.5, (n - bad) - (counts[0] - counts[k + 1]) + 0.5
-        z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-        best = np.argsort(-z, kind="stable")[:features]
-        chosen.append(best[z[best] >= least_z])
-    wanted = np.unique(np.concatenate(chosen))
-    picked = rows.select("low", "toxic", F.array_intersect("slots", F.lit(wanted.tolist()) if len(wanted) else F.array().cast("array<int>")).alias("slots")).collect()
-    for k, own in enumerate(chosen):
-        place = {int(x): i for i, x in enumerate(own)}
-        x = np.zeros((len(picked), len(own) + 1))
-        x[:, -1] = 1
-        for i, r in enumerate(picked):
-            x[i, [place[v] for v in r["slots"] if v in place]] = 1
-        w = _logistic(x, np.array([r[k] for r in picked], dtype=float))
-        out[k, own], out[k, -1] = w[:-1], w[-1]
+    at = np.frombuffer(b"".join(p[0] for p in picked), dtype="<u2").astype(np.int64)
+    sizes = np.array([len(p[0]) // 2 for p in picked])
+    for k in range(2):
+        y = np.array([p[k + 1] for p in picked], dtype=float)
+        if y.any():
+            out[k] = _logistic(at, sizes, y)
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Newton's method; the last column of x is the intercept and lightly shrunk."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 0.01
+def _logistic(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Newton's method with conjugate gradients. ``at`` holds each document's slots one after
+    another, of which it has ``sizes`` (1 at least); the intercept is last and lightly shrunk."""
+    used, at = np.unique(at, return_inverse=True)
+    n, starts = len(used), np.cumsum(sizes) - sizes
+    n_in, n_bad = np.bincount(at, minlength=n), np.bincount(at, np.repeat(y, sizes), n)
+    a, b, c, d = n_bad + 0.5, y.sum() - n_bad + 0.5, n_in - n_bad + 0.5, (1 - y).sum() - n_in + n_bad + 0.5
+    z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    penalty = np.append(RIDGE * (1 + (HALF_Z / np.maximum(z, 0.05)) ** 8), 0.01)
+
+    def forth(w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[at], starts) + w[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(at, np.repeat(r, sizes), n), r.sum())
+
+    def loss(w: np.ndarray) -> float:
+        z = forth(w)
+        return float((np.logaddexp(0, z) - y * z).sum() + (penalty * w * w).sum() / 2)
+
+    w = np.zeros(n + 1)
+    rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    w[-1] = np.log(rate / (1 - rate))
+    before = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (y - p) - penalty * w
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curvature, gradient)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(forth(w), -30, 30)))
+        gradient = back(y - p) - penalty * w
+        bend = p * (1 - p)
+        scale = back(bend) + penalty
+        step, left = np.zeros(n + 1), gradient
+        z = left / scale
+        way, size = z, left @ z
+        first = size
+        for _ in range(100):
+            if size <= 1e-2 * first:
+                break
+            bent = back(bend * forth(way)) + penalty * way
+            length = size / (way @ bent)
+            step, left = step + length * way, left - length * bent
+            z = left / scale
+            size, last = left @ z, size
+            way = z + size / last * way
+        share = 1.0
+        while share > 1e-3 and (after := loss(w + share * step)) > before:
+            share /= 2
+        if share <= 1e-3:
+            break
+        w, gain, before = w + share * step, before - after, after
+        if gain < 1e-5 * after:
             break
-    return w
+    out = np.zeros(SLOTS + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
 
 def evidence(docs: DataFrame, weights: np.ndarray, whole: bool = False) -> DataFrame:
