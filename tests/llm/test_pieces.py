@@ -59,6 +59,38 @@ def test_viterbi_matches_brute_force(spark):
         assert sum(helper.at[p][0] if p in helper.at else helper.lowest - 10 for p in path) == pytest.approx(best)
 
 
+def test_units_of_any_length_stay_in_the_lattice(spark, vocabulary):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rng = np.random.default_rng(4)
+    units = sorted({"▁" + "".join(rng.choice(list("etaoinshrdlué-/"), n)) for n in [2, 59, 60, 61, 62, 63, 64, 120, 400] for _ in range(4)} | {"▁" + "a" * 150})
+    helper = pieces.Helper(vocabulary)
+    found = pieces.lattice(spark.createDataFrame([(0, u) for u in units], "bucket long, unit string"), vocabulary).collect()
+    assert len(found) == len(units)
+    assert all(helper.fill(r.unit, r.spans) == sp.encode(r.unit[1:]) for r in found)
+
+
+def test_numbers_are_the_units_of_the_regular_expression():
+    for text in [t for t in TEXTS if t is not None] + ["\n\n a\n▁b \n  c d▁ e", " ", "  \n", "a \n", "▁", " ▁x  ▁ y"]:
+        numbers = pieces.Numbers()
+        at = numbers.of(text.encode())
+        units = numbers.units()
+        assert [units[i] for i in at] == pieces.units_of(text.encode()), repr(text)
+
+
+def test_a_vocabulary_out_of_order_is_refused():
+    scores = {"a": 0.0, "b": 0.0, "c": 0.0, "ab": -9.0, "abc": -1.0}
+    with pytest.raises(ValueError, match="order of rank"):
+        pieces.Vocabulary(list(scores), list(scores.values()), ["normal"] * 5).check()
+
+
+def test_documents_are_cut_into_batches_and_keep_their_rows(spark, vocabulary):
+    rows = [(i % 5 if i % 5 else None, "one two  three\n" * (i % 4), "x") for i in range(50)] + [(7, "word " * 200_000, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    got = sorted(((r.doc_id, r.ids) for r in pieces.encode(docs, vocabulary, batch_bytes=300).collect()), key=repr)
+    assert got == sorted(((i, sp.encode(t)) for i, t, _ in rows), key=repr)
+
+
 def test_helper_equals_the_library(vocabulary):
     sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
     helper = pieces.Helper(vocabulary)

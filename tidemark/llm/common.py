@@ -25,11 +25,14 @@ _TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, the context's checkpoint folder, or in
+    local mode, where all is one machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = jsc.getCheckpointDir().get()
     return found.rstrip("/")
@@ -85,6 +88,22 @@ def doc_batches(
         yield (part << 24) + n, ids, texts
 
 
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Flat arrays in one blob, for unpack_arrays()."""
+    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
+    return len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack_arrays(data: bytes) -> list[np.ndarray]:
+    at = 4 + int.from_bytes(data[:4], "little")
+    out = []
+    for field in data[4:at].decode().split(";"):
+        kind, n = field.split(",")
+        out.append(np.frombuffer(data, dtype=kind, count=int(n), offset=at))
+        at += out[-1].nbytes
+    return out
+
+
 class WordHash(dict):
     """word -> XXH64, computed once for each distinct word of a batch."""
 
