@@ -24,15 +24,25 @@ def first_seen(events: DataFrame) -> DataFrame:
     return events.groupBy("event_id").agg(F.min(F.struct("arrival", "copy", "record_id", "event_at", "seq")).alias("x")).select("event_id", "x.*")
 
 
-def failure_runs(changes: DataFrame, down_from: float, down_until: float) -> DataFrame:
-    """(seq, down, run): how many deliveries in a row have failed, in order of the log. Gaps and
-    islands over one subscription's log; subscriptions would partition it."""
+def failure_runs(changes: DataFrame, down_from: float, down_until: float, span: int = 4096) -> DataFrame:
+    """(seq, down, run): how many deliveries in a row have failed, in order of the log.
+
+    Gaps and islands within ranges of ``span`` numbers; a run that reaches a range's end is carried
+    into the next one, over one row per range.
+    """
     arrival = F.col("event_at") + 2.0 + (draw("wd", "seq") % 8000) / F.lit(1000.0)
-    w = Window.partitionBy("subscription").orderBy("seq")
-    marked = changes.select("seq", F.lit("all").alias("subscription"), arrival.between(down_from, down_until).alias("down"), arrival.alias("arrival"))
-    island = F.sum(F.when(~F.col("down"), 1).otherwise(0)).over(w)
-    run = F.sum(F.when(F.col("down"), 1).otherwise(0)).over(Window.partitionBy("subscription", "island").orderBy("seq"))
-    return marked.withColumn("island", island).select("seq", "arrival", "down", run.alias("run"))
+    marked = changes.select(
+        "seq", F.floor(F.col("seq") / span).alias("range"), arrival.between(down_from, down_until).cast("int").alias("down"), arrival.alias("arrival"))
+    ups = F.sum(1 - F.col("down")).over(Window.partitionBy("range").orderBy("seq"))
+    run = F.sum("down").over(Window.partitionBy("range", "ups").orderBy("seq"))
+    local = marked.withColumn("ups", ups).withColumn("run", run)
+    ends = local.groupBy("range").agg(F.max_by("run", "seq").alias("tail"), F.max("ups").alias("ups"))
+    order = Window.orderBy("range")
+    ends = ends.withColumn("stretch", F.sum(F.when(F.col("ups") > 0, 1).otherwise(0)).over(order))
+    ends = ends.withColumn("open", F.sum("tail").over(Window.partitionBy("stretch").orderBy("range")))
+    carried = ends.select("range", F.coalesce(F.lag("open").over(order), F.lit(0)).alias("carried"))
+    whole = F.col("run") + F.when((F.col("down") == 1) & (F.col("ups") == 0), F.col("carried")).otherwise(0)
+    return local.join(carried, "range").select("seq", "arrival", (F.col("down") == 1).alias("down"), whole.alias("run"))
 
 
 def detected(changes: DataFrame, hooks: DataFrame, interval: float, horizon: float, overlap_watermark: DataFrame) -> DataFrame:

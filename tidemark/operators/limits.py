@@ -1,47 +1,48 @@
-"""Rate limits as folds: the time and state of every call, in Catalyst's aggregate."""
+"""Rate limits over logs of calls: when waiting callers get through, and how full windows are.
+
+Waiting rules are closed forms over a running maximum, one window per caller, so that a log of any
+length needs one shuffle by caller and no loop.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-LATENCY = 0.05
-
-
-def _fold(spark: SparkSession, calls: int, state: str, step: str) -> DataFrame:
-    """Run ``step`` over calls 1..n from ``state``; one row per call with its time and wait."""
-    return spark.sql(f"""
-        select x.call_no, x.at, x.wait from (
-          select explode(log) as x from (
-            select aggregate(sequence(1, {calls}),
-              named_struct('t', 0D, {state}, 'log', cast(array() as array<struct<call_no: int, at: double, wait: double>>)),
-              (s, i) -> {step}, s -> s.log) as log))""")
-
-
-def fixed_sleep(spark: SparkSession, calls: int, rate: float) -> DataFrame:
-    """At least 1/rate between calls."""
-    gap = 1.0 / rate
-    wait = f"if(i = 1, 0D, greatest(0D, s.last + {gap!r}D - s.t))"
-    return _fold(spark, calls, "'last', 0D", f"named_struct('t', s.t + {wait} + {LATENCY}D, 'last', s.t + {wait}, "
-                 f"'log', concat(s.log, array(named_struct('call_no', i, 'at', s.t + {wait} + {LATENCY}D, 'wait', {wait}))))")
-
-
-def token_bucket(spark: SparkSession, calls: int, rate: float, capacity: float) -> DataFrame:
-    """Tokens refill at rate up to capacity; a call takes one and waits for it."""
-    held = f"least({capacity!r}D, s.tokens + (s.t - s.last) * {rate!r}D)"
-    wait = f"if({held} >= 1D, 0D, (1D - {held}) / {rate!r}D)"
-    left = f"(if({held} >= 1D, {held}, 1D) - 1D)"
-    return _fold(spark, calls, f"'tokens', {capacity!r}D, 'last', 0D",
-                 f"named_struct('t', s.t + {wait} + {LATENCY}D, 'tokens', {left}, 'last', s.t + {wait}, "
-                 f"'log', concat(s.log, array(named_struct('call_no', i, 'at', s.t + {wait} + {LATENCY}D, 'wait', {wait}))))")
-
-
-def window_admission(spark: SparkSession, attempts: int, limit: int, window: float) -> DataFrame:
-    """An attempt every LATENCY seconds by a caller that never waits. One is admitted if fewer than
-    ``limit`` were in the window before it; wait is what a rejected one is told to wait, else 0."""
-    now = f"(s.t + {LATENCY}D)"
-    recent = f"filter(s.recent, x -> x > {now} - {window!r}D)"
-    free = f"size({recent}) < {limit}"
-    told = f"if({free}, 0D, greatest(0.001D, array_min({recent}) + {window!r}D - {now}))"
-    return _fold(spark, attempts, "'recent', cast(array() as array<double>)",
-                 f"named_struct('t', {now}, 'recent', if({free}, concat({recent}, array({now})), {recent}), "
-                 f"'log', concat(s.log, array(named_struct('call_no', i, 'at', {now}, 'wait', {told}))))")
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def _numbered(calls: DataFrame, caller: str, at: str, order: str) -> tuple[DataFrame, Column]:
+    """calls with call_no from 1 for each caller; and the window of those so far."""
+    w = Window.partitionBy(caller).orderBy(at, order)
+    return calls.withColumn("call_no", F.row_number().over(w).cast("long")), w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def fixed_sleep(calls: DataFrame, caller: str, at: str, order: str, gap: float) -> DataFrame:
+    """calls with start: a caller's calls keep ``gap`` seconds between them.
+
+    start(i) = max over j <= i of at(j) + (i - j) * gap.
+    """
+    numbered, so_far = _numbered(calls, caller, at, order)
+    shift = F.col("call_no") * F.lit(gap)
+    return numbered.withColumn("start", F.greatest(F.col(at), F.max(F.col(at) - shift).over(so_far) + shift))
+
+
+def token_bucket(calls: DataFrame, caller: str, at: str, order: str, rate: float, capacity: int) -> DataFrame:
+    """calls with start: each takes a token of a caller's bucket, which holds ``capacity`` and fills
+    at ``rate`` a second, and waits for one.
+
+    The bucket is empty until full(i) = max over j <= i of at(j) + (i - j + 1) / rate; a call starts
+    at its arrival or (capacity - 1) / rate before the bucket of the calls before it is full.
+    """
+    numbered, so_far = _numbered(calls, caller, at, order)
+    shift = F.col("call_no") / F.lit(rate)
+    full = F.max(F.col(at) - shift).over(so_far.rowsBetween(Window.unboundedPreceding, -1)) + shift
+    return numbered.withColumn("start", F.greatest(F.col(at), full - F.lit((capacity - 1) / rate)))
+
+
+def window_load(calls: DataFrame, caller: str, at: str, order: str, seconds: int, limit: int) -> DataFrame:
+    """calls with in_window, a caller's calls in the ``seconds`` up to this one, it included, and
+    over: whether they are more than ``limit``."""
+    micros = F.round(F.col(at) * 1_000_000).cast("long")
+    load = F.expr(f"count(*) over (partition by {caller} order by __micros range between {seconds * 1_000_000 - 1} preceding and current row)")
+    out = calls.withColumn("__micros", micros).withColumn("in_window", load).drop("__micros")
+    return out.withColumn("over", F.col("in_window") > limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.stage import written
+
 
 def modified_since(df: DataFrame, stamp: str, key: str, since, limit: int | None = None, after: tuple | None = None) -> DataFrame:
     """Rows with stamp >= since in (stamp, key) order, after a cursor if given; one page if limited.
@@ -22,13 +24,14 @@ def modified_since(df: DataFrame, stamp: str, key: str, since, limit: int | None
 def numbered(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
     """df with rn from 1 in the order given, within groups ``by``.
 
-    Without groups the rows are numbered by ranges: counts per range come first, so no task sees
-    more than its range.
+    Without groups the rows are dealt by ranges, which are written with their number, since a
+    second dealing might draw other bounds: counts per range come first, so no task sees more than
+    its range.
     """
     if by:
         return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     local = dealt.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per partition
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
