@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import catalog_arms
 from tidemark.catalog_sql import ORACLES  # noqa: F401
 from tidemark.functions.draws import bucket, draw
 from tidemark.functions.ranks import percentiles
 from tidemark.operators import channel, limits, reconcile, report, scan, sync, upsert
+from tidemark.plans.stage import written
 from tidemark.sources import fixtures
 from tidemark.sources.fixtures import HORIZON, INTERVAL, table
 
 PASSES = 96
+#: Fixed value: how many rows a search reaches, silently.
+CEILING = 10_000
+#: Fixed value: most rows of a bulk export.
+BULK_CAP = 100_000
 SINCE = "2000-01-01"
 CURSOR = ("2000-03-01", 7500)
 OUTAGE = (7200.0, 10800.0)
@@ -44,14 +50,26 @@ SWEEP = [(f"overlap_{o:04d}", float(o), True) for o in OVERLAPS]
 
 
 def _compared(spark, sf, rows):
-    recs, versions, arms = fixtures.records(spark, sf), _versions(spark, sf), _arms(spark, rows)
+    recs, versions, arms = fixtures.records(spark, sf), _stored(_versions(spark, sf)), _arms(spark, rows)
     local = sync.local_copy(recs, sync.reads(versions, arms, INTERVAL, PASSES), arms)
-    return sync.compare(_truth(spark, sf), local)
+    return sync.compare(sync.truth_at(versions, HORIZON), local, arms)
 
 
-def _local(spark, sf):
+def _stored(df):
+    """df, written once for queries that use it more often."""
+    return written(df, "versions")
+
+
+def _sides(spark, sf):
+    """Truth and the local copy, from versions that are written once."""
+    versions = _stored(_versions(spark, sf))
+    return sync.truth_at(versions, HORIZON), _local(spark, sf, versions)
+
+
+def _local(spark, sf, versions=None):
     """The copy that a 120 s overlap leaves, deletions marked for all but every seventh record."""
-    recs, versions, arms = fixtures.records(spark, sf), _versions(spark, sf), _arms(spark, [("a", 120.0, True)])
+    versions = _stored(_versions(spark, sf)) if versions is None else versions
+    recs, arms = fixtures.records(spark, sf), _arms(spark, [("a", 120.0, True)])
     local = sync.local_copy(recs, sync.reads(versions, arms, INTERVAL, PASSES), arms).select("id", "version")
     dead = scan.as_of(versions, HORIZON).where("tombstone and id % 7 <> 0").select("id")
     return local.join(dead, "id", "left_anti").where("id % 911 <> 5")
@@ -66,7 +84,7 @@ def modified_since_cursor_page(spark, sf):
 
 
 def page_assignment(spark, sf):
-    return scan.pages(_orders(spark, sf).select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 200)
+    return scan.pages(_orders(spark, sf), "o_orderdate", "o_orderkey", 200)
 
 
 def tie_group_boundaries(spark, sf):
@@ -82,13 +100,15 @@ def strict_vs_inclusive(spark, sf):
 
 
 def search_ceiling(spark, sf):
-    ranked = scan.numbered(_orders(spark, sf).select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
-    return ranked.agg(F.count_if(F.col("rn") <= 10_000).alias("reachable"), F.count_if(F.col("rn") > 10_000).alias("beyond"))
+    n = F.count("*")
+    return _orders(spark, sf).agg(F.least(n, F.lit(CEILING)).alias("reachable"), F.greatest(n - CEILING, F.lit(0)).alias("beyond"))
 
 
 def search_offset_page(spark, sf):
-    ranked = scan.numbered(_orders(spark, sf).select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
-    return ranked.where("rn > 1200 and rn <= 1300 and rn <= 10000")
+    """Rows 1,201 to 1,300, which lie below the ceiling: a page by offset and limit."""
+    found = _orders(spark, sf).select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").offset(1200).limit(100)
+    rank = F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey"))  # over the page's rows
+    return found.withColumn("rn", (1200 + rank).cast("long"))
 
 
 def world_records(spark, sf):
@@ -138,7 +158,8 @@ def get_by_ids(spark, sf):
 
 
 def bulk_export(spark, sf):
-    return scan.as_of(_versions(spark, sf), 900.05).where("not tombstone").agg(F.count("*").alias("n_rows"), F.sum("version").cast("long").alias("sum_version"))
+    rows = scan.as_of(_versions(spark, sf), 900.05).where("not tombstone").select("id", "version").orderBy("id").limit(BULK_CAP)
+    return rows.agg(F.count("*").alias("n_rows"), F.sum("version").cast("long").alias("sum_version"))
 
 
 def deletes_window(spark, sf):
@@ -152,10 +173,12 @@ def deletes_forgotten(spark, sf):
     return dead.agg(F.count_if(F.col("event_at") < HORIZON - 7200).alias("n_forgotten"), F.count_if(F.col("event_at") >= HORIZON - 7200).alias("n_visible"))
 
 
-def manifest_md5(spark, sf):
-    """Sums of per-row digests: order-free, so no task holds the whole table."""
+def manifest_checksum(spark, sf):
+    """Four sums of per-row digests: order-free, so no task holds the whole table; together 128 bits
+    and more that every field of every row enters."""
     row = F.concat_ws("|", "id", "owner", "stage", F.col("last_modified").cast("long").cast("string"))
-    return fixtures.records(spark, sf).agg(F.sum(draw("row", row)).cast("long").alias("checksum"), F.count("*").alias("n"))
+    sums = [F.sum(draw(f"row{i}", row)).cast("long").alias(f"sum{i}") for i in range(4)]
+    return fixtures.records(spark, sf).agg(*sums, F.count("*").alias("n"))
 
 
 def pass_watermarks(spark, sf):
@@ -213,24 +236,30 @@ def attribute_wrong(spark, sf):
 
 
 def drift_report(spark, sf):
-    return reconcile.drift(_truth(spark, sf), _local(spark, sf))
+    return reconcile.drift(*_sides(spark, sf))
 
 
 def count_check(spark, sf):
-    n, m = _truth(spark, sf).agg(F.count("*").alias("upstream_n")), _local(spark, sf).agg(F.count("*").alias("local_n"))
+    truth, local = _sides(spark, sf)
+    n, m = truth.agg(F.count("*").alias("upstream_n")), local.agg(F.count("*").alias("local_n"))
     return n.crossJoin(m).withColumn("differs", F.col("upstream_n") != F.col("local_n"))
 
 
 def partitioned_checksum(spark, sf):
-    return reconcile.differing(_truth(spark, sf), _local(spark, sf), 400)
+    return reconcile.differing(*_sides(spark, sf), 400)
 
 
 def full_id_inventory(spark, sf):
-    return reconcile.membership(_truth(spark, sf), _local(spark, sf))
+    return reconcile.membership(*_sides(spark, sf))
 
 
 def recon_matrix(spark, sf):
-    return reconcile.matrix(_truth(spark, sf), _local(spark, sf))
+    return reconcile.matrix(*_sides(spark, sf)).drop("detected_per_call")
+
+
+def recon_cost(spark, sf):
+    """What each strategy's calls buy."""
+    return reconcile.matrix(*_sides(spark, sf)).select("strategy", "calls", "detected", "calls_per_1k", "detected_per_call")
 
 
 def webhook_deliveries(spark, sf):
@@ -313,18 +342,28 @@ def access_pattern_cost(spark, sf):
     return n.crossJoin(F.broadcast(sizes)).select("page_size", paged.alias("paged"), (paged + F.col("n")).alias("detail"), F.lit(1).cast("long").alias("bulk"))
 
 
+def _calls(spark, sf):
+    """Events as calls of their users, on the time scale of the changes."""
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) - fixtures.EPOCH_US) / F.lit(1e6) / fixtures.SCALE
+    return table(spark, sf, "events").select("user_id", (F.col("event_id") + 1).alias("seq"), at.alias("at"))
+
+
+def _started(calls):
+    return calls.select("user_id", "seq", "call_no", F.bround("start", 6).alias("start"))
+
+
 def fixed_sleep_schedule(spark, sf):
-    return limits.fixed_sleep(spark, 200, 2.5).select(F.col("call_no").cast("long").alias("call_no"), F.bround("at", 6).alias("call_at"), F.bround("wait", 6).alias("wait"))
+    return _started(limits.fixed_sleep(_calls(spark, sf), "user_id", "at", "seq", 300.0))
 
 
 def token_bucket_schedule(spark, sf):
-    return limits.token_bucket(spark, 200, 2.5, 2.5).select(F.col("call_no").cast("long").alias("call_no"), F.bround("at", 6).alias("call_at"), F.bround("wait", 6).alias("wait"))
+    return _started(limits.token_bucket(_calls(spark, sf), "user_id", "at", "seq", 1 / 300, 3))
 
 
 def rate_window_admission(spark, sf):
-    """The naive caller against 5 calls a second: 83 attempts, of which 21 get through."""
-    out = limits.window_admission(spark, 83, 5, 1.0)
-    return out.select(F.col("call_no").cast("long").alias("call_no"), F.bround("at", 6).alias("call_at"), F.bround("wait", 6).alias("wait"))
+    """Calls over three in 900 seconds."""
+    out = limits.window_load(_calls(spark, sf), "user_id", "at", "seq", 900, 3)
+    return out.select("user_id", "seq", "in_window", "over")
 
 
 def score(spark, sf):
@@ -367,11 +406,11 @@ _NAMES = """
 modified_since_scan modified_since_cursor_page page_assignment tie_group_boundaries strict_vs_inclusive
 search_ceiling search_offset_page world_records world_mutations mutation_kind_counts future_stamp_violations
 scd2_versions snapshot_as_of live_count scannable_vs_live id_inventory_page get_by_ids bulk_export deletes_window
-deletes_forgotten manifest_md5 pass_watermarks overlap_reads timestamp_only_page_loss redundant_reads
+deletes_forgotten manifest_checksum pass_watermarks overlap_reads timestamp_only_page_loss redundant_reads
 mitigation_ladder overlap_sweep overlap_knee score_by_kind attribute_wrong drift_report count_check
-partitioned_checksum full_id_inventory recon_matrix webhook_deliveries webhook_dedup channel_stats
+partitioned_checksum full_id_inventory recon_matrix recon_cost webhook_deliveries webhook_dedup channel_stats
 subscription_disable detection_latency latency_percentiles webhook_poll_delta upsert_latest out_of_order_rejects
 redundant_upserts resurrections store_state score local_live rate_window_admission access_pattern_cost fixed_sleep_schedule token_bucket_schedule bar_chart_kinds
 ext_loss_rollup ext_change_rate_window ext_record_sessions
 """.split()
-QUERIES = {name: globals()[name] for name in _NAMES}
+QUERIES = {name: globals()[name] for name in _NAMES} | catalog_arms.QUERIES

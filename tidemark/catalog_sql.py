@@ -73,7 +73,7 @@ def _with(select: str, *more: str) -> str:
     return "with recursive " + ",\n".join([BASE, *more]) + "\n" + select
 
 
-_PAGED = "paged as (select o_orderkey, o_orderdate, (row_number() over (order by o_orderdate, o_orderkey) - 1) // 200 as page_no from orders)"
+_PAGED = "paged as (select o_orderkey, o_orderdate, o_totalprice, (row_number() over (order by o_orderdate, o_orderkey) - 1) // 200 as page_no from orders)"
 
 
 def _sums(bits: int, side: str, n: int) -> str:
@@ -85,6 +85,14 @@ _DIFFER = f"""differ as (select coalesce(t.bucket, c.bucket) as bucket, coalesce
   from ({_sums(31, 'truth', '{n}')}) t full join ({_sums(31, 'copy', '{n}')}) c on t.bucket = c.bucket
   where t.n is distinct from c.n or t.a is distinct from c.a or t.b is distinct from c.b)"""
 
+_MATRIX = f"""matrix as (select strategy, calls::BIGINT as calls, present, detected, present - detected as missed,
+  round_even(coalesce(detected / nullif(present, 0)::DOUBLE, 0), 6) as rate, round_even(1000 * calls / n::DOUBLE, 6) as calls_per_1k
+  from (select count(*) as n from truth), (select count(*) as bad from differ),
+    (select count(*) as present, count(*) filter (drift_kind <> 'wrong') as by_id,
+      count(*) filter (drift_kind <> 'wrong' and {_d('part', 'id')} % 40 in (select bucket from differ)) as in_bad from drift),
+    lateral (values ('none', 0, 0), ('count_check', 1, 0), ('partitioned_checksum', 40 + bad, in_bad),
+      ('full_id_inventory', n // 1000 + 1, by_id), ('full_field_compare', ceil(n / 200.0)::BIGINT, present)) s(strategy, calls, detected))"""
+
 _DETECTED = """hook as (select seq, min(arrival) as hook_at from hooks group by seq),
 timed as (select m.seq, kind, event_at, case when hook_at <= 28800 then hook_at end as h,
   case when (floor(event_at / 300) + 1) * 300 <= 28800 and stamp >= lower - 120 then (floor(event_at / 300) + 1) * 300 end as p
@@ -95,10 +103,8 @@ detected as (select seq, kind, least(h, p) - event_at as latency,
 _ARRIVALS = f"""arrivals as (select user_id, value, event_id as version, (event_id + {_d('late', 'event_id')} % 50) * 1000000000 + event_id as arrival_no from events)"""
 
 
-def _fold(init: str, wait: str, rest: str) -> str:
-    return f"""with recursive s as (select 0::BIGINT as call_no, 0.0::DOUBLE as t, 0.0::DOUBLE as wait, {init}
-  union all select call_no + 1, t + w + 0.05::DOUBLE, w, {rest} from (select *, {wait} as w from s where call_no < 200))
-select call_no, round_even(t, 6) as call_at, round_even(wait, 6) as wait from s where call_no > 0"""
+_CALLS = """calls as (select user_id, event_id + 1 as seq, (epoch_us(ts) - 1704067200000000)::DOUBLE / 1e6::DOUBLE / 90 as t from events),
+numbered as (select *, row_number() over (partition by user_id order by t, seq) as call_no from calls)"""
 
 
 ORACLES: dict[str, str] = {
@@ -125,13 +131,13 @@ ORACLES: dict[str, str] = {
     "scannable_vs_live": _with("select count(*) as n_scannable, count(*) filter (not tombstone) as n_live from final"),
     "id_inventory_page": _with("select id from truth order by id limit 1000 offset 2000"),
     "get_by_ids": _with("select id, version from truth where id < 400 and id % 2 = 0"),
-    "bulk_export": _with("""select count(*) as n_rows, sum(version)::BIGINT as sum_version from ver
-  where valid_from <= 900.05::DOUBLE and (valid_to is null or valid_to > 900.05::DOUBLE) and not tombstone"""),
+    "bulk_export": _with("""select count(*) as n_rows, sum(version)::BIGINT as sum_version from (select version from ver
+  where valid_from <= 900.05::DOUBLE and (valid_to is null or valid_to > 900.05::DOUBLE) and not tombstone order by id limit 100000)"""),
     "deletes_window": _with("""select greatest(1, ceil(event_at / 300))::BIGINT as pass_no, count(*) as n_deletes from mut
   where kind in ('DELETE', 'MERGE') group by 1 having pass_no <= 96"""),
     "deletes_forgotten": _with("""select count(*) filter (event_at < 21600) as n_forgotten, count(*) filter (event_at >= 21600) as n_visible
   from mut where kind in ('DELETE', 'MERGE')"""),
-    "manifest_md5": _with(f"select sum({_d('row', "(id || '|' || owner || '|' || stage || '|' || last_modified::BIGINT)")})::BIGINT as checksum, count(*) as n from rec"),
+    "manifest_checksum": _with("select " + ", ".join(f"""sum({_d(f'row{i}', "(id || '|' || owner || '|' || stage || '|' || last_modified::BIGINT)")})::BIGINT as sum{i}""" for i in range(4)) + ", count(*) as n from rec"),
     "pass_watermarks": _with("select * from marks"),
     "overlap_reads": _with("select arm, pass_no, count(*) as n_read from reads group by all", _reads("sweep")),
     "timestamp_only_page_loss": _with("""select pass_no, count(*) filter (rn > 200) as n_lost, count(*) as n_rows
@@ -150,13 +156,9 @@ ORACLES: dict[str, str] = {
     "count_check": _with("select *, upstream_n <> local_n as differs from (select count(*) as upstream_n from truth), (select count(*) as local_n from copy)", _reads("one"), _LOCAL),
     "partitioned_checksum": _with("select * from differ", _reads("one"), _LOCAL, _DIFFER.replace("{n}", "400")),
     "full_id_inventory": _with("select * from drift where drift_kind <> 'wrong'", _reads("one"), _LOCAL),
-    "recon_matrix": _with("""select strategy, calls::BIGINT as calls, present, detected, present - detected as missed,
-  round_even(coalesce(detected / nullif(present, 0)::DOUBLE, 0), 6) as rate, round_even(1000 * calls / n::DOUBLE, 6) as calls_per_1k
-  from (select count(*) as n from truth), (select count(*) as bad from differ),
-    (select count(*) as present, count(*) filter (drift_kind <> 'wrong') as by_id from drift),
-    lateral (values ('none', 0, 0), ('count_check', 1, 0), ('partitioned_checksum', 40 + bad, by_id),
-      ('full_id_inventory', n // 1000 + 1, by_id), ('full_field_compare', ceil(n / 200.0)::BIGINT, present)) s(strategy, calls, detected)""",
-        _reads("one"), _LOCAL, _DIFFER.replace("{n}", "40")),
+    "recon_matrix": _with("select strategy, calls, present, detected, missed, rate, calls_per_1k from matrix", _reads("one"), _LOCAL, _DIFFER.replace("{n}", "40"), _MATRIX),
+    "recon_cost": _with("select strategy, calls, detected, calls_per_1k, round_even(detected / nullif(calls, 0)::DOUBLE, 6) as detected_per_call from matrix",
+        _reads("one"), _LOCAL, _DIFFER.replace("{n}", "40"), _MATRIX),
     "webhook_deliveries": _with("select * from hooks"),
     "webhook_dedup": _with("select event_id, arrival, record_id, event_at, seq from hooks where copy = 0"),
     "channel_stats": _with(f"""select count(*) as emitted, count(*) filter (not sent) as lost,
@@ -183,18 +185,14 @@ runs as (select *, sum(down::INT) over (partition by island order by seq) as run
   lag(event_type = 'error') over (partition by user_id order by event_id) as was from events) where was and not mark group by 1""",
     "access_pattern_cost": """select page_size::BIGINT as page_size, ceil(n / page_size)::BIGINT + 1 as paged, ceil(n / page_size)::BIGINT + 1 + n as detail, 1::BIGINT as bulk
   from (select count(*)::DOUBLE as f, count(*) as n from orders), (values (20), (100), (200)) t(page_size)""",
-    "fixed_sleep_schedule": _fold("0.0::DOUBLE as last", "case when call_no = 0 then 0.0::DOUBLE else greatest(0.0::DOUBLE, last + 0.4::DOUBLE - t) end", "t + w"),
-    "token_bucket_schedule": """with recursive s as (select 0::BIGINT as call_no, 0.0::DOUBLE as t, 0.0::DOUBLE as wait, 2.5::DOUBLE as tokens, 0.0::DOUBLE as last
-  union all select call_no + 1, t + w + 0.05::DOUBLE, w, greatest(have, 1.0::DOUBLE) - 1.0::DOUBLE, t + w from (
-    select *, case when have >= 1 then 0.0::DOUBLE else (1.0::DOUBLE - have) / 2.5::DOUBLE end as w from (
-      select *, least(2.5::DOUBLE, tokens + (t - last) * 2.5::DOUBLE) as have from s where call_no < 200)))
-select call_no, round_even(t, 6) as call_at, round_even(wait, 6) as wait from s where call_no > 0""",
-    "rate_window_admission": """with recursive s as (select 0::BIGINT as call_no, 0.0::DOUBLE as t, 0.0::DOUBLE as wait, []::DOUBLE[] as recent
-  union all select call_no + 1, now, case when free then 0.0::DOUBLE else greatest(0.001::DOUBLE, list_min(held) + 1.0::DOUBLE - now) end,
-    case when free then list_append(held, now) else held end from (
-      select *, len(held) < 5 as free from (
-        select call_no, t + 0.05::DOUBLE as now, list_filter(recent, lambda x: x > t + 0.05::DOUBLE - 1.0::DOUBLE) as held from s where call_no < 83)))
-select call_no, round_even(t, 6) as call_at, round_even(wait, 6) as wait from s where call_no > 0""",
+    "fixed_sleep_schedule": f"""with {_CALLS} select user_id, seq, call_no, round_even(greatest(t, call_no * 300.0::DOUBLE
+  + max(t - call_no * 300.0::DOUBLE) over (partition by user_id order by t, seq)), 6) as start from numbered""",
+    "token_bucket_schedule": f"""with {_CALLS}, full_at as (select *, call_no / {1 / 300!r}::DOUBLE + max(t - call_no / {1 / 300!r}::DOUBLE) over (
+    partition by user_id order by t, seq rows between unbounded preceding and 1 preceding) as f from numbered)
+select user_id, seq, call_no, round_even(coalesce(greatest(t, f - {2 / (1 / 300)!r}::DOUBLE), t), 6) as start from full_at""",
+    "rate_window_admission": f"""with {_CALLS}, fine as (select *, round(t * 1000000)::BIGINT as us from calls)
+select user_id, seq, n as in_window, n > 3 as over from (
+  select *, count(*) over (partition by user_id order by us range between 899999999 preceding and current row) as n from fine)""",
     "score": _with("select * from score", _reads("one")),
     "local_live": _with("select * from copy", _reads("one"), _LOCAL),
     "store_state": f"""with log as (select user_id, event_type = 'error' as mark, event_id as version,
@@ -212,3 +210,118 @@ select user_id, version, coalesce(marked > written, false) as deleted from kept
   from (select *, sum((gap is null or gap > 600)::INT) over (partition by record_id order by seq) as session
         from (select *, event_at - lag(event_at) over (partition by record_id order by seq) as gap from mut)) group by 1, 2"""),
 }
+
+_HOW = f"""archive as (
+  select id, seq, event_at as valid_from, lead(event_at) over w as valid_to, (1 + sum(bump) over w)::BIGINT as version,
+    max(case when kill then event_at else stamp end) over w as last_modified, kill as tombstone from eff window w as (partition by id order by seq)),
+held2 as (select pass_no, v.* from pass, archive v where valid_from <= 300 * pass_no and (valid_to is null or valid_to > 300 * pass_no) and last_modified >= -1800),
+marks2 as (select pass_no, coalesce(lag(watermark) over (order by pass_no), 0.0::DOUBLE) as lower from (
+  select pass_no, greatest(0.0::DOUBLE, coalesce(max(m) over (order by pass_no), 0.0::DOUBLE)) as watermark from pass left join
+    (select pass_no, max(last_modified) filter (last_modified >= 0) as m from held2 group by pass_no) using (pass_no))),
+rungs as (select * from (values ('0 naive', 0.0::DOUBLE, false, false), ('1 inclusive', 0.0::DOUBLE, true, false), ('2 overlap_60', 60.0::DOUBLE, true, false),
+  ('3 overlap_300', 300.0::DOUBLE, true, false), ('4 deletions', 300.0::DOUBLE, true, true)) t(arm, overlap, inclusive, deletes)),
+seen as (
+  select 'atlas' as vendor, arm, pass_no, id, version, tombstone from held join marks using (pass_no), rungs
+    where last_modified >= lower - overlap + case when inclusive then 0.0::DOUBLE else 1e-9::DOUBLE end
+  union all select 'beacon', arm, pass_no, id, version, tombstone from held2 join marks2 using (pass_no), rungs
+    where last_modified >= lower - overlap + case when inclusive then 0.0::DOUBLE else 1e-9::DOUBLE end),
+latest as (select vendor, arm, id, arg_max(version, pass_no) as version, arg_max(tombstone, pass_no) as gone from seen group by all),
+copies as (select v.vendor, r.arm, rec.id, coalesce(l.version, 1) as version from rec cross join rungs r cross join (values ('atlas'), ('beacon')) v(vendor)
+  left join latest l on l.vendor = v.vendor and l.arm = r.arm and l.id = rec.id left join dead d on d.record_id = rec.id
+  where not (r.deletes and case v.vendor when 'atlas' then d.death is not null else coalesce(l.gone, false) end)),
+judged as (select c.vendor, c.arm, c.id, case when t.id is null then 'ghost' when t.version = c.version then 'correct' else 'stale' end as state
+  from copies c left join truth t on t.id = c.id),
+lost as (select vendor, arm, (select count(*) from truth) - count(*) filter (state <> 'ghost') as missing from judged group by all),
+ladders as (select vendor, arm, count(*) filter (state = 'stale') as stale, any_value(missing) as missing, count(*) filter (state = 'ghost') as ghost,
+  count(*) filter (state <> 'correct') + any_value(missing) as wrong from judged join lost using (vendor, arm) group by all)"""
+
+_READ = f"""polls as (select id as record_id, (300 * pass_no)::DOUBLE as t from held join marks using (pass_no) where last_modified >= lower - 120),
+tried as (select seq, event_at + {_LAG} as arrival from mut),
+flagged as (select *, arrival between 7200 and 10800 as down from tried),
+isles as (select *, sum((not down)::INT) over (order by seq) as island from flagged),
+runs as (select *, sum(down::INT) over (partition by island order by seq) as run from isles),
+disabled as (select min(seq) as s from runs where down and run = 25),
+hints as (select record_id, arrival as t, false as out from hooks where copy = 0
+  union all select record_id, arrival, true from hooks, disabled where copy = 0 and not arrival between 7200 and 10800 and (s is null or seq < s)),
+log as (select o.out, record_id, event_at as t, 0 as what, seq, kind, null::DOUBLE as hook, null::DOUBLE as poll from mut, (values (false), (true)) o(out)
+  union all select out, record_id, t, 1, null, null, t, null from hints
+  union all select o.out, record_id, t, 1, null, null, null, t from polls, (values (false), (true)) o(out)),
+found as (select *, min(hook) over w as hook_at, min(poll) over w as poll_at from log
+  window w as (partition by out, record_id order by t, what rows between current row and unbounded following)),
+sides as (select out, seq, kind, t as event_at, hook_at, case when kind not in ('DELETE', 'MERGE') then poll_at end as poll_at from found where what = 0),
+ways as (select * from (values ('both', false, true, true), ('both_outage', true, true, true), ('poll', false, false, true), ('webhook', false, true, false)) w(arm, out, hook, poll)),
+timed2 as (select arm, seq, kind, event_at, case when hook and hook_at <= 28800 then hook_at end as h, case when poll and poll_at <= 28800 then poll_at end as p
+  from sides join ways using (out)),
+credit as (select arm, seq, kind, least(h, p) - event_at as latency,
+  case when h is not null and h = least(h, p) then 'webhook' when least(h, p) is not null then 'poll' end as source from timed2),
+ranked2 as (select *, row_number() over (partition by arm order by latency) - 1 as i, count(*) over (partition by arm) as n from credit where latency is not null),
+middle as (select arm, max(latency) filter (i = least(n - 1, greatest(0, round_even(0.5 * n + 0.5, 0)::BIGINT - 1))) as p50,
+  max(latency) filter (i = least(n - 1, greatest(0, round_even(0.95 * n::DOUBLE + 0.5, 0)::BIGINT - 1))) as p95 from ranked2 group by arm)"""
+
+_STORE = f"""{_ARRIVALS},
+writes as (select arrivals.user_id, version, arrival_no, event_type = 'error' as mark from arrivals join events on event_id = version),
+stored as (select * from writes union all select user_id, version, arrival_no + 500000000, mark from writes where {_d('again', 'version')} % 20 = 0)"""
+
+
+def _bars(rows: str) -> str:
+    return f"""select label, rpad(label, wide::INT, ' ') || '  ' || rpad(repeat('#', case when n = 0 or top = 0 then 0 else greatest(1, round_even(44 * n / top::DOUBLE, 0)::INT) end), 44, ' ') || ' ' || n as line
+  from (select *, max(n) over () as top, max(length(label)) over () as wide from ({rows}))"""
+
+
+_FAIL = f"""bad as (select pass_no from pass where pass_no = 1 or {_d('fail', 'pass_no')} % 10 = 0),
+guarded as (select pass_no, max(case when pass_no not in (select pass_no from bad) then greatest(0.0::DOUBLE, coalesce(pass_max, 0.0::DOUBLE)) end)
+  over (order by pass_no rows between unbounded preceding and 1 preceding) as lower from marks),
+live as (select pass_no, last_modified from pass, ver where valid_from <= 300 * pass_no and (valid_to is null or valid_to > 300 * pass_no) and not tombstone)"""
+
+ORACLES |= {
+    "deletion_ladder": _with("select vendor, arm, stale, missing, ghost, wrong from ladders", _HOW),
+    "prediction_tally": _with("""select verdict, count(*) as n from (select case when wrong <= was then 'HELD' else 'REFUTED' end as verdict
+  from (select *, lag(wrong) over (partition by vendor order by arm) as was from ladders) where was is not null) group by 1""", _HOW),
+    "bar_chart_ghosts": _with(_bars("select vendor || ' ' || arm as label, ghost as n from ladders"), _HOW),
+    "score_by_kind_arms": _with("""select arm, kind, count(*) as happened,
+  count(*) filter (case when kind in ('DELETE', 'MERGE') then deletes else death is null and state = 'correct' end) as reflected,
+  count(*) filter (kind not in ('DELETE', 'MERGE') and death is not null) as superseded,
+  count(*) filter (case when kind in ('DELETE', 'MERGE') then not deletes else death is null and state <> 'correct' end) as missed
+  from mut cross join (values ('deletes', true), ('plain', false)) a(arm, deletes)
+    left join (select id, state from compared) c on c.id = record_id group by all""", _reads("one")),
+    "channel_arms": _with("""select arm, n_changes, n_detected, n_changes - n_detected as n_missed, by_webhook, by_poll, p50, p95 from (
+  select arm, count(*) as n_changes, count(latency) as n_detected, count(*) filter (source = 'webhook') as by_webhook,
+    count(*) filter (source = 'poll') as by_poll from credit group by arm) left join middle using (arm)""", _READ),
+    "detection_by_read": _with("select seq, kind, latency, source from credit where arm = 'both'", _READ),
+    "deletion_accounting": _with("""select arm, kind, count(*) as happened, count(latency) as detected, count(*) - count(latency) as undetected
+  from credit where kind in ('DELETE', 'MERGE') group by all""", _READ),
+    "frozen_watermarks": _with("""select g.pass_no, any_value(lower) as lower, count(*) as n_read from guarded g join live l
+  on l.pass_no = g.pass_no and last_modified >= coalesce(lower - 120, -1e18::DOUBLE) group by g.pass_no""", _FAIL),
+    "store_stats": f"""with {_STORE}, held as (select *, max(version) filter (not mark) over w as was from stored
+    window w as (partition by user_id order by arrival_no rows between unbounded preceding and 1 preceding)),
+  taken as (select *, not mark and (was is null or version >= was) as ok from held),
+  state as (select *, coalesce(last_value(case when ok then false when mark then true end ignore nulls) over
+    (partition by user_id order by arrival_no rows between unbounded preceding and 1 preceding), false) as marked from taken)
+select count(*) filter (not mark) as upserts, count(*) filter (not mark and not ok) as rejected, count(*) filter (not mark and version = was) as redundant,
+  count(*) filter (mark and was is not null and not marked) as delete_marks from state""",
+    "unversioned_state": f"with {_STORE} select user_id, arg_max(version, arrival_no) as version from stored where not mark group by 1",
+    "endpoint_usage": _with("""select endpoint, calls, round_even(calls / sum(calls) over ()::DOUBLE, 6) as share from (
+  select 'backfill' as endpoint, (ceil(count(*) / 200.0) + 1)::BIGINT as calls from rec
+  union all select 'query_modified_since', (sum(n // 200 + 1) + 96 - count(*))::BIGINT from (select pass_no, count(*) as n from reads group by 1)
+  union all select 'get_deleted', 96 union all select 'get_many', count(*) from hooks where copy = 0)""", _reads("one")),
+    "short_page_loss": _with("""select cap::BIGINT as cap, pass_no, n as n_rows, case when cap < 200 then greatest(n - cap, 0) else 0 end as n_lost
+  from (select pass_no, count(*) as n from reads group by 1), (values (100), (200)) c(cap)""", _reads("one")),
+    "world_field_changes": _with(f"""select seq, record_id, ['name', 'owner', 'stage', 'amount', 'region'][{_d('fd', 'seq')} % 5 + 1] as field,
+  ({_d('fv', 'seq')} % 1000)::VARCHAR as value from mut where kind not in ('DELETE', 'MERGE')"""),
+    "full_field_compare": _with(f"""select field, count(*) as n_values, count(*) filter (t is distinct from l) as n_wrong from (
+  select f.record_id, field, arg_max(value, f.seq) as t, arg_max(value, f.seq) filter (v.version <= c.version) as l from (
+      select seq, record_id, ['name', 'owner', 'stage', 'amount', 'region'][{_d('fd', 'seq')} % 5 + 1] as field, ({_d('fv', 'seq')} % 1000)::VARCHAR as value
+      from mut where kind not in ('DELETE', 'MERGE')) f
+    join ver v on v.id = f.record_id and v.seq = f.seq join truth on truth.id = f.record_id join copy c on c.id = f.record_id group by 1, 2) group by 1""", _reads("one"), _LOCAL),
+    "world_redirects": _with("""select seq, event_at, r.record_id, low + (seq * 7 + r.record_id) % n as moved_to from raw2 r join dead d using (record_id), size
+  where seq > death and not exists (select 1 from dead e where e.record_id = low + (r.seq * 7 + r.record_id) % n and e.death <= r.seq)"""),
+    "accuracy_both_denominators": _with("select arm, accuracy, held_accuracy from score", _reads("one")),
+    "result_json": _with("""select to_json(struct_pack(accuracy := accuracy, arm := arm, correct := correct, ghost := ghost, stale := stale))::VARCHAR as document from score""", _reads("sweep")),
+    "bar_chart_calls": _bars("""select unnest(['bulk export', 'one fetch a row', 'paged scan']) as label,
+  unnest([1, (ceil(count(*) / 200.0) + 1)::BIGINT + count(*), (ceil(count(*) / 200.0) + 1)::BIGINT]) as n from orders"""),
+    "bar_chart_detection": _with(_bars("select strategy as label, detected as n from matrix"), _reads("one"), _LOCAL, _DIFFER.replace("{n}", "40"), _MATRIX),
+    "stream_dedup_equals_batch": _with("select event_id, seq from hooks where copy = 0"),
+    "stream_upsert_equals_batch": "select user_id, max(event_id) as version, arg_max(value, event_id) as value from events group by user_id",
+    "stream_windowed_counts": """with e as (select floor(epoch_us(ts) / 1e6)::BIGINT as s from events)
+select d * 86400 as window_start, count(*) as n from (select s // 86400 as d from e) group by d having (d + 1) * 86400 <= (select max(s) from e)""",
+}

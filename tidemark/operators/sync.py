@@ -10,10 +10,11 @@ from tidemark.operators.scan import as_of, at_passes
 EPSILON = 1e-9
 
 
-def watermarks(versions: DataFrame, interval: float, passes: int) -> DataFrame:
+def watermarks(versions: DataFrame, interval: float, passes: int, archived: bool = False) -> DataFrame:
     """(pass_no, pass_max, watermark, lower): the running maximum of live stamps seen by passes,
-    from 0 at the backfill; lower is the one that a pass starts from. One row per pass."""
-    live = at_passes(versions.where("not tombstone and last_modified >= 0"), interval, passes)
+    from 0 at the backfill; lower is the one that a pass starts from. One row per pass. archived:
+    scans give archived rows too."""
+    live = at_passes(versions.where((F.lit(archived) | ~F.col("tombstone")) & (F.col("last_modified") >= 0)), interval, passes)
     each = live.groupBy("pass_no").agg(F.max("last_modified").alias("pass_max"))
     spine = versions.sparkSession.range(1, passes + 1).select(F.col("id").cast("int").alias("pass_no"))
     w = Window.orderBy("pass_no")
@@ -23,17 +24,35 @@ def watermarks(versions: DataFrame, interval: float, passes: int) -> DataFrame:
     return out.select("*", F.coalesce(F.lag("watermark").over(w), F.lit(0.0)).alias("lower"))
 
 
-def reads(versions: DataFrame, arms: DataFrame, interval: float, passes: int) -> DataFrame:
-    """(arm, pass_no, id, version, last_modified): live rows that a pass of an arm reads.
+def reads(versions: DataFrame, arms: DataFrame, interval: float, passes: int, archived: bool = False) -> DataFrame:
+    """(arm, pass_no, id, version, last_modified): live rows that a pass of an arm reads; if
+    archived, archived rows too, and tombstone.
 
     arms (arm, overlap, inclusive) and the watermarks are one row per arm and per pass.
     """
     deepest = arms.agg(F.max("overlap")).first()[0] or 0.0
-    live = at_passes(versions.where(f"not tombstone and last_modified >= {-float(deepest)!r}"), interval, passes)
-    marks = F.broadcast(watermarks(versions, interval, passes).select("pass_no", "lower"))
+    live = at_passes(versions.where((F.lit(archived) | ~F.col("tombstone")) & (F.col("last_modified") >= -float(deepest))), interval, passes)
+    marks = F.broadcast(watermarks(versions, interval, passes, archived).select("pass_no", "lower"))
     bound = F.col("lower") - F.col("overlap") + F.when(F.col("inclusive"), 0.0).otherwise(EPSILON)
     out = live.join(marks, "pass_no").crossJoin(F.broadcast(arms)).where(F.col("last_modified") >= bound)
-    return out.select("arm", "pass_no", "id", "version", "last_modified")
+    return out.select("arm", "pass_no", "id", "version", "last_modified", *["tombstone"] * archived)
+
+
+def without_deleted(local: DataFrame, arms: DataFrame, deletes: DataFrame) -> DataFrame:
+    """local without the records that deletes (arm, id) tell of, in arms that ask for deletions."""
+    asks = deletes.join(F.broadcast(arms.where("deletes").select("arm")), "arm", "left_semi")
+    return local.join(asks, ["arm", "id"], "left_anti")
+
+
+def guarded_watermarks(marks: DataFrame, failed: DataFrame) -> DataFrame:
+    """(pass_no, lower) where a pass in failed(pass_no) doesn't move the watermark on, though it
+    has read: the next one starts where the last success left it; null, a full scan, before any.
+
+    marks (pass_no, pass_max) has one row per pass."""
+    w = Window.orderBy("pass_no").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.when(F.col("bad").isNull(), F.greatest(F.lit(0.0), F.coalesce("pass_max", F.lit(0.0))))
+    out = marks.join(F.broadcast(failed.select("pass_no", F.lit(True).alias("bad"))), "pass_no", "left")
+    return out.select("pass_no", F.max(moved).over(w).alias("lower"))
 
 
 def local_copy(recs: DataFrame, read: DataFrame, arms: DataFrame) -> DataFrame:
@@ -43,9 +62,10 @@ def local_copy(recs: DataFrame, read: DataFrame, arms: DataFrame) -> DataFrame:
     return every.join(last, ["arm", "id"], "left").select("arm", "id", F.coalesce("version", F.lit(1).cast("long")).alias("version"))
 
 
-def compare(truth: DataFrame, local: DataFrame) -> DataFrame:
-    """(arm, id, state): correct, stale, missing or ghost; truth (id, version) are live rows."""
-    arms = local.select("arm").distinct()
+def compare(truth: DataFrame, local: DataFrame, arms: DataFrame) -> DataFrame:
+    """(arm, id, state): correct, stale, missing or ghost; truth (id, version) are live rows, arms
+    has a row per arm."""
+    arms = arms.select("arm")
     want = truth.select("id", F.col("version").alias("true_version")).crossJoin(F.broadcast(arms))
     both = want.join(local, ["arm", "id"], "full_outer")
     state = (

@@ -13,6 +13,27 @@ def accepted(writes: DataFrame, key: str, version: str, order: str) -> DataFrame
     return writes.withColumn("__held", held).where(F.col("__held").isNull() | (F.col(version) >= F.col("__held"))).drop("__held")
 
 
+def counters(log: DataFrame, key: str, version: str, order: str, mark: str) -> DataFrame:
+    """One row with what a store has counted over a log of versioned upserts and delete marks:
+    upserts, rejected and redundant ones (the version already held), and delete marks that hit a
+    held key which was not marked."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    write = ~F.col(mark)
+    held = F.max(F.when(write, F.col(version))).over(before)
+    taken = write & (held.isNull() | (F.col(version) >= held))
+    each = log.select(key, order, mark, held.alias("held"), taken.alias("taken"), (write & (held == F.col(version))).alias("redundant"))
+    last = F.last(F.when(F.col("taken"), False).when(F.col(mark), True), ignorenulls=True).over(before)
+    each = each.withColumn("was", F.coalesce(last, F.lit(False)))
+    return each.agg(
+        F.count_if(~F.col(mark)).alias("upserts"), F.count_if(~F.col(mark) & ~F.col("taken")).alias("rejected"), F.count_if("redundant").alias("redundant"),
+        F.count_if(F.col(mark) & F.col("held").isNotNull() & ~F.col("was")).alias("delete_marks"))
+
+
+def unversioned(log: DataFrame, key: str, version: str, order: str) -> DataFrame:
+    """(key, version) of a store that takes whatever comes last."""
+    return log.groupBy(key).agg(F.max_by(version, order).alias(version))
+
+
 def apply_log(log: DataFrame, key: str, version: str, order: str, mark: str) -> DataFrame:
     """(key, version, deleted) after a log of upserts and delete marks (rows where ``mark`` is true).
 

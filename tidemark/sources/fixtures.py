@@ -43,6 +43,28 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     A record's changes end with its first DELETE or MERGE; a merge into itself is an update. stamp
     is null where the record keeps the one it has.
     """
+    kept = _drawn(spark, sf_dir).where("death is null or seq <= death")
+    at = F.col("event_at")
+    stamp = (
+        F.when(F.col("kind") == "UPDATE", at)
+        .when(F.col("kind") == "IN_FLIGHT_UPDATE", at - (draw("bk", "seq") % BACKDATE).cast("double"))
+        .when(F.col("kind") == "LATE_CLOCK_UPDATE", at - CLOCK_SKEW)
+    )
+    return kept.select("seq", "event_at", "kind", "record_id", stamp.alias("stamp"), F.when(F.col("kind") == "MERGE", F.col("partner")).alias("merged_into"), "death")
+
+
+def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, event_at, record_id, moved_to): the changes that hit a record after its death, as plain
+    updates of another one; those whose other record is dead by then too are dropped."""
+    rows = _drawn(spark, sf_dir)
+    moved = F.col("low") + (F.col("seq") * 7 + F.col("record_id")) % F.col("n")
+    late = rows.where("seq > death").select("seq", "event_at", "record_id", moved.alias("moved_to"))
+    deaths = rows.where("seq = death").select(F.col("record_id").alias("moved_to"), F.col("death").alias("died"))
+    return late.join(deaths, "moved_to", "left").where("died is null or seq < died").select("seq", "event_at", "record_id", "moved_to")
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every drawn change with death, the number of its record's first fatal one."""
     size = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"))
     raw = table(spark, sf_dir, "events").crossJoin(F.broadcast(size)).select(
         (F.col("event_id") + 1).alias("seq"), "n", "low",
@@ -51,27 +73,33 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw.select(
         "seq", "event_at", _kind(draw("k", "seq") % 100).alias("kind"),
         (F.col("low") + draw("r1", "seq") % (1 + draw("r2", "seq") % F.col("n"))).alias("record_id"),
-        (F.col("low") + draw("mg", "seq") % F.col("n")).alias("partner"),
+        (F.col("low") + draw("mg", "seq") % F.col("n")).alias("partner"), "n", "low",
     )
     own = (F.col("kind") == "MERGE") & (F.col("partner") == F.col("record_id"))
     raw = raw.withColumn("kind", F.when(own, "UPDATE").otherwise(F.col("kind")))
     fatal = F.col("kind").isin("DELETE", "MERGE")
     death = F.min(F.when(fatal, F.col("seq"))).over(Window.partitionBy("record_id"))
-    kept = raw.withColumn("death", death).where("death is null or seq <= death")
-    at = F.col("event_at")
-    stamp = (
-        F.when(F.col("kind") == "UPDATE", at)
-        .when(F.col("kind") == "IN_FLIGHT_UPDATE", at - (draw("bk", "seq") % BACKDATE).cast("double"))
-        .when(F.col("kind") == "LATE_CLOCK_UPDATE", at - CLOCK_SKEW)
-    )
-    return kept.select("seq", "event_at", "kind", "record_id", stamp.alias("stamp"), F.when(F.col("kind") == "MERGE", F.col("partner")).alias("merged_into"), "death")
+    return raw.withColumn("death", death)
+
+
+#: The fields that a change may set.
+FIELDS = ("name", "owner", "stage", "amount", "region")
+
+
+def field_changes(changes: DataFrame) -> DataFrame:
+    """(seq, record_id, field, value): the field that each update sets, picked by a draw, and its
+    drawn value as text."""
+    field = F.element_at(F.array(*map(F.lit, FIELDS)), (draw("fd", "seq") % len(FIELDS) + 1).cast("int"))
+    return changes.where("kind not in ('DELETE', 'MERGE')").select("seq", "record_id", field.alias("field"), (draw("fv", "seq") % 1000).cast("string").alias("value"))
 
 
-def effects(changes: DataFrame) -> DataFrame:
+def effects(changes: DataFrame, archive: bool = False) -> DataFrame:
     """(id, seq, event_at, stamp, bump, kill): what the log does to records; a merge also modifies
-    its survivor, if that is still alive."""
+    its survivor, if that is still alive. archive: a deleted record stays, archived, and its stamp
+    moves to the deletion."""
     update = ~F.col("kind").isin("DELETE", "MERGE")
-    own = changes.select(F.col("record_id").alias("id"), "seq", "event_at", "stamp", F.when(update, 1).otherwise(0).alias("bump"), (~update).alias("kill"))
+    stamp = F.when(~update, F.col("event_at")).otherwise(F.col("stamp")) if archive else F.col("stamp")
+    own = changes.select(F.col("record_id").alias("id"), "seq", "event_at", stamp.alias("stamp"), F.when(update, 1).otherwise(0).alias("bump"), (~update).alias("kill"))
     deaths = changes.where("seq = death").select(F.col("record_id").alias("merged_into"), F.col("death").alias("died"))
     merges = changes.where("kind = 'MERGE'").select("merged_into", "seq", "event_at").join(deaths, "merged_into", "left")
     absorbed = merges.where("died is null or seq < died").select(
@@ -79,12 +107,12 @@ def effects(changes: DataFrame) -> DataFrame:
     return own.unionByName(absorbed)
 
 
-def versions(recs: DataFrame, changes: DataFrame) -> DataFrame:
+def versions(recs: DataFrame, changes: DataFrame, archive: bool = False) -> DataFrame:
     """(id, seq, valid_from, valid_to, version, last_modified, tombstone): every state of every
     record; the first is valid from -1, the last one's valid_to is null."""
     start = recs.select("id", F.lit(0).cast("long").alias("seq"), F.lit(-1.0).alias("event_at"), F.col("last_modified").alias("stamp"), F.lit(0).alias("bump"), F.lit(False).alias("kill"))
     w = Window.partitionBy("id").orderBy("seq")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    return start.unionByName(effects(changes)).select(
+    return start.unionByName(effects(changes, archive)).select(
         "id", "seq", F.col("event_at").alias("valid_from"), F.lead("event_at").over(w).alias("valid_to"),
         (1 + F.sum("bump").over(so_far)).cast("long").alias("version"), F.max("stamp").over(so_far).alias("last_modified"), F.col("kill").alias("tombstone"))
