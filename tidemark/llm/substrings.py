@@ -182,19 +182,21 @@ def _answer(bits: int):
     return run
 
 
+def pack_docs(ids: list, texts: list[bytes]) -> bytes:
+    """Documents as a compressed Arrow table, for unpack()."""
+    table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
 def packed(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(batch, docs): the batches of doc_batches(), each an Arrow table, compressed."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
         for batch, ids, texts in doc_batches(rows, batch_bytes):
-            table = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], ["batch", "docs"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([pack_docs(ids, texts)], pa.binary())], ["batch", "docs"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, "batch long, docs binary")
 
