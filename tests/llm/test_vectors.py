@@ -51,8 +51,7 @@ def test_blocks_of_any_size_give_the_same(spark, monkeypatch):
     rows = data(10, 0.1, 5)
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
     whole = {tuple(r) for r in vectors.near_duplicates(df, 0.9).collect()}
-    place = vectors.MultiIndex.place
-    monkeypatch.setattr(vectors.MultiIndex, "place", lambda self, counts, _: place(self, counts, 3))
+    monkeypatch.setattr(vectors, "BLOCK", 3)
     assert {tuple(r) for r in vectors.near_duplicates(df, 0.9).collect()} == whole == brute(rows, 0.9)
 
 
@@ -71,3 +70,34 @@ def test_traversal_is_in_order_of_distance():
     cells = list(index.visits(a, b))
     sums = [a[c // 6] + b[c % 6] for c in cells]
     assert sums == sorted(sums) and sorted(cells) == list(range(36))
+
+
+def test_mixed_lengths_are_refused(spark):
+    vectors_ = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="2 to 3 components"):
+        vectors.near_duplicates(vectors_)
+
+
+def shapes():
+    """Vectors of several kinds with planted pairs just over the threshold."""
+    rng = np.random.default_rng(9)
+    even = rng.standard_normal((3000, 64))
+    skewed = even * (0.93 ** np.arange(64))
+    clusters = rng.standard_normal((60, 64))[rng.integers(0, 60, 3000)] + 0.5 * even
+    for name, x in (("even", even), ("skewed", skewed), ("clusters", clusters)):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        noise = rng.standard_normal(x.shape)
+        noise -= (noise * x).sum(axis=1, keepdims=True) * x
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        yield pytest.param(np.concatenate([x, 0.905 * x[:600] + np.sqrt(1 - 0.905**2) * noise[:600]]), id=name)
+
+
+@pytest.mark.parametrize("x", list(shapes()))
+def test_recall_on_several_shapes_of_data(spark, x):
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    need = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    have = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, 0.9).collect()}
+    assert all(have[i] <= n for i, n in enumerate(need.tolist()))
+    assert sum(have.values()) >= 0.99 * need.sum() > 1000

@@ -1,21 +1,21 @@
 """Embedding near-duplicates through an inverted multi-index.
 
 A vector is scaled to length 1 and cut in halves, each with a codebook of its own; the product of
-the codebooks is a grid of cells. From a vector, the multi-sequence order visits cells by the sum
-of its squared distances to the two centroids. How far to go is calibrated: on the fitting sample
-and on neighbours made at the threshold, the radius is the distance within which the target share
-of pairs has one vector visiting the other's cell. Cells are stored in blocks of bounded size;
-vectors travel to the blocks they visit and are verified there in double precision. Linked pairs
-are never emitted: a block gives each vector its number of links and one edge to its group.
+the codebooks is a grid of cells. In each half a vector has a squared distance to every centroid's
+region: that to the plane between it and the vector's own centroid. From a vector, the
+multi-sequence order visits cells by the sum over both halves. How far to go is calibrated: on the
+fitting sample and on neighbours made at the threshold, the radius is the distance within which
+the target share of pairs has one vector visiting the other's cell. The grid grows with the table,
+so that the share of it that a vector visits falls. Vectors travel to the occupied cells they visit
+and are verified there in double precision. Linked pairs are never emitted: a cell gives each
+vector its number of links and one edge to its group.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,7 +25,8 @@ from tidemark.llm.common import materialize, only
 from tidemark.llm.components import connected
 
 SAMPLE = 8_192
-SALTS = 4
+#: Most centroids a half, and vectors in a cell that is not cut in parts, or one in CUTS if that is more.
+CELLS, BLOCK, CUTS = 2_048, 512, 200_000
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -50,98 +51,99 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Two codebooks, the search radius, and where each cell's blocks are."""
+    """Two codebooks and the search radius; which cells are occupied, and in how many parts the
+    large ones are cut."""
 
     def __init__(self, sample: np.ndarray, cells: int, threshold: float, recall: float, seed: int = 1):
         rng = np.random.default_rng(seed)
         x = _unit(sample)
         self.half = x.shape[1] // 2 or 1
         self.books = [_kmeans(h, cells, rng) for h in self.halves(x)]
+        self.apart = [2 * np.sqrt(_distances(b, b)) for b in self.books]
         self.radius = self._calibrate(x, threshold, recall, rng)
-        self.blocks: dict[int, tuple[int, int]] = {}
+        self.occupied = np.ones(len(self.books[0]) * len(self.books[1]), dtype=bool)
+        self.parts: dict[int, int] = {}
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :] if x.shape[1] > 1 else np.zeros((len(x), 1))
 
-    def cell_distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(_distances(h, b) for h, b in zip(self.halves(x), self.books, strict=True))
-
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.cell_distances(x)
-        return a.argmin(axis=1) * len(self.books[1]) + b.argmin(axis=1)
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each vector's own cell, and per half its squared distance to every centroid's region."""
+        cell, out = 0, []
+        n = np.arange(len(x))
+        for h, book, apart in zip(self.halves(x), self.books, self.apart, strict=True):
+            d = _distances(h, book)
+            own = d.argmin(axis=1)
+            gap = apart[own]
+            plane = np.divide(d - d[n, own][:, None], gap, out=np.zeros_like(d), where=gap > 1e-12)
+            out.append(np.square(np.maximum(plane, 0)))
+            cell = cell * len(book) + own
+        return cell, *out
 
     def _reach(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """For pairs (x, y): the nearer of x to y's cell and y to x's cell."""
-        ax, bx = self.cell_distances(x)
-        ay, by = self.cell_distances(y)
-        n = np.arange(len(x))
-        to_y = ax[n, ay.argmin(axis=1)] + bx[n, by.argmin(axis=1)]
-        to_x = ay[n, ax.argmin(axis=1)] + by[n, bx.argmin(axis=1)]
-        return np.minimum(to_x, to_y)
+        n, k = np.arange(len(x)), len(self.books[1])
+        (cx, ax, bx), (cy, ay, by) = self.places(x), self.places(y)
+        return np.minimum(ax[n, cy // k] + bx[n, cy % k], ay[n, cx // k] + by[n, cx % k])
 
     def _calibrate(self, x: np.ndarray, threshold: float, recall: float, rng: np.random.Generator) -> float:
         reach = [0.0]
-        found = 0
+        pairs = []
         for at in range(0, len(x), 1024):
             i, j = np.nonzero(x[at : at + 1024] @ x.T >= threshold)
             i = i + at
-            i, j = i[i < j], j[i < j]
-            if len(i) > 20_000:
-                pick = rng.choice(len(i), 20_000, replace=False)
+            keep = i < j
+            i, j = i[keep], j[keep]
+            if len(i) > 2_000:
+                pick = rng.choice(len(i), 2_000, replace=False)
                 i, j = i[pick], j[pick]
-            if len(i):
-                reach.append(float(np.quantile(self._reach(x[i], x[j]), recall)))
-                found += len(i)
+            pairs.append((i, j))
+        i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
         noise = rng.standard_normal(x.shape)
         noise -= (noise * x).sum(axis=1, keepdims=True) * x
         edge = threshold * x + np.sqrt(1 - threshold**2) * _unit(noise) if x.shape[1] > 1 else x
-        reach.append(float(np.quantile(self._reach(x, edge), recall)))
-        return max(reach) + 1e-9
-
-    def place(self, counts: dict[int, int], block_rows: int) -> None:
-        """Give each occupied cell its blocks: small neighbours share one, large cells get several."""
-        block, room = -1, 0
-        for cell in sorted(counts):
-            n = counts[cell]
-            if n > block_rows:
-                parts = -(-n // block_rows)
-                self.blocks[cell] = (block + 1, parts)
-                block, room = block + parts, 0
-                continue
-            if n > room:
-                block, room = block + 1, block_rows
-            self.blocks[cell] = (block, 1)
-            room -= n
-
-    def visits(self, a: np.ndarray, b: np.ndarray) -> Iterator[int]:
-        """Multi-sequence traversal: cells by growing a[i] + b[j] up to the radius."""
-        pa_, pb = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        heap = [(a[pa_[0]] + b[pb[0]], 0, 0)]
-        while heap:
-            d, i, j = heapq.heappop(heap)
-            if d > self.radius:
-                return
-            yield int(pa_[i]) * len(self.books[1]) + int(pb[j])
-            if j + 1 < len(pb):
-                heapq.heappush(heap, (a[pa_[i]] + b[pb[j + 1]], i, j + 1))
-            if j == 0 and i + 1 < len(pa_):
-                heapq.heappush(heap, (a[pa_[i + 1]] + b[pb[0]], i + 1, 0))
-
-    def home_and_visits(self, x: np.ndarray, ids: np.ndarray) -> list[tuple[int, list[int]]]:
-        """Each vector's own block and all blocks that it visits, its own included."""
-        a, b = self.cell_distances(x)
-        own = self.cells(x)
-        out = []
-        for n in range(len(x)):
-            first, parts = self.blocks[int(own[n])]
-            home = first + xxhash.xxh64_intdigest(int(ids[n]).to_bytes(8, "little", signed=True)) % parts
-            seen = {home}
-            for cell in self.visits(a[n], b[n]):
-                if cell in self.blocks:
-                    first, parts = self.blocks[cell]
-                    seen.update(range(first, first + parts))
-            out.append((home, sorted(seen)))
-        return out
+        for one, two in ((x[i], x[j]), (x, edge)):
+            found = [self._reach(one[k : k + 1024], two[k : k + 1024]) for k in range(0, len(one), 1024)]
+            if found:
+                reach.append(float(np.quantile(np.concatenate(found), recall)))
+        return max(reach) + 1e-12
+
+    def visits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Multi-sequence traversal: the occupied cells by growing a[i] + b[j] up to the radius. Along
+        growing a, each row takes a shorter stretch of growing b."""
+        i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+        i, j = i[: np.searchsorted(a[i], self.radius, side="right")], j[: np.searchsorted(b[j], self.radius, side="right")]
+        ends = np.searchsorted(b[j], self.radius - a[i], side="right")
+        cells = np.concatenate([i[r] * len(self.books[1]) + j[:end] for r, end in enumerate(ends.tolist())])
+        cells = cells[self.occupied[cells]]
+        return cells[np.argsort(a[cells // len(self.books[1])] + b[cells % len(self.books[1])], kind="stable")]
+
+    def route(self, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list, list, list]:
+        """Each vector's cell, the cells it visits, and the blocks that it is a member of and that it
+        visits. A block is cell << 40 | part << 20 | salt; a cell cut in parts has as many salts,
+        by which its visitors are dealt out."""
+        home, members, visits, blocks = [], [], [], []
+        for at in range(0, len(x), 512):
+            cell, a, b = self.places(x[at : at + 512])
+            home.append(cell)
+            for n, own in enumerate(cell.tolist()):
+                seen = self.visits(a[n], b[n])
+                visits.append(seen)
+                draw = xxhash.xxh64_intdigest(int(ids[at + n]).to_bytes(8, "little", signed=True))
+                parts = self.parts.get(own, 1)
+                members.append([own << 40 | draw % parts << 20 | salt for salt in range(parts)])
+                to = seen.astype(np.int64) << 40
+                cut = [c for c in seen.tolist() if c in self.parts] if self.parts else ()
+                if cut:
+                    to = [c << 40 for c in seen.tolist() if c not in self.parts]
+                    to += [c << 40 | part << 20 | (draw >> 32) % self.parts[c] for c in cut for part in range(self.parts[c])]
+                blocks.append(to)
+        return np.concatenate(home), visits, members, blocks
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of doubles, scaled to length 1."""
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1))
 
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,122 +168,148 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = rows.schema["embedding"].dataType.simpleString()
     each = materialize(rows.mapInArrow(run, f"vec_id long, embedding {kind}, k1 long, k2 long, ok boolean"), "vectors")
     classes = each.where("ok").groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").cast("array<double>").alias("embedding"))
+        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     return each.select("vec_id", "k1", "k2", "ok"), materialize(classes, "vector-classes")
 
 
+ROUTED = "rep long, n long, home int, visits array<int>, members array<long>, blocks array<long>"
+FOUND = "rep long, links long, root long"
+
+
+def _links(members: list[tuple], query: tuple, threshold: float) -> list[np.ndarray] | None:
+    """(rep, links, root) of those linked among a block's members and some of its visitors, each
+    given as (vectors, rep, n, home, visits)."""
+    y, y_rep, y_n, y_visits = members
+    x, x_rep, x_n, x_home = query
+    i, j = np.nonzero(x @ y.T >= threshold)
+    other = x_rep[i] != y_rep[j]
+    i, j = i[other], j[other]
+    if not len(i):
+        return None
+    # a visitor counts its links here; a member counts those whose home it doesn't visit itself
+    want = (j.astype(np.int64) << 32) | x_home[i]
+    at = np.minimum(np.searchsorted(y_visits, want), len(y_visits) - 1)
+    lone = y_visits[at] != want
+    reps, inverse = np.unique(np.concatenate([x_rep, y_rep]), return_inverse=True)
+    a, b = inverse[i], inverse[len(x_rep) + j]
+    links = np.bincount(a, weights=y_n[j], minlength=len(reps)) + np.bincount(b[lone], weights=x_n[i[lone]], minlength=len(reps))
+    root = np.arange(len(reps))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    own = np.flatnonzero((links > 0) | (root != np.arange(len(reps))))
+    return [reps[own], links[own].astype(np.int64), reps[root[own]]]
+
+
 def _verify(threshold: float):
-    """mapInPandas body: rows (block, salt, member, rep, n, home, visits, embedding), members first."""
-
-    def blocks_of(held: pd.DataFrame) -> tuple:
-        visits = held["visits"].tolist()
-        keys = np.concatenate([np.full(len(v), i, dtype=np.int64) << 32 | np.asarray(v, dtype=np.int64) for i, v in enumerate(visits)])
-        return _unit(np.stack(held["embedding"].to_numpy()).astype(float)), held["rep"].to_numpy(), held["n"].to_numpy(), np.sort(keys), int(held["home"].iloc[0])
-
-    def match(members: tuple, query: pd.DataFrame) -> pd.DataFrame:
-        y, y_rep, y_n, y_visits, block = members
-        x, x_rep = _unit(np.stack(query["embedding"].to_numpy()).astype(float)), query["rep"].to_numpy()
-        i, j = np.nonzero(x @ y.T >= threshold)
-        other = x_rep[i] != y_rep[j]
-        i, j = i[other], j[other]
-        if not len(i):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        # the query counts its links here; a member counts those whose home it doesn't visit itself
-        want = (j.astype(np.int64) << 32) | query["home"].to_numpy(np.int64)[i]
-        at = np.minimum(np.searchsorted(y_visits, want), len(y_visits) - 1)
-        lone = y_visits[at] != want
-        reps, inverse = np.unique(np.concatenate([x_rep, y_rep]), return_inverse=True)
-        a, b = inverse[i], inverse[len(x_rep) + j]
-        links = np.bincount(a, weights=y_n[j], minlength=len(reps)) + np.bincount(
-            b[lone], weights=query["n"].to_numpy()[i[lone]], minlength=len(reps))
-        root = np.arange(len(reps))
-        while True:
-            new = root.copy()
-            np.minimum.at(new, a, root[b])
-            np.minimum.at(new, b, root[a])
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        own = np.flatnonzero((links > 0) | (root != np.arange(len(reps))))
-        return pd.DataFrame({"rep": reps[own], "links": links[own].astype(np.int64), "root": reps[root[own]]})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInArrow body over rows (block, member, rep, n, home, visits, embedding), a block's members first."""
+
+    def opened(held: list[tuple]) -> tuple:
+        vectors, reps, n, _, visits = zip(*held, strict=True)
+        visits = [v for part in visits for v in part.to_pylist()]
+        keys = np.concatenate([np.full(len(v), k, dtype=np.int64) << 32 | np.asarray(v, dtype=np.int64) for k, v in enumerate(visits)])
+        return np.concatenate(vectors), np.concatenate(reps), np.concatenate(n), np.sort(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, members = None, [], None
-        for frame in frames:
-            for k, part in frame.groupby(["block", "salt"], sort=True):
-                if k != key:
-                    key, held, members = k, [], None
-                is_member = part["member"].to_numpy()
-                if is_member.any():
-                    held.append(part[is_member])
-                query = part[~is_member]
-                if len(query):
-                    if members is None:
-                        members = blocks_of(pd.concat(held))
-                    for at in range(0, len(query), 2048):
-                        yield match(members, query.iloc[at : at + 2048])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, member, rep, n, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            vectors = matrix(batch.column(6))
+            cut = np.flatnonzero((np.diff(block) != 0) | (np.diff(member.astype(np.int8)) != 0)) + 1
+            out = []
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
+                if block[a] != key:
+                    key, held, members = block[a], [], None
+                if member[a]:
+                    held.append((vectors[a:b], rep[a:b], n[a:b], home[a:b], batch.column(5).slice(a, b - a)))
+                    continue
+                members = members or opened(held)
+                for at in range(a, b, 2048):
+                    end = min(b, at + 2048)
+                    found = _links(members, (vectors[at:end], rep[at:end], n[at:end], home[at:end]), threshold)
+                    if found:
+                        out.append(found)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["rep", "links", "root"])
 
     return run
 
 
-def _sample(classes: DataFrame, n: int) -> list[list[float]]:
-    """About SAMPLE of the n embeddings, all if there are no more, in the order of a hash of rep. They
-    are picked by the hash before they reach the driver: a top-k would send SAMPLE rows of each partition."""
+def _sample(classes: DataFrame, n: int, size: int) -> list[list[float]]:
+    """About ``size`` of the n embeddings, all if there are no more, in the order of a hash of rep. They
+    are picked by the hash before they reach the driver: a top-k would send as many rows of each partition."""
     picked = classes.select(F.xxhash64("rep").alias("h"), "rep", "embedding")
-    if n > SAMPLE:
-        picked = picked.where(F.pmod("h", F.lit(1 << 40)) < (SAMPLE << 40) // n)
+    if n > size:
+        picked = picked.where(F.pmod("h", F.lit(1 << 40)) < (size << 40) // n)
     return [r["embedding"] for r in sorted(picked.collect(), key=lambda r: (r["h"], r["rep"]))]
 
 
+def _occupied(rows: list, cells: int) -> np.ndarray:
+    """Which cells have a bit, cell 0 the first, in Spark's bitmaps of 32,768 bits, numbered from 1."""
+    out = np.zeros(cells, dtype=bool)
+    for k, bits in rows:
+        at = (k - 1) * 32_768 + np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"))
+        out[at] = True
+    return out
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.995, cells: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
     Equal vectors are one class and are linked by count, never in pairs. Vectors that are null,
-    empty, zero or hold null or non-finite components link with nothing. Vectors of another length
-    than most of the sample are refused. Rows without a vec_id count as links of others and get
+    empty, zero or hold null or non-finite components link with nothing. Usable vectors of
+    different lengths are refused. Rows without a vec_id count as links of others and get
     their class's component. An empty table gives an empty result.
     """
     each, classes = _classes(vectors)
     classes = classes.where("rep is not null")
-    n = classes.count()
+    n, shortest, longest = classes.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if n and shortest != longest:
+        raise ValueError(f"vectors have {shortest} to {longest} components; all must have as many")
     if not n:
         return each.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = _sample(classes, n)
     if cells is None:
-        cells = int(min(256, max(4, 2 ** round(np.log2(np.sqrt(n / 16) + 1)))))
+        cells = int(min(CELLS, max(4, 2 ** round(np.log2(np.sqrt(n / 16) + 1)))))
+    sample = _sample(classes, n, max(SAMPLE, 8 * cells))
     index = MultiIndex(np.array(sample, dtype=float), cells, threshold, recall)
     spark = vectors.sparkSession
-    fitted = spark.sparkContext.broadcast(index)  # two codebooks of at most 256 rows
-
-    def cell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield pd.DataFrame({"cell": fitted.value.cells(_unit(np.stack(frame["embedding"].to_numpy()).astype(float)))})
+    fitted = spark.sparkContext.broadcast(index)  # two codebooks of at most CELLS rows
 
-    counts = classes.select("embedding").mapInPandas(cell, "cell long").groupBy("cell").count()
-    index.place({r[0]: r[1] for r in counts.collect()}, int(min(4096, max(256, n // 100))))  # at most cells * cells rows
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(0)) if batch.num_rows else np.empty((0, 1))
+            found = [fitted.value.places(x[at : at + 512])[0] for at in range(0, len(x), 512)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["cell"])
+
+    counts = materialize(classes.select("embedding").mapInArrow(cell, "cell long").groupBy("cell").count(), "cells")
+    most = max(BLOCK, n // CUTS)
+    index.parts = {r[0]: -(-r[1] // most) for r in counts.where(F.col("count") > most).collect()}  # at most CUTS
+    bit = F.col("cell") + 1
+    bits = counts.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    index.occupied = _occupied(bits.collect(), len(index.occupied))  # a bit per cell
     placed = spark.sparkContext.broadcast(index)
 
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = _unit(np.stack(frame["embedding"].to_numpy()).astype(float))
-            found = placed.value.home_and_visits(x, frame["rep"].to_numpy())
-            yield frame.assign(home=[h for h, _ in found], visits=[v for _, v in found])[["rep", "n", "embedding", "home", "visits"]]
-
-    routed = classes.select("rep", "n", "embedding").mapInPandas(
-        route, "rep long, n long, embedding array<double>, home int, visits array<int>")
-    routed = materialize(routed, "routed")
-    member = routed.select(
-        F.col("home").alias("block"), F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt"), F.lit(True).alias("member"),
-        "rep", "n", "home", "visits", "embedding")
-    query = routed.select(
-        F.explode("visits").alias("block"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(False).alias("member"),
-        "rep", "n", "home", F.array().cast("array<int>").alias("visits"), "embedding")
-    dealt = member.union(query).repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("member"))
-    found = materialize(dealt.mapInPandas(_verify(threshold), "rep long, links long, root long"), "vector-links")
+            home, visits, members, blocks = placed.value.route(matrix(batch.column(2)), batch.column(0).to_numpy())
+            lists = [pa.array(visits, pa.list_(pa.int32())), pa.array(members, pa.list_(pa.int64())), pa.array(blocks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(home, pa.int32()), *lists, batch.column(2)], [x.split()[0] for x in shape.split(", ")])
+
+    shape = f"{ROUTED}, embedding {classes.schema['embedding'].dataType.simpleString()}"
+    routed = materialize(classes.select("rep", "n", "embedding").mapInArrow(route, shape), "routed")
+    member = routed.select(F.explode("members").alias("block"), F.lit(True).alias("member"), "rep", "n", "home", "visits", "embedding")
+    query = routed.select(F.explode("blocks").alias("block"), F.lit(False).alias("member"), "rep", "n", "home", F.array().cast("array<int>").alias("visits"), "embedding")
+    dealt = member.union(query).repartition("block").sortWithinPartitions("block", F.desc("member"))
+    found = materialize(dealt.mapInArrow(_verify(threshold), FOUND), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     whole = classes.select("rep", "n", "k1", "k2").join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
