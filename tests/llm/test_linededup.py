@@ -31,6 +31,16 @@ def test_clean_matches_brute_force(spark, broadcast_bytes):
     assert rows_of(index.clean(docs, broadcast_bytes)) == brute(ROWS, 3)
 
 
+def test_columns_named_like_its_own_pass_through(spark):
+    own = "row string, gone string, shard string, salt string, bits string, pos string"
+    docs = spark.createDataFrame([(*r, *"abcdef") for r in ROWS], f"{SCHEMA}, {own}")
+    index = LineIndex.build(docs, min_docs=3)
+    for size in (1 << 20, -1):
+        out = index.clean(docs, size)
+        assert out.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+        assert rows_of(out) == brute(ROWS, 3) and {tuple(r)[2:8] for r in out.collect()} == {tuple("abcdef")}
+
+
 def test_insert_then_delete_restores(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     more = spark.createDataFrame([(20 + i, "été\nbody 1", "") for i in range(4)], SCHEMA)

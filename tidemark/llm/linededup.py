@@ -7,7 +7,8 @@ counts; keys that cross the threshold enter or leave their filter, so both are r
 While the filters together are within ``broadcast_bytes`` they are broadcast and documents are
 cleaned in one pass without a shuffle: the keys of the table that hit a filter without being
 common (its false positives) are known, and sent along as exceptions, so the answer is exact.
-Beyond that size, documents' lines are joined with the common keys instead.
+Beyond that size, lines travel to their shard's filter, and those that pass it are joined with the
+common keys.
 """
 
 from __future__ import annotations
@@ -172,20 +173,52 @@ class LineIndex:
                 )
 
         each = docs.select("__row", "text").mapInArrow(lines, "row long, pos int, hi long, lo long")
-        each = each.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-        common = self.counts.where(F.col("docs") >= self.min_docs).select("hi", "lo")
-        common = common.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-        gone = each.join(common, ["hi", "lo", "salt"]).groupBy("row").agg(F.collect_list("pos").alias("gone"))
-        text = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-        gone_or = F.coalesce("gone", F.array().cast("array<int>"))
-        both = docs.join(gone, docs["__row"] == gone.row, "left").withColumn("__lines", text).withColumn("gone", gone_or)
-        kept = F.filter("__lines", lambda x, i: ~F.array_contains(F.col("gone"), i))
-        return (
-            both.withColumn("text", F.array_join(kept, "\n"))
-            .withColumn("n_lines", F.size("__lines").cast("long"))
-            .withColumn("n_dropped", F.size("gone").cast("long"))
-            .select(*names, "n_lines", "n_dropped")
-        )
+        each = each.select(_shard(self.shards), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.lit(None).cast("binary").alias("bits"), "*")
+        salts = F.explode(F.array(*(F.lit(i) for i in range(SALTS)))).alias("salt")
+        nothing = (F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("pos", "int"), ("hi", "long"), ("lo", "long")))
+        held = self.filters.select("shard", salts, "bits", *nothing)
+        dealt = held.union(each).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("bits").isNull())
+        hits = dealt.mapInArrow(_screen, "row long, pos int, salt int, hi long, lo long")
+        common = self.counts.where(F.col("docs") >= self.min_docs).select("hi", "lo", salts)
+        gone = hits.join(common, ["hi", "lo", "salt"]).groupBy("row").agg(F.collect_list("pos").alias("gone")).toDF("__of", "__gone")
+        both = docs.join(gone, F.col("__row") == F.col("__of"), "left").select(*(F.col(f"`{c}`") for c in names), "__gone")
+        at_text = names.index("text")
+        schema = T.StructType([*both.schema.fields[:-1], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+        def drop(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                kept, n, m = [], [], []
+                for text, places in zip(column(batch, "text"), batch.column(len(names)).to_pylist(), strict=True):
+                    own, dropped = (text or b"").split(b"\n"), set(places or ())
+                    kept.append(b"\n".join(x for i, x in enumerate(own) if i not in dropped))
+                    n.append(len(own))
+                    m.append(len(dropped))
+                columns = batch.columns[:-1]
+                columns[at_text] = pa.array(kept, pa.binary()).cast(columns[at_text].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(m, pa.int64())], schema.names)
+
+        return both.mapInArrow(drop, schema)
+
+
+def _screen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body over lines by shard and salt, the shard's filter first: the lines that pass it."""
+    held, where = None, None
+    for batch in rows:
+        shard, salt = (batch.column(i).to_numpy() for i in range(2))
+        cut = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(shard)], strict=True):
+            if a == b:
+                continue
+            if (shard[a], salt[a]) != where:
+                held, where = None, (shard[a], salt[a])
+            if (bits := batch.column(2)[a].as_py()) is not None:
+                held, a = CuckooFilter.loads(bits), a + 1
+            if held is None or a == b:
+                continue
+            part = batch.slice(a, b - a)
+            hi, lo = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (5, 6))
+            found = part.filter(pa.array(held.contains(hi, lo)))
+            yield pa.RecordBatch.from_arrays([found.column(i) for i in (3, 4, 1, 5, 6)], ["row", "pos", "salt", "hi", "lo"])
 
 
 def _shard(shards: int):
