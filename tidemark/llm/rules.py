@@ -1,5 +1,11 @@
 """Quality rules, line first: rules judge each line, failing lines go, and a document that loses
-too much of its text goes too."""
+too much of its text goes too.
+
+A line fails by itself if it is ridden with symbols or exclamations, is hardly made of letters of
+any script, is a bar of links, or has a known phrase of pages' furniture. It fails by its company if
+the text has said it twice before, or in a stretch of short lines of which none ends a sentence, as
+menus have.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WordHash, column
+from tidemark.llm.common import SPACE, WordHash, column
 
 SYMBOLS = b"#*$%&|<>"
 #: Fixed phrases of pages' furniture, lower case.
@@ -21,6 +27,11 @@ BOILERPLATE = (
     b"subscribe to our newsletter", b"sign up for our newsletter", b"share on facebook", b"share on twitter",
     b"enable javascript", b"javascript is disabled", b"lorem ipsum", b"powered by", b"click here to",
 )
+#: What ends a sentence, in several scripts.
+STOPS = tuple(x.encode() for x in ".!?:;…。！？»”\"')]")
+#: From how many equal lines on the later ones fail, and how many short lines in a row of how few words.
+REPEATS, MENU_LINES, MENU_WORDS = 3, 3, 4
+_LETTERS = bytes(range(0x80, 0x100)) + b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 NAVIGATION = re.compile(rb"\||>|\xc2\xbb|\xc2\xb7|\xe2\x80\xba")
 _BOILER = re.compile(b"|".join(re.escape(x) for x in BOILERPLATE))
 
@@ -58,7 +69,7 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
 
 
 def bad_line(line: bytes) -> bool:
-    """Whether a line fails: symbol-ridden, a navigation bar, or boilerplate. Blank lines never do."""
+    """Whether a line fails by itself. Blank lines never do."""
     words = line.split()
     if not words:
         return False
@@ -66,6 +77,8 @@ def bad_line(line: bytes) -> bool:
     symbols = chars - len(b"".join(words).translate(None, SYMBOLS + b"!_=~^{}[]\\"))
     if 4 * symbols > chars:
         return True
+    if len(words) > 3 and 2 * len(b"".join(words).translate(None, _LETTERS)) > chars:
+        return True
     if 3 * len(NAVIGATION.findall(line)) > len(words) and len(words) > 2:
         return True
     marks = sum(w.endswith((b"!!", b"??")) for w in words)
@@ -74,18 +87,41 @@ def bad_line(line: bytes) -> bool:
     return len(words) < 30 and _BOILER.search(line.lower()) is not None
 
 
+def bad_lines(lines: list[bytes]) -> list[bool]:
+    """Which lines fail, by themselves or by their company."""
+    bad = [bad_line(x) for x in lines]
+    said: dict[bytes, list[int]] = {}
+    run: list[int] = []
+    for n, line in enumerate([*lines, b""]):
+        words = line.split()
+        if 0 < len(words) < MENU_WORDS and not words[-1].endswith(STOPS):
+            run.append(n)
+            continue
+        if len(run) >= MENU_LINES:
+            for i in run:
+                bad[i] = True
+        run = []
+    for n, line in enumerate(lines):
+        if key := line.strip(SPACE).lower():
+            said.setdefault(key, []).append(n)
+    for found in said.values():
+        for i in found[1:] if len(found) >= REPEATS else ():
+            bad[i] = True
+    return bad
+
+
 def judge(text: bytes) -> tuple[dict[str, int], bytes]:
     """The figures of one text, and the text without its bad lines."""
     words = text.split()
     seen: set[bytes] = set()
     kept, dup, bad, lost = [], 0, 0, 0
     lines = text.split(b"\n")
-    for line in lines:
+    for line, fails in zip(lines, bad_lines(lines), strict=True):
         blank = not line.split()
         if not blank:
             dup += line in seen
             seen.add(line)
-        if not blank and bad_line(line):
+        if fails:
             bad += 1
             lost += characters(b"".join(line.split()))
         else:
