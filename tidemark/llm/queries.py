@@ -109,4 +109,20 @@ select d.doc_id, len(d.w) as n_words, count(g.p) as n_removed,
   sha256(coalesce(string_agg(e.word, ' ' order by e.p) filter (g.p is null), '')) as kept_sha256
 from words d left join each e using (doc_id) left join gone g on g.doc_id = e.doc_id and g.p = e.p
 group by d.doc_id, d.w""",
+    "op3_embeddings": """
+with recursive e as (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings),
+good as (select vec_id, v from e where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from good a join good b
+  on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9),
+walk as (select vec_id as a, vec_id as b from embeddings union select w.a, l.b from walk w join links l on l.a = w.b),
+least as (select a, min(b) as component_id from walk group by a)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on a = vec_id""",
+    "op4_warc": f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, strlen(h) as n, sha1(h) as s, max(page_id) over (partition by h) as last from p),
+g as (select *, list_transform(range(0, 8), lambda i: ('0x' || substr(s, 5 * i + 1, 5))::BIGINT) as v from d)
+select page_id, n as payload_bytes, array_to_string(list_transform(v, lambda x: {" || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> {k}) & 31) + 1, 1)" for k in (15, 10, 5, 0))}), '') as payload_digest,
+  case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to from g""",
 }
