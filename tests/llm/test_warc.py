@@ -41,7 +41,11 @@ def test_round_trip(spark, tmp_path, chunk, least):
             head, data = data.split(b"\r\n\r\n", 1)
             assert head.startswith(b"WARC/1.1\r\n")
             n = int(head.rpartition(b"Content-Length: ")[2])
-            payloads.append((b"WARC-Type: response" in head, data[:n]))
+            block = data[:n]
+            if b"WARC-Type: response" in head:
+                http, block = block.split(b"\r\n\r\n", 1)
+                assert b"application/http" in head and http.startswith(b"HTTP/1.1 200") and http.endswith(b"Content-Length: %d" % len(block))
+            payloads.append((b"WARC-Type: response" in head, block))
             assert data[n : n + 4] == b"\r\n\r\n"
             data = data[n + 4 :]
     plain = sorted((r[1] == "response", r[2]) for r in want(ROWS, least))
@@ -55,5 +59,12 @@ def test_damage_is_found(spark):
         warc.read_archives(broken).collect()
 
 
+def test_payload_over_a_python_batch(spark):
+    rows = [(i, "u", "x" * 12_000_000 + str(i % 2), "") for i in range(4)]
+    archive = materialize(warc.write_archives(spark.createDataFrame(rows, SCHEMA), chunk_bytes=1 << 20), "test")
+    assert archive.selectExpr("max(length(data))").first()[0] < (1 << 20) + 1000
+    assert sorted((tuple(r) for r in warc.read_archives(archive).drop("url").collect()), key=repr) == want(rows, 0)
+
+
 def test_empty(spark):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], SCHEMA))).count() == 0

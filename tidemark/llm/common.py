@@ -7,53 +7,21 @@ anything but ``[\\x20\\x09-\\x0D]``; only A-Z is lower-cased).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.stage import drop_written, written
+
 SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_TABLES: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, the context's checkpoint folder, or in
-    local mode, where all is one machine, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        found = jsc.getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _TABLES.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_temporary(spark: SparkSession) -> int:
-    """Delete the tables that materialize() wrote; call it when results were stored."""
-    n = len(_TABLES)
-    jvm = spark.sparkContext._jvm
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+materialize, drop_temporary = written, drop_written
 
 
 def column(batch: pa.RecordBatch, name: str) -> list:

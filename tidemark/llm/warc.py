@@ -1,9 +1,9 @@
 """WARC archives as a chunked record table.
 
 An archive is a table (archive, record, chunk, chunks, data): a record's chunks, in order, are the
-bytes of a WARC 1.1 record, and an archive's records, in order, those of a .warc file. Chunk 0
-holds the header block and the payload's first chunk_bytes, each later chunk as much again, so the
-reader holds one chunk and a running digest however long a record is. Records of one chunk are
+bytes of a WARC 1.1 record, and an archive's records, in order, those of a .warc file. A response's
+block is an HTTP response, as its readers expect. Chunk 0 holds the headers and the payload's first
+chunk_bytes, each later chunk as much again, so the reader holds one chunk and a running digest however long a record is. Records of one chunk are
 read where they lie; only the chunks of longer ones are brought together by a shuffle.
 ``export`` puts the bytes of archives into files.
 """
@@ -72,9 +72,15 @@ def _line(name: str, value) -> bytes:
     return f"{name}: {text}\r\n".encode()
 
 
+def http_header(n_bytes: int) -> bytes:
+    """The head of the HTTP response that a response record's block is."""
+    return b"HTTP/1.1 200 OK\r\n" + _line("Content-Type", "text/html; charset=utf-8") + _line("Content-Length", n_bytes) + b"\r\n"
+
+
 def header(page_id, url, n_bytes: int, digest: str, refers_to) -> bytes:
-    """The header block of a record, its blank line included."""
+    """The headers of a record, their blank lines included: its own, and for a response HTTP's."""
     revisit = refers_to is not None
+    http = b"" if revisit else http_header(n_bytes)
     out = b"WARC/1.1\r\n" + _line("WARC-Type", "revisit" if revisit else "response")
     out += _line("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>") + _line("WARC-Date", DATE)
     if url is not None:
@@ -83,8 +89,8 @@ def header(page_id, url, n_bytes: int, digest: str, refers_to) -> bytes:
     if revisit:
         out += _line("WARC-Profile", PROFILE) + _line("WARC-Refers-To", f"<urn:page:{refers_to}>")
     else:
-        out += _line("Content-Type", "text/html; charset=utf-8")
-    return out + _line("Content-Length", 0 if revisit else n_bytes) + b"\r\n"
+        out += _line("Content-Type", "application/http; msgtype=response")
+    return out + _line("Content-Length", 0 if revisit else len(http) + n_bytes) + b"\r\n" + http
 
 
 def pieces(head: bytes, payload: bytes, chunk_bytes: int) -> Iterator[bytes]:
@@ -159,7 +165,13 @@ class _Reader:
             raise ValueError(f"record {record}: no header block")
         self.record, self.sha1, self.tail = record, hashlib.sha1(), b""
         self.fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        self.left = self.length = int(self.fields["Content-Length"])
+        size = int(self.fields["Content-Length"])
+        if self.fields["WARC-Type"] == "response":
+            http, end, rest = rest.partition(END)
+            if not end or not http.startswith(b"HTTP/"):
+                raise ValueError(f"record {record}: no HTTP header")
+            size -= len(http) + len(end)
+        self.left = self.length = size
         self.more(rest)
 
     def more(self, data: bytes) -> None:
