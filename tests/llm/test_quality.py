@@ -34,16 +34,18 @@ def test_held_out_accuracy(spark):
 
 def test_posteriors_match_brute_force(spark):
     rows, labels = corpus(200)
-    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    rows += [(9000, "never labelled", "new", "xx", "x"), (9001, "never labelled", "s1", "xx", "x")]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels[:150], LABELS)
     got = quality.classify(docs, known).collect()
     where = {r[0]: (r[2], r[3]) for r in rows}
-    p = {r.doc_id: 1 / (1 + np.exp(-max(r.low_odds, r.toxic_odds))) for r in got}
-    rate = np.mean(list(p.values()))
+    bad = {i: int(q == 0 or t == 1) for i, q, t in labels[:150]}
+    fold = {r.doc_id: r.fold for r in docs.select("doc_id", quality._fold("doc_id").alias("fold")).collect()}
+    rate = np.mean(list(bad.values()))
 
-    def groups(key, values):
+    def groups(key):
         out = {}
-        for d, v in values.items():
-            out.setdefault(key(where[d]), []).append(v)
+        for i, b in bad.items():
+            out.setdefault(key(where[i]), []).append(b)
         return {k: (len(v), sum(v)) for k, v in out.items()}
 
     def strength(g, mean):
@@ -53,16 +55,39 @@ def test_posteriors_match_brute_force(spark):
         weighted = sum(n * mean(k) * (1 - mean(k)) for k, (n, _) in g.items())
         return min(1e6, max(1.0, weighted / total / max(1e-9, (spread - within) / total) - 1))
 
-    hosts, paths = groups(lambda w: w[0], p), groups(lambda w: w, p)
-    s = strength(hosts, lambda k: rate)
-    host = {k: (b + rate * s) / (n + s) for k, (n, b) in hosts.items()}
-    s = strength(paths, lambda k: host[k[0]])
-    path = {k: (b + host[k[0]] * s) / (n + s) for k, (n, b) in paths.items()}
+    hosts, paths = groups(lambda w: w[0]), groups(lambda w: w)
+    sh = strength(hosts, lambda k: rate)
+    sp = strength(paths, lambda k: (hosts[k[0]][1] + rate * sh) / (hosts[k[0]][0] + sh))
+    assert len(got) == 202
     for r in got:
-        assert r.host_rate == pytest.approx(host[where[r.doc_id][0]]) and r.path_rate == pytest.approx(path[where[r.doc_id]])
-        shift = np.log(r.path_rate / (1 - r.path_rate)) - np.log(rate / (1 - rate))
-        bad = 1 / (1 + np.exp(-(max(r.low_odds, r.toxic_odds) + shift)))
-        assert r.bad_probability == pytest.approx(bad) and r.kept == (bad <= 0.5)
+        i, w = r.doc_id, where[r.doc_id]
+        others = {k: b for k, b in bad.items() if fold[k] != fold[i]}
+        in_host = [b for k, b in others.items() if where[k][0] == w[0]]
+        in_path = [b for k, b in others.items() if where[k] == w]
+        host = (sum(in_host) + rate * sh) / (len(in_host) + sh)
+        path = (sum(in_path) + host * sp) / (len(in_path) + sp)
+        assert r.host_rate == pytest.approx(host) and r.path_rate == pytest.approx(path)
+        shift = np.log(path / (1 - path)) - np.log(rate / (1 - rate))
+        p = 1 / (1 + np.exp(-(max(r.low_odds, r.toxic_odds) + shift)))
+        assert r.bad_probability == pytest.approx(p) and r.kept == (p <= 0.5)
+
+
+def test_sites_change_verdicts_for_the_better(spark):
+    """Weak evidence in the text, strong in the host: held-out labels are met more often with both."""
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(1500):
+        host = i % 10
+        low = rng.random() < (0.9 if host < 3 else 0.05)
+        words = [f"w{k}" for k in rng.integers(0, 50, 20)] + ["doubt"] * (rng.random() < (0.7 if low else 0.3))
+        rows.append((i, " ".join(words), f"h{host}", "en", "x"))
+        labels.append((i, int(not low), 0))
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels[:1000], LABELS)
+    got = {r.doc_id: r for r in quality.classify(docs, known).collect()}
+    held = [(got[i], q == 1) for i, q, _ in labels[1000:]]
+    alone = np.mean([(r.low_odds <= 0) == good for r, good in held])
+    both = np.mean([r.kept == good for r, good in held])
+    assert both > 0.9 and both > alone + 0.05
 
 
 def test_edges(spark):

@@ -1,11 +1,12 @@
 """Quality classifier: document evidence combined with host and path posteriors.
 
 Two logistic models over hashed words and marks, one for quality and one for toxicity, give each
-document a log odds of being bad. Sites are judged by hierarchical empirical Bayes: a host's
-rate of bad documents is a Beta posterior around the global rate, a path's one around its host's
-rate, with prior strengths estimated by the method of moments from the groups themselves, so that
-sparse sites shrink toward the global prior. A document's odds are its evidence times its path's
-posterior odds over the global odds.
+document a log odds of being bad. Sites are judged by hierarchical empirical Bayes over all labels:
+a host's rate of bad documents is a Beta posterior around the global rate, a path's one around its
+host's rate, with prior strengths estimated by the method of moments from the groups themselves, so
+that sparse sites shrink toward the global prior. Documents are dealt into folds, and the rates
+for a fold come from the labels of the others, so that no document votes for itself. A document's
+odds are its evidence times its path's posterior odds over the global odds.
 """
 
 from __future__ import annotations
@@ -58,6 +59,14 @@ def slots(text: bytes, seen: Features) -> np.ndarray:
     return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
+def judged(labels: DataFrame) -> DataFrame:
+    """(doc_id, low, toxic), one row per labelled document; of several labels the worst holds."""
+    return only(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(
+        F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("low"),
+        F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"),
+    )
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> np.ndarray:
     """Weights (2, SLOTS + 1) for low quality and for toxicity; the last column is the intercept.
 
@@ -65,11 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> np.ndarray:
     those of smallest hash of doc_id: only their slots come to the driver. No slot is left out; the
     less its log odds ratio differs from 0, in standard errors, the more it is shrunk.
     """
-    known = only(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(
-        F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("low"),
-        F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"),
-    )
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = judged(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Features()
@@ -93,8 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> np.ndarray:
     return out
 
 
-def _logistic(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Newton's method with conjugate gradients. ``at`` holds each document's slots one after
+def _logistic(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 8) -> np.ndarray:
+    """Newton's method with conjugate gradients, stopped early: verdicts settle long before weights
+    do. ``at`` holds each document's slots one after
     another, of which it has ``sizes`` (1 at least); the intercept is last and lightly shrunk."""
     used, at = np.unique(at, return_inverse=True)
     n, starts = len(used), np.cumsum(sizes) - sizes
@@ -126,8 +132,8 @@ def _logistic(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 30)
         z = left / scale
         way, size = z, left @ z
         first = size
-        for _ in range(100):
-            if size <= 1e-2 * first:
+        for _ in range(10):
+            if size <= 1e-1 * first:
                 break
             bent = back(bend * forth(way)) + penalty * way
             length = size / (way @ bent)
@@ -141,7 +147,7 @@ def _logistic(at: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 30)
         if share <= 1e-3:
             break
         w, gain, before = w + share * step, before - after, after
-        if gain < 1e-5 * after:
+        if gain < 1e-2 * after:
             break
     out = np.zeros(SLOTS + 1)
     out[used], out[-1] = w[:-1], w[-1]
@@ -170,44 +176,19 @@ def evidence(docs: DataFrame, weights: np.ndarray, whole: bool = False) -> DataF
     return rows.mapInArrow(run, f"{shape}, row {rows.schema['row'].dataType.simpleString()}" if whole else shape)
 
 
-def _odds(p):
-    return F.log(p / (1 - p))
-
-
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.5, whole: bool = False) -> DataFrame:
     """(doc_id, low_odds, toxic_odds, host_rate, path_rate, bad_probability, kept) per row of docs;
     if whole, also row, docs' row as a struct.
 
     The host is source, the path source and lang; nulls are groups of their own, as are null texts
-    the empty text. Site rates come from the classifier's verdicts over all documents. Repeated
-    rows repeat; without labels every word weighs nothing and all documents
-    are kept. An empty table gives an empty result.
+    the empty text. Site rates come from the labels of all documents of other folds; a site without
+    any has its host's rate, or the global one. Repeated rows repeat; without labels every word
+    weighs nothing and all documents are kept. An empty table gives an empty result.
     """
     weights = fit(docs, labels, sample)
-    each = materialize(evidence(docs, weights, whole), "evidence")
-    verdict = F.greatest("low", "toxic")
-    p_bad = 1 / (1 + F.exp(-verdict))
-    paths = each.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(p_bad).alias("bad"))
-    paths = materialize(paths, "paths")
-    hosts = paths.groupBy("source").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
-    total, bad = paths.agg(F.sum("n"), F.sum("bad")).first()
-    if not total:
-        total, bad = 2, 1.0
-    rate = min(1 - 1e-6, max(1e-6, bad / total))
-    host_strength = _strength(hosts, "host_n", "host_bad", F.lit(rate))
-    hosts = hosts.withColumn("host_rate", (F.col("host_bad") + rate * host_strength) / (F.col("host_n") + host_strength))
-    hosts = hosts.withColumnRenamed("source", "host")
-    sites = paths.join(hosts, F.col("source").eqNullSafe(F.col("host"))).select("source", "lang", "n", "bad", "host_rate")
-    sites = materialize(sites, "sites")
-    path_strength = _strength(sites, "n", "bad", F.col("host_rate"))
-    # one line per site and salt, so that a hot site's documents are dealt out
-    salted = sites.select(
-        F.col("source").alias("s"), F.col("lang").alias("l"), "host_rate",
-        ((F.col("bad") + F.col("host_rate") * path_strength) / (F.col("n") + path_strength)).alias("path_rate"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    each = each.withColumn("k", F.pmod(F.xxhash64("doc_id", "low", "toxic"), F.lit(SALTS)).cast("int"))
-    both = each.join(salted, each.source.eqNullSafe(salted.s) & each.lang.eqNullSafe(salted.l) & (each.k == salted.salt))
+    salted, rate = site_rates(docs, labels)
+    each = evidence(docs, weights, whole).withColumn("k", _fold("doc_id"))
+    both = each.join(salted, each.source.eqNullSafe(salted.s) & each.lang.eqNullSafe(salted.l) & (each.k == salted.fold))
     prior = float(np.log(rate / (1 - rate)))
     shift = _odds(F.least(F.greatest("path_rate", F.lit(1e-6)), F.lit(1 - 1e-6))) - prior
     good = 1 / (1 + F.exp(F.greatest("low", "toxic") + shift))
@@ -218,13 +199,57 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold
     )
 
 
-SALTS = 64
+#: Folds of documents; they also deal out a hot site's documents.
+FOLDS = 32
+
+
+def _fold(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
+def site_rates(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(s, l, fold, host_rate, path_rate) for every source, lang and fold, and the global rate."""
+    own = judged(labels).select(F.col("doc_id").alias("labelled"), F.greatest("low", "toxic").alias("own"))
+    rows = only(docs, "doc_id", "source", "lang")
+    each = rows.join(own, rows.doc_id == own.labelled, "left").withColumn("fold", _fold("doc_id"))
+    cells = each.groupBy("source", "lang", "fold").agg(F.count("own").alias("n"), F.coalesce(F.sum("own"), F.lit(0)).alias("bad"))
+    cells = materialize(cells, "site-folds")
+    paths = cells.groupBy("source", "lang").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = paths.groupBy("source").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
+    total, bad = paths.agg(F.sum("n"), F.sum("bad")).first()
+    if not total:
+        total, bad = 2, 1
+    rate = min(1 - 1e-6, max(1e-6, bad / total))
+    host_strength = _strength(hosts, "host_n", "host_bad", F.lit(rate))
+    host = hosts.withColumnRenamed("source", "host").withColumn("mean", _shrunk("host_n", "host_bad", F.lit(rate), host_strength))
+    sites = materialize(paths.join(host, F.col("source").eqNullSafe(F.col("host"))).drop("host"), "sites")
+    path_strength = _strength(sites, "n", "bad", F.col("mean"))
+    # every site in every fold, less what the fold itself has
+    whole = sites.withColumnsRenamed({"source": "s", "lang": "l"}).drop("mean").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    less = cells.select(F.col("source").alias("ls"), F.col("lang").alias("ll"), F.col("fold").alias("lf"), F.col("n").alias("ln"), F.col("bad").alias("lb"))
+    host_less = less.groupBy("ls", "lf").agg(F.sum("ln").alias("hn"), F.sum("lb").alias("hb")).withColumnsRenamed({"ls": "hs", "lf": "hf"})
+    left = whole.join(less, F.col("s").eqNullSafe(F.col("ls")) & F.col("l").eqNullSafe(F.col("ll")) & (F.col("fold") == F.col("lf")), "left")
+    left = left.join(host_less, F.col("s").eqNullSafe(F.col("hs")) & (F.col("fold") == F.col("hf")), "left")
+    for n, b, m, c in (("n", "bad", "ln", "lb"), ("host_n", "host_bad", "hn", "hb")):
+        left = left.withColumn(n, F.col(n) - F.coalesce(m, F.lit(0))).withColumn(b, F.col(b) - F.coalesce(c, F.lit(0)))
+    left = left.withColumn("host_rate", _shrunk("host_n", "host_bad", F.lit(rate), host_strength))
+    left = left.withColumn("path_rate", _shrunk("n", "bad", F.col("host_rate"), path_strength))
+    return materialize(left.select("s", "l", "fold", "host_rate", "path_rate"), "site-rates"), rate
+
+
+def _odds(p):
+    return F.log(p / (1 - p))
+
+
+def _shrunk(n: str, bad: str, mean, strength: float):
+    """A group's rate as the posterior mean around ``mean``."""
+    return (F.col(bad) + mean * strength) / (F.col(n) + strength)
 
 
 def _strength(groups: DataFrame, n: str, bad: str, mean) -> float:
     """How many documents the prior counts for: method of moments over the groups' rates."""
     rate = F.col(bad) / F.col(n)
-    row = groups.agg(
+    row = groups.where(F.col(n) > 0).agg(
         F.sum(F.pow(rate - mean, 2) * F.col(n)), F.sum(mean * (1 - mean)), F.sum(mean * (1 - mean) * F.col(n)), F.sum(n), F.count("*")
     ).first()
     if not row[4]:
