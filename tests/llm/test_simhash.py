@@ -94,7 +94,28 @@ def test_nulls_and_empty(spark):
     assert got == sorted([(None, 3), (3, 3), (None, None)], key=repr)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.keep_first(docs).count() == 3
+    for keep in (simhash.keep_first, simhash.keep_first_similar):
+        assert keep(empty).count() == 0
+        assert sorted(map(tuple, keep(docs).collect()), key=repr) == [(3, "a b"), (None, None)]
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    far, near = "one two three four five six seven", " ".join(f"w{i}" for i in range(200))
+    rows = [(1, far, 1.0, "p"), (1, near, 2.0, "q"), (1, near, 3.0, "q"), (2, near + " end", 4.0, "r"), (None, far, 5.0, "s"), (1, far, 1.0, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h double, component string")
+    for keep in (simhash.keep_first, simhash.keep_first_similar):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        kept = sorted(map(tuple, kept.collect()))
+        assert [r[:2] for r in kept] == [(1, far), (1, near)] and kept == sorted(map(tuple, keep(docs.repartition(3)).collect()))
+
+
+def test_long_text_and_a_radius_past_the_keys(spark):
+    long = "one two three four five six seven " * 30_000
+    docs = spark.createDataFrame([(1, long), (2, long + "more"), (3, "other")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    with pytest.raises(ValueError, match="tau"):
+        simhash.chain_keys(8)
 
 
 def slow_shingles(text, k=5):

@@ -5,7 +5,8 @@ differ in at most 4 bits, some chain of consecutive segments keeps every prefix
 within floor(4 l / 8) differing bits (the pigeonring principle). For chains of five that leaves
 the first segment equal and at most two of the other four touched, in five possible ways, each
 of which leaves three segments equal. Those 8 x 5 triples are the join keys: no pair is lost.
-Pairs that meet under a key must pass the whole chain test before the full Hamming check.
+Pairs that meet under a key must pass the whole chain test before the full Hamming check; where
+more than SMALL meet, the whole ring is tested at once, which is the Hamming check itself.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import column, materialize, only, signed
@@ -52,8 +53,8 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for each row of docs; fp is the fingerprint as a signed long.
+def fingerprints(docs: DataFrame, shingle: int = 4, tagged: bool = False) -> DataFrame:
+    """(doc_id, fp) for each row of docs, and its h if tagged; fp is the fingerprint as a signed long.
 
     Null and wordless texts have fingerprint 0; fewer words than a shingle give one shingle.
     """
@@ -61,11 +62,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             fps = [fingerprint(t or b"", shingle) for t in column(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(signed(np.array(fps, dtype=np.uint64)))], ["doc_id", "fp"]
-            )
+            found = [batch.column(0), pa.array(signed(np.array(fps, dtype=np.uint64))), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(found, ["doc_id", "fp", *more])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    more = ["h"] * tagged
+    return only(docs, "doc_id", "text", *more).mapInArrow(run, "doc_id long, fp long" + ", h long" * len(more))
 
 
 def _budget(length: int, tau: int) -> int:
@@ -73,7 +74,10 @@ def _budget(length: int, tau: int) -> int:
 
 
 def chain_keys(tau: int) -> list[tuple[int, ...]]:
-    """For each start on the ring, the sets of segments that a viable chain may leave equal."""
+    """For each start on the ring, the sets of segments that a viable chain may leave equal. From
+    as many bits as segments on, a chain may have none, and keys would lose pairs."""
+    if not 0 <= tau < SEGMENTS:
+        raise ValueError(f"tau is {tau}; keys hold for 0 to {SEGMENTS - 1} bits")
     left: set[frozenset[int]] = set()
     for size in range(CHAIN):
         for wild in combinations(range(CHAIN), size):
@@ -217,41 +221,58 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, tau: int = 4) -> DataFram
     """(doc_id, fp, component_id): the smallest doc_id reachable over links, itself included.
 
     Equal fingerprints form one class, so copies are never paired. Rows whose doc_id is null get
-    their class's component (null if no row of it has an id). Repeated rows repeat in the result;
+    their component's id (null if no row of it has one). Repeated rows repeat in the result;
     an empty table gives an empty result.
     """
-    each = materialize(fingerprints(docs, shingle), "fingerprints")
+    return _components(docs, shingle, tau).select("doc_id", "fp", "component_id")
+
+
+def _components(docs: DataFrame, shingle: int, tau: int, tagged: bool = False) -> DataFrame:
+    """near_duplicates() and whole, the component's smallest fingerprint, which names it even if it
+    has no id; if tagged, also docs' h."""
+    each = materialize(fingerprints(docs, shingle, tagged), "fingerprints")
     classes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.where("rep is not null")
-    linked = materialize(links(reps.select("fp"), tau), "pairs")
-    named = linked.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    parts = connected(named)
-    whole = materialize(
-        classes.join(parts, classes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
-        "classes",
-    )
-    return each.join(whole, "fp").select("doc_id", "fp", "component_id")
+    parts = connected(materialize(links(classes.select("fp"), tau), "pairs"))
+    named = classes.join(parts, classes.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("whole"))
+    named = materialize(named, "classes")
+    least = named.groupBy("whole").agg(F.min("rep").alias("component_id"))
+    return each.join(named.select("fp", "whole").join(least, "whole"), "fp")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a row's columns, maps aside."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
+def first_rows(docs: DataFrame, each: DataFrame) -> DataFrame:
+    """The rows of docs that come first in their component, by doc_id, nulls last, then by hash;
+    each (doc_id, h, component) has a row for each of docs, h its row_hash()."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    keep = each.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by(F.struct("doc_id", "h", "n"), order).alias("first"))
+    keep = materialize(keep.select("first.*"), "keep").toDF("__d", "__h", "n_same")
+    tagged = docs.withColumn("__row", row_hash(docs))
+    # as many rows as groups: never broadcast
+    kept = tagged.join(keep.hint("merge"), (F.col("__row") == F.col("__h")) & tagged["doc_id"].eqNullSafe(keep["__d"]), "left_semi")
+    if not keep.where("n_same > 1").isEmpty():  # the same row again
+        kept = kept.dropDuplicates(["doc_id", "__row"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, tau: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest doc_id stays.
+    """docs without near-duplicates: of each group of linked fingerprints one row stays, that with
+    the smallest doc_id, nulls last; of several such rows that with the smallest row_hash().
 
-    Rows with a null doc_id can't be told apart and stay; of rows with one doc_id, one stays.
+    So rows of one doc_id whose texts aren't near stay both. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, shingle, tau)
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_same"))
-    keep = materialize(keep, "keep")
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not keep.where("n_same > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    tagged = docs.select(F.col("doc_id"), F.col("text"), row_hash(docs).alias("h"))
+    return first_rows(docs, _components(tagged, shingle, tau, tagged=True).select("doc_id", "h", F.col("whole").alias("component")))
 
 
 #: Bands of minima and minima a band: at Jaccard 0.8 a pair shares no band with chance (1 - 0.8^5)^32, 3 in a million.
 BANDS, ROWS = 32, 5
 FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Documents and bytes of text of a candidate group that one task holds.
-GROUP, GROUP_BYTES = 2048, 16 << 20
+GROUP, GROUP_BYTES = 512, 16 << 20
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -307,34 +328,33 @@ def similar_forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> li
     return out
 
 
-def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class) per row and (rep, component) per class of equal shingle sets that has an id.
+def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, h, component) per row of docs (doc_id, text, h): linked rows have one component.
 
-    Classes are linked if the Jaccard similarity of their sets is least or more, by the sets
-    themselves. Classes that share a band with another form candidate groups, by links to each
-    band's smallest class; each group's texts come together once and are compared within. A group
-    over GROUP documents or GROUP_BYTES is dealt out in pairs of chunks.
+    Rows with equal sets of shingles form a class; texts without words are one. Classes are linked
+    if the Jaccard similarity of their sets is least or more, by the sets themselves. Classes that
+    share a band with another form candidate groups, by links to each band's smallest class; each
+    group's texts, one of each class, come together once and are compared within. A group over
+    GROUP documents or GROUP_BYTES is dealt out in pairs of chunks.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             sets = [shingles(t or b"", shingle) for t in column(batch, "text")]
             keys = [bands(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "class", "keys"],
-            )
-
-    texts = only(docs, "doc_id", "text")
-    each = materialize(texts.mapInArrow(run, "doc_id long, class long, keys array<long>"), "shingled")
-    classes = each.where("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    classes = materialize(classes, "classes")
-    keyed = classes.select(F.explode("keys").alias("key"), "rep")
-    pivots = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    met = materialize(keyed.join(pivots, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "met")
-    groups = connected(met).toDF("rep", "group")
-    members = groups.join(classes, "rep").join(texts, F.col("rep") == F.col("doc_id")).select("group", "rep", "class", "keys", "text")
-    members = materialize(members, "members")
+            found = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], ["doc_id", "h", "class", "keys"])
+
+    texts = only(docs, "doc_id", "text", "h")
+    each = materialize(texts.mapInArrow(run, "doc_id long, h long, class long, keys array<long>"), "shingled")
+    classes = materialize(each.groupBy("class").agg(F.min("h").alias("rep"), F.first("keys").alias("keys")), "classes")
+    keyed = classes.select(F.explode("keys").alias("key"), "class")
+    pivots = keyed.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    met = materialize(keyed.join(pivots, "key").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "met")
+    groups = materialize(connected(met).toDF("class", "group").join(classes, "class"), "groups")
+    # rows of one h are the same row again, so any of them will do
+    own = texts.join(groups.select(F.col("rep").alias("h")).hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    members = materialize(groups.join(own, groups["rep"] == own["h"]).select("group", "class", "keys", "text"), "members")
     parts = members.groupBy("group").agg(
         F.ceil(F.greatest(F.count("*") / GROUP, F.sum(F.octet_length("text")) / GROUP_BYTES)).cast("int").alias("n")
     )
@@ -343,35 +363,23 @@ def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tu
         members.join(parts, "group")
         .withColumn("c", mine)
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("group", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "rep", "class", "keys", "text")
+        .select("group", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "class", "keys", "text")
     )
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, reps, keys = [], [], []
-        for rep, name, own, text in zip(pdf["rep"], pdf["class"], pdf["keys"], pdf["text"]):
-            found = shingles((text or "").encode(), shingle)
-            if class_of(found) == name:  # rows with one id may have other texts
-                sets.append(found)
-                reps.append(rep)
-                keys.append(own)
-        links = similar_forest(sets, np.array(keys, dtype=np.int64).reshape(-1, BANDS), least)
-        return pd.DataFrame({"a": [reps[i] for i, _ in links], "b": [reps[i] for _, i in links]}, dtype="int64")
+        sets = [shingles((text or "").encode(), shingle) for text in pdf["text"]]
+        keys = np.array(pdf["keys"].tolist(), dtype=np.int64).reshape(-1, BANDS)
+        names = pdf["class"].tolist()
+        links = similar_forest(sets, keys, least)
+        return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[i] for _, i in links]}, dtype="int64")
 
     linked = materialize(dealt.groupBy("group", "lo", "hi").applyInPandas(pair, "a long, b long").distinct(), "pairs")
-    found = connected(linked).toDF("rep", "component")
-    reps = classes.select("class", "rep")
-    return each.select("doc_id", "class"), materialize(
-        reps.join(found, "rep", "left").select("class", "rep", F.coalesce("component", "rep").alias("component")), "classes"
-    )
+    found = connected(linked).toDF("class", "found")
+    return each.join(found, "class", "left").select("doc_id", "h", F.coalesce("found", "class").alias("component"))
 
 
 def keep_first_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs without near-duplicates by Jaccard similarity of shingles: of each linked group the row
-    with the smallest doc_id stays. Null and repeated ids as in keep_first()."""
-    each, classes = similar_classes(docs, shingle, least)
-    first = classes.where("rep = component").select("class", F.col("rep").alias("doc_id"))
-    keep = materialize(each.join(first, ["class", "doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_same")), "keep")
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not keep.where("n_same > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs without near-duplicates by Jaccard similarity of shingles: of each group of linked texts
+    one row stays, as in keep_first(). Null texts are texts without words."""
+    tagged = docs.select(F.col("doc_id"), F.col("text"), row_hash(docs).alias("h"))
+    return first_rows(docs, similar_classes(tagged, shingle, least))
