@@ -52,11 +52,22 @@ def test_mix(spark, monkeypatch, chunk):
 
 
 def test_take_repeats_rows(spark):
-    data = rows()
-    docs = spark.createDataFrame(data, SCHEMA)
+    data = [(*r, 7, 8, 9, 10) for r in rows()]
+    names = "copies long, size long, draw long, __copy long"  # as take() has its own
+    docs = spark.createDataFrame(data, f"{SCHEMA}, {names}")
     copies = sum(r.copies for r in mixing.mix(docs).collect())
     taken = mixing.take(docs)
     assert taken.columns == docs.columns and taken.count() == copies
+    assert {tuple(r) for r in taken.collect()} <= set(data)
+
+
+def test_targets_are_met_to_a_short_document(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, "w " * int(k), "ab"[i % 2], "x") for i, k in enumerate(rng.pareto(1.0, 3000) * 8 + 1) if k < 20_000]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA)).collect()
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 40
 
 
 def test_rounding_is_unbiased():
@@ -73,3 +84,16 @@ def test_rounding_is_unbiased():
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None, "")], SCHEMA)).first().copies == 0
+
+
+def test_rounding_keeps_sums_and_expectations():
+    rng = np.random.default_rng(4)
+    size = np.sort(rng.integers(1, 50, 12).astype(float))[::-1]
+    for part in (np.full(12, 0.3), rng.random(12)):
+        total, n = np.zeros(12), 4000
+        for _ in range(n):
+            out = mixing._round_group(size, part, rng.random(12))
+            assert abs((size * out).sum() - (size * part).sum()) < 1e-6
+            assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 1
+            total += out
+        assert np.abs(total / n - part).max() < 0.04
