@@ -32,6 +32,13 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return col.to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few of them are held as Python values at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def doc_batches(
     rows: Iterator[pa.RecordBatch], target_bytes: int
 ) -> Iterator[tuple[int, list, list[bytes]]]:
@@ -44,7 +51,7 @@ def doc_batches(
     ids: list = []
     texts: list[bytes] = []
     held = 0
-    for batch in rows:
+    for batch in sliced(rows):
         for i, t in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
             ids.append(i)
             texts.append(t or b"")

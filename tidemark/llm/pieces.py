@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, only, pack_arrays, unpack_arrays
+from tidemark.llm.common import column, only, pack_arrays, sliced, unpack_arrays
 from tidemark.llm.substrings import bucket_bits
 
 SPACE = "▁"
@@ -395,7 +395,7 @@ def _cut(bits: int, batch_bytes: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held = TaskContext.get().partitionId(), 0, 0
         ids, texts, numbers = [], [], Numbers()
-        for batch in rows:
+        for batch in sliced(rows):
             for i, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
                 ids.append(i)
                 texts.append(numbers.of(text))

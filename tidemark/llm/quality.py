@@ -165,7 +165,7 @@ def evidence(docs: DataFrame, weights: np.ndarray, whole: bool = False) -> DataF
             scores = np.zeros((2, batch.num_rows))
             for i, text in enumerate(column(batch, "text")):
                 scores[:, i] = prior + table[:, slots(text or b"", seen)].sum(axis=1)
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
             out = [*(batch.column(i) for i in range(3)), pa.array(scores[0]), pa.array(scores[1])]
             yield pa.RecordBatch.from_arrays(out + batch.columns[4:], ["doc_id", "source", "lang", "low", "toxic"] + ["row"] * whole)
