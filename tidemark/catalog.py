@@ -349,7 +349,7 @@ def _calls(spark, sf):
 
 
 def _started(calls):
-    return calls.select("user_id", "seq", "call_no", F.bround("start", 6).alias("start"))
+    return calls.select("user_id", "seq", "call_no", "start")
 
 
 def fixed_sleep_schedule(spark, sf):

@@ -185,11 +185,11 @@ runs as (select *, sum(down::INT) over (partition by island order by seq) as run
   lag(event_type = 'error') over (partition by user_id order by event_id) as was from events) where was and not mark group by 1""",
     "access_pattern_cost": """select page_size::BIGINT as page_size, ceil(n / page_size)::BIGINT + 1 as paged, ceil(n / page_size)::BIGINT + 1 + n as detail, 1::BIGINT as bulk
   from (select count(*)::DOUBLE as f, count(*) as n from orders), (values (20), (100), (200)) t(page_size)""",
-    "fixed_sleep_schedule": f"""with {_CALLS} select user_id, seq, call_no, round_even(greatest(t, call_no * 300.0::DOUBLE
-  + max(t - call_no * 300.0::DOUBLE) over (partition by user_id order by t, seq)), 6) as start from numbered""",
+    "fixed_sleep_schedule": f"""with {_CALLS} select user_id, seq, call_no, greatest(t, call_no * 300.0::DOUBLE
+  + max(t - call_no * 300.0::DOUBLE) over (partition by user_id order by t, seq)) as start from numbered""",
     "token_bucket_schedule": f"""with {_CALLS}, full_at as (select *, call_no / {1 / 300!r}::DOUBLE + max(t - call_no / {1 / 300!r}::DOUBLE) over (
     partition by user_id order by t, seq rows between unbounded preceding and 1 preceding) as f from numbered)
-select user_id, seq, call_no, round_even(coalesce(greatest(t, f - {2 / (1 / 300)!r}::DOUBLE), t), 6) as start from full_at""",
+select user_id, seq, call_no, coalesce(greatest(t, f - {2 / (1 / 300)!r}::DOUBLE), t) as start from full_at""",
     "rate_window_admission": f"""with {_CALLS}, fine as (select *, round(t * 1000000)::BIGINT as us from calls)
 select user_id, seq, n as in_window, n > 3 as over from (
   select *, count(*) over (partition by user_id order by us range between 899999999 preceding and current row) as n from fine)""",
