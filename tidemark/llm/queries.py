@@ -119,6 +119,32 @@ walk as (select vec_id as a, vec_id as b from embeddings union select w.a, l.b f
 least as (select a, min(b) as component_id from walk group by a)
 select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept
 from embeddings join least on a = vec_id""",
+    "op8_quality_rules": rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, list_filter(string_split_regex(t, {_GAP}), lambda x: x <> '') as w from d),
+l as (select r, i, parts[i] as line, list_filter(string_split_regex(parts[i], {_GAP}), lambda x: x <> '') as lw
+  from (select r, string_split(t, chr(10)) as parts from d), unnest(range(1, len(parts) + 1)) as t(i)),
+m as (select r, i, line, len(lw) as n, array_to_string(lw, '') as c, {_LOWER.format("line")} as low, {_LOWER.format(f"trim(line, {_SPACE})")} as key,
+  len(list_filter(lw, lambda x: suffix(x, '!!') or suffix(x, '??'))) as loud,
+  len(lw) between 1 and {rules.MENU_WORDS - 1} and not contains('{"".join(x.decode() for x in rules.STOPS).replace("'", "''")}', right(lw[-1], 1)) as short from l),
+f as (select *, n > 0 and (
+    4 * (strlen(c) - strlen(regexp_replace(c, '[#*$%&|<>!_=~^{{}}\[\]\\]', '', 'g'))) > strlen(c)
+    or n > 3 and 2 * strlen(regexp_replace(c, '[^\x00-\x40\x5b-\x60\x7b-\x7f]', '', 'g')) > strlen(c)
+    or n > 2 and 3 * (length(line) - length(regexp_replace(line, '[|>»·›]', '', 'g'))) > n
+    or n > 3 and 2 * loud > n
+    or n < 30 and ({" or ".join(f"contains(low, '{x.decode()}')" for x in rules.BOILERPLATE)})) as alone,
+  i - row_number() over (partition by r, short order by i) as run,
+  count(*) over (partition by r, key) as said, row_number() over (partition by r, key order by i) as nth from m),
+g as (select *, alone or short and count(*) over (partition by r, short, run) >= {rules.MENU_LINES} or key <> '' and said >= {rules.REPEATS} and nth > 1 as bad from f),
+h as (select r, count(*) filter (bad) as n_bad_lines, coalesce(sum(length(c)) filter (bad), 0)::BIGINT as lost_chars,
+  count(*) filter (n > 0) - count(distinct line) filter (n > 0) as n_dup_lines from g group by r),
+x as (select r, i, array_to_string(w[i:i+4], ' ') as k from w, unnest(range(1, len(w) - 3)) as t(i)),
+y as (select r, count(distinct p) as n_repeat_words from (
+  select r, unnest(range(i, i + 5)) as p from (select r, i, count(*) over (partition by r, k) as n from x) where n > 1) group by r),
+z as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_bad_lines, lost_chars from w join h using (r) left join y using (r)),
+v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from z)
+select *, not base_failed and (word_chars = 0 or lost_chars / word_chars::DOUBLE <= 0.3) as kept from v""",
     "op4_warc": f"""
 with p as (select page_id, coalesce(html, '') as h from pages),
 d as (select page_id, strlen(h) as n, sha1(h) as s, max(page_id) over (partition by h) as last from p),
