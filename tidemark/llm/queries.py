@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, lm, mixing, pieces, quality, rules, simhash, substrings, vectors, warc
+from tidemark.llm import linededup, lm, mixing, packing, pieces, quality, rules, simhash, substrings, vectors, warc
 from tidemark.llm.common import materialize
 
 
@@ -23,10 +23,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), model or tokenizer_path("word_bpe_49k.json"), capacity=2048)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_substring_dedup": op10_substring_dedup,
     "op7_simhash": op7_simhash,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 
 _GAP = r"'[\x20\x09-\x0D]+'"
