@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def same(spark, folder, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet{'' if folder == SF else '/*.parquet'}')")
     got = queries.QUERIES[name](spark, folder)
     names = sorted(got.columns)
@@ -38,6 +38,11 @@ def planted(spark, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     docs = [(i, t, "en", "s", 1) for i, t in enumerate([None, "", " ", "a b c " * 9, "Menu\nx", "menu \ny"] * 12)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    roles, said = ["system", "user", "assistant", "tool", "", None, "ursa"], ["Hi.", "Yes!", "cut off", "", " \n", None, "é?", "One. Two", "b" * 400]
+    talk = [(int(rng.integers(40)), int(rng.integers(9)), roles[rng.integers(7)], said[rng.integers(9)]) for _ in range(700)]
+    talk += [(None, t, "user", f"{t}.") for t in (3, 1, None, None)] + [(50, None, "user", "Hm.")] * 4 + [(c, 0, "user", "x.") for c in range(100, 200)]
+    talk += [(60, t, "user" if t % 3 else "assistant", f"{t} is said{'.' * (t % 5 > 0)}") for t in range(700)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 

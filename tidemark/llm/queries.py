@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, lm, mixing, packing, pieces, quality, rules, simhash, substrings, vectors, warc
+from tidemark.llm import dialogue, linededup, lm, mixing, packing, pieces, quality, rules, runs, simhash, substrings, vectors, warc
 from tidemark.llm.common import materialize
 
 
@@ -70,6 +70,14 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str, model: str | None =
     return packing.pack(table(spark, sf_dir, "documents"), model or tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -82,13 +90,77 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op7_simhash": op7_simhash,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _GAP = r"'[\x20\x09-\x0D]+'"
 _SPACE = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bits = f"flatten(list_transform(range(1, strlen({text}) + 1), lambda i: [ascii(({text})[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295)"
+
+
 ORACLES = {
+    "op12_conversation_repair": f"""
+with recursive d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 as f from conversations),
+k as (select conv_id, turn, case f when 4 then 'user' else role end as role,
+  case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from d, unnest(range(case f when 0 then 0 when 3 then 2 else 1 end)) as x(copy)),
+names as (select conv_id, row_number() over () as c from (select distinct conv_id from conversations)),
+m as (select c, k.*, trim(text, {_SPACE}) as said, row_number() over (partition by c order by turn nulls first, role, text) as i
+  from k join names on names.conv_id is not distinct from k.conv_id),
+n as (select *, row_number() over (partition by c, role, text order by i) as nth from m),
+r as (select *, case when said = '' then 'blank' when nth > 1 then 'duplicate' when right(said, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+  left(role, 1) as now, lag(left(role, 1)) over (partition by c order by i) as was from n),
+stats as (select c, count(*) as len, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+  count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+  count(*) filter (was || now not in ('su', 'ua', 'au')) as illegal from r group by c),
+moves as (select * from (values ('D', 0, '', 0), ('D', 1, '', 1), ('D', 2, '', 2), ('D', 3, '', 3), ('K', 0, 's', 1), ('K', 0, 'u', 2), ('K', 1, 'u', 2), ('K', 2, 'a', 3), ('K', 3, 'u', 2),
+  ('R', 0, 'u', 2), ('R', 1, 'u', 2), ('R', 2, 'a', 3), ('R', 3, 'u', 2)) m(letter, s, sym, t)),
+added as (select * from (values (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (0, 3, 2), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1)) a(s, t, n)),
+walk as (
+  select c, 0::BIGINT as i, t as s, 5 * n as cost, repeat('I', n) as audit from names, added where s = 0
+  union all
+  select c, i + 1, s, best.cost, best.audit from (
+    select w.c, w.i, a.t as s, min(struct_pack(cost := w.cost + 5 * a.n + case m.letter when 'D' then 2 when 'R' then 1 else 0 end
+        + case when m.letter <> 'D' and r.fault = 'truncated' then 5 else 0 end, audit := w.audit || m.letter || repeat('I', a.n))) as best
+    from walk w join r on r.c = w.c and r.i = w.i + 1 join moves m on m.s = w.s
+      and (m.letter = 'D' or r.fault not in ('blank', 'duplicate') and (m.letter = 'R' or m.sym = r.now)) join added a on a.s = m.t
+    group by w.c, w.i, a.t)),
+final as (select w.c, min(struct_pack(cost := cost, audit := audit)) as best from walk w left join stats using (c) where s in (0, 3) and i = coalesce(len, 0) group by w.c),
+letters as (select c, p, best.audit[p] as letter from final, unnest(range(1, len(best.audit) + 1)) as x(p)),
+placed as (select *, count(*) filter (letter <> 'I') over (partition by c order by p) as i, count(*) filter (letter <> 'D') over (partition by c order by p) as j from letters),
+kept as (select l.*, role, text, first_value(case when letter = 'K' and now = 's' then 1 else 0 end) over (partition by l.c order by p) as off
+  from placed l left join r on r.c = l.c and r.i = l.i and letter <> 'I' where letter <> 'D'),
+said as (select c, string_agg(case when letter = 'K' then role when (j - off) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by p) as lines from kept group by c)
+select conv_id, coalesce(gaps, 0)::BIGINT as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, best.cost::BIGINT as cost, best.audit as audit, sha256(coalesce(lines, '')) as repaired_sha256
+from names join final using (c) left join stats using (c) left join said using (c)""",
+    "op13_periodic_runs": f"""
+with d0 as (select row_number() over () as r, doc_id, {_crc32("doc_id::VARCHAR")} as h,
+  list_filter(string_split_regex(coalesce(text, ''), {_GAP}), lambda x: x <> '') as w from documents),
+d1 as (select *, len(w) as n, coalesce(h % 10 = 0 and len(w) > 0, false) as hit, h // 10 as g from d0),
+d2 as (select *, case when hit then g % n end as a from d1),
+d3 as (select *, case when hit then 1 + (n - a) // (3 + g % 8) end as p from d2),
+x as (select r, i, case when hit and i >= a then w[1 + a + (i - a) % p] else w[1 + i] end as word from d3, unnest(range(0, n)) as t(i)),
+same as (select r, b.i - a.i as q, a.i from x a join x b using (r, word) join d3 using (r) where a.i < b.i and 4 * (b.i - a.i) <= n),
+isles as (select r, q, i, i - row_number() over (partition by r, q order by i) as k from same),
+longest as (select r, q, min(i) as s, count(*) + q as len from isles group by r, q, k having count(*) + q >= greatest(6, 4 * q)),
+run as (select r, s, len, min(q) as q from longest group by r, s, len),
+gone as (select distinct r, unnest(range(s + q, s + len)) as i from run),
+best as (select r, count(*) as n_runs, arg_min(struct_pack(s := s, len := len, q := q), struct_pack(a := -len, b := s, c := q)) as b,
+  string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as listed from run group by r),
+left_ as (select x.r, string_agg(word, ' ' order by x.i) as kept from x left join gone on gone.r = x.r and gone.i = x.i where gone.i is null group by x.r)
+select doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, b.len as length, b.q as period, 1000 * b.len // b.q as exponent_milli,
+  sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from d0 left join best using (r) left join left_ using (r)""",
     "op1_line_dedup": f"""
 with lines as (
   select doc_id, i, parts[i] as line, {_LOWER.format(f"trim(parts[i], {_SPACE})")} as key
