@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark import catalog_arms
 from tidemark.catalog_sql import ORACLES  # noqa: F401
 from tidemark.functions.draws import bucket, draw
-from tidemark.functions.ranks import percentiles
 from tidemark.operators import channel, limits, reconcile, report, scan, sync, upsert
 from tidemark.plans.stage import written
 from tidemark.sources import fixtures
@@ -192,8 +191,7 @@ def overlap_reads(spark, sf):
 
 def timestamp_only_page_loss(spark, sf):
     read = sync.reads(_versions(spark, sf), _arms(spark, [("a", 1800.0, True)]), INTERVAL, PASSES)
-    ranked = scan.numbered(read, ["last_modified", "id"], ["pass_no"])
-    return ranked.groupBy(F.col("pass_no").cast("long").alias("pass_no")).agg(F.count_if(F.col("rn") > 200).alias("n_lost"), F.count("*").alias("n_rows"))
+    return read.groupBy(F.col("pass_no").cast("long").alias("pass_no")).agg(F.greatest(F.count("*") - 200, F.lit(0)).alias("n_lost"), F.count("*").alias("n_rows"))
 
 
 def redundant_reads(spark, sf):
@@ -216,18 +214,6 @@ def overlap_knee(spark, sf):
     return swept.crossJoin(best).where("wrong <= best + 1").agg(F.min("arm").alias("knee"), F.min("best").alias("best"))
 
 
-def score_by_kind(spark, sf):
-    """Per kind: changes that happened, are reflected locally, are missed, or whose record died later."""
-    state = _compared(spark, sf, [("a", 120.0, True)]).select(F.col("id").alias("record_id"), "state")
-    c = _changes(spark, sf).join(state, "record_id", "left")
-    dead = F.col("kind").isin("DELETE", "MERGE")
-    buried = ~dead & F.col("death").isNotNull()
-    hit = ~dead & F.col("death").isNull() & (F.col("state") == "correct")
-    return c.groupBy("kind").agg(
-        F.count("*").alias("happened"), F.count_if(hit).alias("reflected"),
-        F.count_if(buried).alias("superseded"), F.count_if(~dead & F.col("death").isNull() & (F.col("state") != "correct")).alias("missed"))
-
-
 def attribute_wrong(spark, sf):
     """The kind of the last change of each wrong record."""
     wrong = _compared(spark, sf, [("a", 120.0, True)]).where("state <> 'correct'").select(F.col("id").alias("record_id"))
@@ -284,25 +270,6 @@ def subscription_disable(spark, sf):
     return off.crossJoin(runs.agg(F.max("run").alias("longest_run"), F.count_if("down").alias("n_failed")))
 
 
-def _detected(spark, sf):
-    marks = sync.watermarks(_versions(spark, sf), INTERVAL, PASSES)
-    return channel.detected(_changes(spark, sf), channel.deliveries(_changes(spark, sf)), INTERVAL, HORIZON, marks)
-
-
-def detection_latency(spark, sf):
-    return _detected(spark, sf)
-
-
-def latency_percentiles(spark, sf):
-    return percentiles(_detected(spark, sf).where("latency is not null"), ["source"], "latency", [50, 95, 100])
-
-
-def webhook_poll_delta(spark, sf):
-    return _detected(spark, sf).groupBy("kind").agg(
-        F.count_if(F.col("source") == "webhook").alias("by_webhook"), F.count_if(F.col("source") == "poll").alias("by_poll"),
-        F.count_if(F.col("source").isNull()).alias("undetected"))
-
-
 def upsert_latest(spark, sf):
     """Last write wins by version, an equal version overwrites: events as versioned writes in arrival order."""
     e = _arrivals(spark, sf)
@@ -310,8 +277,8 @@ def upsert_latest(spark, sf):
 
 
 def _arrivals(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_id", "value")
-    return e.select("user_id", "value", F.col("event_id").alias("version"), (F.col("event_id") + bucket("late", "event_id", 50)).alias("slot")).withColumn(
+    e = table(spark, sf, "events").select("user_id", "event_id", "value", (F.col("event_type") == "error").alias("mark"))
+    return e.select("user_id", "value", "mark", F.col("event_id").alias("version"), (F.col("event_id") + bucket("late", "event_id", 50)).alias("slot")).withColumn(
         "arrival_no", F.col("slot") * 1_000_000_000 + F.col("version"))
 
 
@@ -376,9 +343,7 @@ def local_live(spark, sf):
 
 def store_state(spark, sf):
     """What a versioned store holds after upserts and delete marks (error events) in arrival order."""
-    kinds = table(spark, sf, "events").select(F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("mark"))
-    log = _arrivals(spark, sf).join(kinds, "version")
-    return upsert.apply_log(log, "user_id", "version", "arrival_no", "mark")
+    return upsert.apply_log(_arrivals(spark, sf), "user_id", "version", "arrival_no", "mark")
 
 
 def bar_chart_kinds(spark, sf):
@@ -407,9 +372,9 @@ modified_since_scan modified_since_cursor_page page_assignment tie_group_boundar
 search_ceiling search_offset_page world_records world_mutations mutation_kind_counts future_stamp_violations
 scd2_versions snapshot_as_of live_count scannable_vs_live id_inventory_page get_by_ids bulk_export deletes_window
 deletes_forgotten manifest_checksum pass_watermarks overlap_reads timestamp_only_page_loss redundant_reads
-mitigation_ladder overlap_sweep overlap_knee score_by_kind attribute_wrong drift_report count_check
+mitigation_ladder overlap_sweep overlap_knee attribute_wrong drift_report count_check
 partitioned_checksum full_id_inventory recon_matrix recon_cost webhook_deliveries webhook_dedup channel_stats
-subscription_disable detection_latency latency_percentiles webhook_poll_delta upsert_latest out_of_order_rejects
+subscription_disable upsert_latest out_of_order_rejects
 redundant_upserts resurrections store_state score local_live rate_window_admission access_pattern_cost fixed_sleep_schedule token_bucket_schedule bar_chart_kinds
 ext_loss_rollup ext_change_rate_window ext_record_sessions
 """.split()

@@ -17,8 +17,11 @@ PASSES, OVERLAP, PAGE = 96, 120.0, 200
 OUTAGE, DISABLE_AFTER = (7200.0, 10800.0), 25
 RUNGS = [
     ("0 naive", 0.0, False, False), ("1 inclusive", 0.0, True, False), ("2 overlap_60", 60.0, True, False),
-    ("3 overlap_300", 300.0, True, False), ("4 deletions", 300.0, True, True),
+    ("3 overlap_300", 300.0, True, False), ("4 deletions", 300.0, True, True), ("5 deletions, outage", 300.0, True, True),
 ]
+#: Fixed value: how long the deletes endpoint remembers. The passes in which it fails on the last rung are more than that.
+RETENTION = 7200.0
+SILENT = (25, 60)
 
 
 def _changes(spark, sf):
@@ -38,23 +41,26 @@ def _one(spark):
 
 
 def _deaths(changes):
-    return changes.where("seq = death").select(F.col("record_id").alias("id"))
+    return changes.where("seq = death").select(F.col("record_id").alias("id"), F.col("event_at").alias("at"))
 
 
 def _rungs(spark, sf):
-    """The ladder of two vendors: one tells deletions by an endpoint, the other keeps archived rows
-    in its scans, which count as live unless they are looked at."""
+    """The ladder of two vendors: one tells deletions by an endpoint that forgets, the other keeps
+    archived rows in its scans, which count as live unless they are looked at. On the last rung the
+    endpoint fails for longer than it remembers."""
     recs, changes, arms = fixtures.records(spark, sf), _changes(spark, sf), _arms(spark, RUNGS)
+    failed = spark.range(SILENT[0], SILENT[1] + 1).select(F.lit(RUNGS[-1][0]).alias("arm"), F.col("id").cast("int").alias("pass_no"))
     out, truth = None, None
     for vendor in ("atlas", "beacon"):
         archive = vendor == "beacon"
         versions = _versions(spark, sf, changes, archive)
         truth = sync.truth_at(versions, HORIZON) if truth is None else truth
-        read = sync.reads(versions, arms, INTERVAL, PASSES, archive)
         if archive:
+            read = sync.reads(versions, arms, INTERVAL, PASSES, True)
             gone = read.groupBy("arm", "id").agg(F.max_by("tombstone", "pass_no").alias("gone")).where("gone").select("arm", "id")
         else:
-            gone = _deaths(changes).crossJoin(F.broadcast(arms.select("arm")))
+            read = sync.reads(versions, arms, INTERVAL, PASSES, False, failed)
+            gone = sync.deletions_told(_deaths(changes), versions, arms.where("deletes"), INTERVAL, PASSES, RETENTION, failed)
         local = sync.without_deleted(sync.local_copy(recs, read, arms), arms, gone)
         one = sync.score(sync.compare(truth, local, arms)).select(F.lit(vendor).alias("vendor"), "arm", "stale", "missing", "ghost", "wrong")
         out = one if out is None else out.union(one)
@@ -82,7 +88,7 @@ def score_by_kind_arms(spark, sf):
     changes = _changes(spark, sf)
     versions, arms = _versions(spark, sf, changes), _arms(spark, [("deletes", OVERLAP, True, True), ("plain", OVERLAP, True, False)])
     local = sync.local_copy(fixtures.records(spark, sf), sync.reads(versions, arms, INTERVAL, PASSES), arms)
-    local = sync.without_deleted(local, arms, _deaths(changes).crossJoin(F.broadcast(arms.select("arm"))))
+    local = sync.without_deleted(local, arms, sync.deletions_told(_deaths(changes), versions, arms.where("deletes"), INTERVAL, PASSES, RETENTION))
     state = sync.compare(sync.truth_at(versions, HORIZON), local, arms).withColumnRenamed("id", "record_id")
     each = changes.crossJoin(F.broadcast(arms.select("arm"))).join(state, ["arm", "record_id"], "left")
     fatal, died = F.col("kind").isin("DELETE", "MERGE"), F.col("death").isNotNull()
@@ -92,30 +98,71 @@ def score_by_kind_arms(spark, sf):
         F.count("*").alias("happened"), F.count_if(hit).alias("reflected"), F.count_if(~fatal & died).alias("superseded"), F.count_if(miss).alias("missed"))
 
 
+WAYS = [("poll", False, True, False), ("webhook", True, False, False), ("both", True, True, False), ("both_outage", True, True, True)]
+
+
+class _Channels:
+    """What polls, deletion calls and hints read of the log; in an outage, hints fail and then the
+    subscription is disabled after enough failures in a row."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.changes = spark, _changes(spark, sf)
+        self.versions = _versions(spark, sf, self.changes)
+        self.read = written(sync.reads(self.versions, _one(spark), INTERVAL, PASSES), "reads")
+        told = sync.deletions_told(_deaths(self.changes), self.versions, _one(spark), INTERVAL, PASSES, RETENTION)
+        at = lambda df: df.select(F.col("id").alias("record_id"), (F.col("pass_no") * F.lit(INTERVAL)).alias("at"))
+        self.polls, self.tells = at(self.read), at(told)
+        self.deliveries = channel.deliveries(self.changes)
+        sent = channel.first_seen(self.deliveries)
+        runs = channel.failure_runs(self.changes, *OUTAGE)
+        off = runs.where(F.col("down") & (F.col("run") == DISABLE_AFTER)).agg(F.min("seq").alias("off"))
+        left = sent.crossJoin(F.broadcast(off)).where(~F.col("arrival").between(*OUTAGE) & (F.col("off").isNull() | (F.col("seq") < F.col("off"))))
+        self.hints = {False: sent, True: left.drop("off")}
+
+    def credited(self, changes):
+        """(arm, seq, kind, latency, source) of changes for polls alone, webhooks alone, both, and
+        both with the outage."""
+        out = None
+        for outage, hints in self.hints.items():
+            arms = self.spark.createDataFrame([w[:3] for w in WAYS if w[3] == outage], "arm string, hook boolean, poll boolean")
+            rows = detect.first_reads(changes, hints.select("record_id", F.col("arrival").alias("at")), self.polls, self.tells)
+            one = detect.credited(rows, arms, HORIZON)
+            out = one if out is None else out.union(one)
+        return out
+
+    def calls(self):
+        """(arm, calls, absorbed): pages and deletion calls of the polls, one call a hint, and the
+        deliveries that dedup takes out."""
+        pages = self.read.groupBy("pass_no").agg(F.floor(F.count("*") / PAGE).alias("full")).agg(F.coalesce(F.sum("full"), F.lit(0)).alias("full"))
+        sums = pages.select((F.col("full") + 2 * PASSES).alias("polls"))
+        for outage, hints in self.hints.items():
+            n = hints.agg(F.count("*").alias(f"hints_{outage}"))
+            sent = self.deliveries.join(hints.select("event_id"), "event_id", "left_semi").agg(F.count("*").alias(f"sent_{outage}"))
+            sums = sums.crossJoin(n).crossJoin(sent)  # of one row each
+        hint = lambda name, hook, outage: F.col(f"{name}_{outage}") if hook else F.lit(0)
+        rows = [F.struct(F.lit(arm).alias("arm"), (F.col("polls") * int(poll) + hint("hints", hook, outage)).cast("long").alias("calls"),
+                         (hint("sent", hook, outage) - hint("hints", hook, outage)).cast("long").alias("absorbed")) for arm, hook, poll, outage in WAYS]
+        return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def _credited(spark, sf):
-    """(arm, seq, kind, latency, source) for polls alone, webhooks alone, both, and both with an
-    outage that disables the subscription after enough failures in a row."""
-    changes = _changes(spark, sf)
-    versions = _versions(spark, sf, changes)
-    polls = sync.reads(versions, _one(spark), INTERVAL, PASSES).select(F.col("id").alias("record_id"), (F.col("pass_no") * F.lit(INTERVAL)).alias("at"))
-    sent = channel.first_seen(channel.deliveries(changes))
-    runs = channel.failure_runs(changes, *OUTAGE)
-    off = runs.where(F.col("down") & (F.col("run") == DISABLE_AFTER)).agg(F.min("seq").alias("off"))
-    left = sent.crossJoin(F.broadcast(off)).where(~F.col("arrival").between(*OUTAGE) & (F.col("off").isNull() | (F.col("seq") < F.col("off"))))
-    hints = lambda df: df.select("record_id", F.col("arrival").alias("at"))
-    arms = lambda rows: spark.createDataFrame(rows, "arm string, hook boolean, poll boolean")
-    plain = detect.first_reads(changes, hints(sent), polls)
-    broken = detect.first_reads(changes, hints(left), polls)
-    plain = detect.credited(plain, arms([("poll", False, True), ("webhook", True, False), ("both", True, True)]), HORIZON)
-    return written(plain.union(detect.credited(broken, arms([("both_outage", True, True)]), HORIZON)), "credited")
+    channels = _Channels(spark, sf)
+    return written(channels.credited(channels.changes), "credited")
 
 
 def channel_arms(spark, sf):
-    each = _credited(spark, sf)
+    """Per arm: changes detected and by what, latencies, records whose last change isn't in the copy
+    at the end, calls, and duplicate deliveries absorbed."""
+    channels = _Channels(spark, sf)
+    each = written(channels.credited(channels.changes), "credited")
     counts = each.groupBy("arm").agg(
         F.count("*").alias("n_changes"), F.count("latency").alias("n_detected"), (F.count("*") - F.count("latency")).alias("n_missed"),
-        F.count_if(F.col("source") == "webhook").alias("by_webhook"), F.count_if(F.col("source") == "poll").alias("by_poll"))
-    return counts.join(percentiles(each.where("latency is not null"), ["arm"], "latency", [50, 95]).drop("n"), "arm", "left")
+        F.count_if(F.col("source") == "webhook").alias("by_webhook"), F.count_if(F.col("source") == "poll").alias("by_poll"), F.max("latency").alias("max_latency"))
+    last = scan.as_of(channels.versions, HORIZON).where("valid_from >= 0")
+    last = last.select("seq", F.when(F.col("tombstone"), "DELETE").otherwise("UPDATE").alias("kind"), F.col("id").alias("record_id"), F.col("valid_from").alias("event_at"))
+    wrong = channels.credited(last).groupBy("arm").agg(F.count_if(F.col("latency").isNull()).alias("wrong"))
+    middle = percentiles(each.where("latency is not null"), ["arm"], "latency", [50, 95]).drop("n")
+    return counts.join(middle, "arm", "left").join(wrong, "arm", "left").join(channels.calls(), "arm", "left")
 
 
 def detection_by_read(spark, sf):
@@ -278,8 +325,27 @@ def stream_windowed_counts(spark, sf):
     return _drained(spark, counts.select(F.unix_seconds("window.start").alias("window_start"), "n"))
 
 
+def detection_latency(spark, sf):
+    return detection_by_read(spark, sf)
+
+
+def latency_percentiles(spark, sf):
+    return percentiles(detection_by_read(spark, sf).where("latency is not null"), ["source"], "latency", [50, 95, 100])
+
+
+def webhook_poll_delta(spark, sf):
+    return detection_by_read(spark, sf).groupBy("kind").agg(
+        F.count_if(F.col("source") == "webhook").alias("by_webhook"), F.count_if(F.col("source") == "poll").alias("by_poll"),
+        F.count_if(F.col("source").isNull()).alias("undetected"))
+
+
+def score_by_kind(spark, sf):
+    """Changes by kind if deletions aren't asked for."""
+    return score_by_kind_arms(spark, sf).where("arm = 'plain'").drop("arm")
+
+
 _NAMES = """
-deletion_ladder prediction_tally bar_chart_ghosts score_by_kind_arms channel_arms detection_by_read deletion_accounting
+detection_latency latency_percentiles webhook_poll_delta score_by_kind deletion_ladder prediction_tally bar_chart_ghosts score_by_kind_arms channel_arms detection_by_read deletion_accounting
 frozen_watermarks store_stats unversioned_state endpoint_usage short_page_loss world_field_changes world_redirects
 full_field_compare accuracy_both_denominators result_json bar_chart_calls bar_chart_detection
 stream_dedup_equals_batch stream_upsert_equals_batch stream_windowed_counts

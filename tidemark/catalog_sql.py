@@ -93,13 +93,6 @@ _MATRIX = f"""matrix as (select strategy, calls::BIGINT as calls, present, detec
     lateral (values ('none', 0, 0), ('count_check', 1, 0), ('partitioned_checksum', 40 + bad, in_bad),
       ('full_id_inventory', n // 1000 + 1, by_id), ('full_field_compare', ceil(n / 200.0)::BIGINT, present)) s(strategy, calls, detected))"""
 
-_DETECTED = """hook as (select seq, min(arrival) as hook_at from hooks group by seq),
-timed as (select m.seq, kind, event_at, case when hook_at <= 28800 then hook_at end as h,
-  case when (floor(event_at / 300) + 1) * 300 <= 28800 and stamp >= lower - 120 then (floor(event_at / 300) + 1) * 300 end as p
-  from mut m left join hook using (seq) left join marks on pass_no = (floor(event_at / 300) + 1)::BIGINT),
-detected as (select seq, kind, least(h, p) - event_at as latency,
-  case when h is null and p is null then null when h is not null and h = least(h, p) then 'webhook' else 'poll' end as source from timed)"""
-
 _ARRIVALS = f"""arrivals as (select user_id, value, event_id as version, (event_id + {_d('late', 'event_id')} % 50) * 1000000000 + event_id as arrival_no from events)"""
 
 
@@ -147,9 +140,6 @@ ORACLES: dict[str, str] = {
     "mitigation_ladder": _with("select *, coalesce(lag(wrong) over (order by arm) - wrong, 0) as gain from score", _reads("ladder")),
     "overlap_sweep": _with("select arm, stale, ghost, wrong, accuracy from score", _reads("sweep")),
     "overlap_knee": _with("select min(arm) as knee, min(best) as best from score, (select min(wrong) as best from score) where wrong <= best + 1", _reads("sweep")),
-    "score_by_kind": _with("""select kind, count(*) as happened, count(*) filter (death is null and state = 'correct') as reflected,
-  count(*) filter (kind not in ('DELETE', 'MERGE') and death is not null) as superseded,
-  count(*) filter (death is null and state <> 'correct') as missed from mut left join compared on id = record_id group by kind""", _reads("one")),
     "attribute_wrong": _with("""select coalesce(cause, 'unattributed') as cause, count(*) as n from (select id from compared where state <> 'correct')
   left join (select record_id, arg_max(kind, seq) as cause from mut group by 1) on record_id = id group by 1""", _reads("one")),
     "drift_report": _with("select * from drift", _reads("one"), _LOCAL),
@@ -169,14 +159,6 @@ ORACLES: dict[str, str] = {
 flagged as (select *, arrival between 7200 and 10800 as down from tried),
 isles as (select *, sum((not down)::INT) over (order by seq) as island from flagged),
 runs as (select *, sum(down::INT) over (partition by island order by seq) as run from isles)"""),
-    "detection_latency": _with("select * from detected", _DETECTED),
-    "latency_percentiles": _with("""select source, n, max(latency) filter (i = least(n - 1, greatest(0, round_even(0.5 * n + 0.5, 0)::BIGINT - 1))) as p50,
-  max(latency) filter (i = least(n - 1, greatest(0, round_even(0.95 * n::DOUBLE + 0.5, 0)::BIGINT - 1))) as p95,
-  max(latency) filter (i = least(n - 1, greatest(0, round_even(n::DOUBLE + 0.5, 0)::BIGINT - 1))) as p100
-  from (select *, row_number() over (partition by source order by latency) - 1 as i, count(*) over (partition by source) as n
-        from detected where latency is not null) group by source, n""", _DETECTED),
-    "webhook_poll_delta": _with("""select kind, count(*) filter (source = 'webhook') as by_webhook, count(*) filter (source = 'poll') as by_poll,
-  count(*) filter (source is null) as undetected from detected group by kind""", _DETECTED),
     "upsert_latest": "select user_id, max(event_id) as version, arg_max(value, event_id) as value from events group by user_id",
     "out_of_order_rejects": f"""with {_ARRIVALS} select user_id, count(*) filter (version < was) as n_rejected, count(*) as n_writes
   from (select *, max(version) over (partition by user_id order by arrival_no rows between unbounded preceding and 1 preceding) as was from arrivals) group by 1""",
@@ -219,16 +201,20 @@ marks2 as (select pass_no, coalesce(lag(watermark) over (order by pass_no), 0.0:
   select pass_no, greatest(0.0::DOUBLE, coalesce(max(m) over (order by pass_no), 0.0::DOUBLE)) as watermark from pass left join
     (select pass_no, max(last_modified) filter (last_modified >= 0) as m from held2 group by pass_no) using (pass_no))),
 rungs as (select * from (values ('0 naive', 0.0::DOUBLE, false, false), ('1 inclusive', 0.0::DOUBLE, true, false), ('2 overlap_60', 60.0::DOUBLE, true, false),
-  ('3 overlap_300', 300.0::DOUBLE, true, false), ('4 deletions', 300.0::DOUBLE, true, true)) t(arm, overlap, inclusive, deletes)),
+  ('3 overlap_300', 300.0::DOUBLE, true, false), ('4 deletions', 300.0::DOUBLE, true, true), ('5 deletions, outage', 300.0::DOUBLE, true, true)) t(arm, overlap, inclusive, deletes)),
+marks3 as (select arm, pass_no, greatest(0.0::DOUBLE, coalesce(max(pass_max) filter (not (arm[1] = '5' and pass_no between 25 and 60))
+    over (partition by arm order by pass_no rows between unbounded preceding and 1 preceding), 0.0::DOUBLE)) as lower from marks, rungs),
+told as (select distinct arm, id from rungs join marks3 using (arm), (select record_id as id, event_at from mut where seq = death)
+  where deletes and not (arm[1] = '5' and pass_no between 25 and 60) and event_at between lower - overlap and 300 * pass_no and event_at >= 300 * pass_no - 7200),
 seen as (
-  select 'atlas' as vendor, arm, pass_no, id, version, tombstone from held join marks using (pass_no), rungs
+  select 'atlas' as vendor, arm, pass_no, id, version, tombstone from held join marks3 using (pass_no) join rungs using (arm)
     where last_modified >= lower - overlap + case when inclusive then 0.0::DOUBLE else 1e-9::DOUBLE end
   union all select 'beacon', arm, pass_no, id, version, tombstone from held2 join marks2 using (pass_no), rungs
     where last_modified >= lower - overlap + case when inclusive then 0.0::DOUBLE else 1e-9::DOUBLE end),
 latest as (select vendor, arm, id, arg_max(version, pass_no) as version, arg_max(tombstone, pass_no) as gone from seen group by all),
 copies as (select v.vendor, r.arm, rec.id, coalesce(l.version, 1) as version from rec cross join rungs r cross join (values ('atlas'), ('beacon')) v(vendor)
-  left join latest l on l.vendor = v.vendor and l.arm = r.arm and l.id = rec.id left join dead d on d.record_id = rec.id
-  where not (r.deletes and case v.vendor when 'atlas' then d.death is not null else coalesce(l.gone, false) end)),
+  left join latest l on l.vendor = v.vendor and l.arm = r.arm and l.id = rec.id left join told d on d.arm = r.arm and d.id = rec.id
+  where not (r.deletes and case v.vendor when 'atlas' then d.id is not null else coalesce(l.gone, false) end)),
 judged as (select c.vendor, c.arm, c.id, case when t.id is null then 'ghost' when t.version = c.version then 'correct' else 'stale' end as state
   from copies c left join truth t on t.id = c.id),
 lost as (select vendor, arm, (select count(*) from truth) - count(*) filter (state <> 'ghost') as missing from judged group by all),
@@ -236,24 +222,31 @@ ladders as (select vendor, arm, count(*) filter (state = 'stale') as stale, any_
   count(*) filter (state <> 'correct') + any_value(missing) as wrong from judged join lost using (vendor, arm) group by all)"""
 
 _READ = f"""polls as (select id as record_id, (300 * pass_no)::DOUBLE as t from held join marks using (pass_no) where last_modified >= lower - 120),
+tells as (select record_id, min(300 * pass_no)::DOUBLE as t from mut, marks where seq = death and event_at between lower - 120 and 300 * pass_no
+  and event_at >= 300 * pass_no - 7200 group by record_id),
 tried as (select seq, event_at + {_LAG} as arrival from mut),
 flagged as (select *, arrival between 7200 and 10800 as down from tried),
 isles as (select *, sum((not down)::INT) over (order by seq) as island from flagged),
 runs as (select *, sum(down::INT) over (partition by island order by seq) as run from isles),
 disabled as (select min(seq) as s from runs where down and run = 25),
-hints as (select record_id, arrival as t, false as out from hooks where copy = 0
-  union all select record_id, arrival, true from hooks, disabled where copy = 0 and not arrival between 7200 and 10800 and (s is null or seq < s)),
-log as (select o.out, record_id, event_at as t, 0 as what, seq, kind, null::DOUBLE as hook, null::DOUBLE as poll from mut, (values (false), (true)) o(out)
-  union all select out, record_id, t, 1, null, null, t, null from hints
-  union all select o.out, record_id, t, 1, null, null, null, t from polls, (values (false), (true)) o(out)),
-found as (select *, min(hook) over w as hook_at, min(poll) over w as poll_at from log
-  window w as (partition by out, record_id order by t, what rows between current row and unbounded following)),
-sides as (select out, seq, kind, t as event_at, hook_at, case when kind not in ('DELETE', 'MERGE') then poll_at end as poll_at from found where what = 0),
+hints as (select record_id, arrival as t, false as out, seq from hooks where copy = 0
+  union all select record_id, arrival, true, seq from hooks, disabled where copy = 0 and not arrival between 7200 and 10800 and (s is null or seq < s)),
+asked as (select false as end_, seq, kind, record_id, event_at as t from mut
+  union all select true, seq, case when tombstone then 'DELETE' else 'UPDATE' end, id, valid_from from final where valid_from >= 0),
+log as (select o.out, end_, record_id, t, 0 as what, seq, kind, null::DOUBLE as hook, null::DOUBLE as poll, null::DOUBLE as tell from asked, (values (false), (true)) o(out)
+  union all select out, e.end_, record_id, t, 1, null, null, t, null, null from hints, (values (false), (true)) e(end_)
+  union all select o.out, e.end_, record_id, t, 1, null, null, null, t, null from polls, (values (false), (true)) o(out), (values (false), (true)) e(end_)
+  union all select o.out, e.end_, record_id, t, 1, null, null, null, null, t from tells, (values (false), (true)) o(out), (values (false), (true)) e(end_)),
+found as (select *, min(hook) over w as hook_at, min(poll) over w as poll_at, min(tell) over w as tell_at from log
+  window w as (partition by out, end_, record_id order by t, what rows between current row and unbounded following)),
+sides as (select out, end_, seq, kind, t as event_at, hook_at, case when kind in ('DELETE', 'MERGE') then tell_at else poll_at end as poll_at from found where what = 0),
 ways as (select * from (values ('both', false, true, true), ('both_outage', true, true, true), ('poll', false, false, true), ('webhook', false, true, false)) w(arm, out, hook, poll)),
-timed2 as (select arm, seq, kind, event_at, case when hook and hook_at <= 28800 then hook_at end as h, case when poll and poll_at <= 28800 then poll_at end as p
+timed2 as (select arm, end_, seq, kind, event_at, case when hook and hook_at <= 28800 then hook_at end as h, case when poll and poll_at <= 28800 then poll_at end as p
   from sides join ways using (out)),
-credit as (select arm, seq, kind, least(h, p) - event_at as latency,
+verdicts as (select arm, end_, seq, kind, least(h, p) - event_at as latency,
   case when h is not null and h = least(h, p) then 'webhook' when least(h, p) is not null then 'poll' end as source from timed2),
+credit as (select arm, seq, kind, latency, source from verdicts where not end_),
+detected as (select seq, kind, latency, source from credit where arm = 'both'),
 ranked2 as (select *, row_number() over (partition by arm order by latency) - 1 as i, count(*) over (partition by arm) as n from credit where latency is not null),
 middle as (select arm, max(latency) filter (i = least(n - 1, greatest(0, round_even(0.5 * n + 0.5, 0)::BIGINT - 1))) as p50,
   max(latency) filter (i = least(n - 1, greatest(0, round_even(0.95 * n::DOUBLE + 0.5, 0)::BIGINT - 1))) as p95 from ranked2 group by arm)"""
@@ -274,19 +267,33 @@ guarded as (select pass_no, max(case when pass_no not in (select pass_no from ba
 live as (select pass_no, last_modified from pass, ver where valid_from <= 300 * pass_no and (valid_to is null or valid_to > 300 * pass_no) and not tombstone)"""
 
 ORACLES |= {
+    "detection_latency": _with("select * from detected", _READ),
+    "latency_percentiles": _with("""select source, n, max(latency) filter (i = least(n - 1, greatest(0, round_even(0.5 * n + 0.5, 0)::BIGINT - 1))) as p50,
+  max(latency) filter (i = least(n - 1, greatest(0, round_even(0.95 * n::DOUBLE + 0.5, 0)::BIGINT - 1))) as p95,
+  max(latency) filter (i = least(n - 1, greatest(0, round_even(n::DOUBLE + 0.5, 0)::BIGINT - 1))) as p100
+  from (select *, row_number() over (partition by source order by latency) - 1 as i, count(*) over (partition by source) as n
+        from detected where latency is not null) group by source, n""", _READ),
+    "webhook_poll_delta": _with("""select kind, count(*) filter (source = 'webhook') as by_webhook, count(*) filter (source = 'poll') as by_poll,
+  count(*) filter (source is null) as undetected from detected group by kind""", _READ),
     "deletion_ladder": _with("select vendor, arm, stale, missing, ghost, wrong from ladders", _HOW),
     "prediction_tally": _with("""select verdict, count(*) as n from (select case when wrong <= was then 'HELD' else 'REFUTED' end as verdict
   from (select *, lag(wrong) over (partition by vendor order by arm) as was from ladders) where was is not null) group by 1""", _HOW),
     "bar_chart_ghosts": _with(_bars("select vendor || ' ' || arm as label, ghost as n from ladders"), _HOW),
+    "score_by_kind": _with("""select kind, count(*) as happened, count(*) filter (kind not in ('DELETE', 'MERGE') and death is null and state = 'correct') as reflected,
+  count(*) filter (kind not in ('DELETE', 'MERGE') and death is not null) as superseded,
+  count(*) filter (kind in ('DELETE', 'MERGE') or death is null and state <> 'correct') as missed from mut left join compared on id = record_id group by kind""", _reads("one")),
     "score_by_kind_arms": _with("""select arm, kind, count(*) as happened,
   count(*) filter (case when kind in ('DELETE', 'MERGE') then deletes else death is null and state = 'correct' end) as reflected,
   count(*) filter (kind not in ('DELETE', 'MERGE') and death is not null) as superseded,
   count(*) filter (case when kind in ('DELETE', 'MERGE') then not deletes else death is null and state <> 'correct' end) as missed
   from mut cross join (values ('deletes', true), ('plain', false)) a(arm, deletes)
     left join (select id, state from compared) c on c.id = record_id group by all""", _reads("one")),
-    "channel_arms": _with("""select arm, n_changes, n_detected, n_changes - n_detected as n_missed, by_webhook, by_poll, p50, p95 from (
-  select arm, count(*) as n_changes, count(latency) as n_detected, count(*) filter (source = 'webhook') as by_webhook,
-    count(*) filter (source = 'poll') as by_poll from credit group by arm) left join middle using (arm)""", _READ),
+    "channel_arms": _with("""select arm, n_changes, n_detected, n_changes - n_detected as n_missed, by_webhook, by_poll, max_latency, p50, p95, wrong,
+    (poll::INT * (select sum(n // 200) + 192 from (select count(*) as n from polls group by t)) + hook::INT * (select count(*) from hints h where h.out = ways.out))::BIGINT as calls,
+    hook::INT * (select count(*) from hooks where copy = 1 and seq in (select seq from hints h where h.out = ways.out)) as absorbed
+  from (select arm, count(*) as n_changes, count(latency) as n_detected, count(*) filter (source = 'webhook') as by_webhook,
+    count(*) filter (source = 'poll') as by_poll, max(latency) as max_latency from credit group by arm) left join middle using (arm) join ways using (arm)
+    left join (select arm, count(*) filter (latency is null) as wrong from verdicts where end_ group by arm) using (arm)""", _READ),
     "detection_by_read": _with("select seq, kind, latency, source from credit where arm = 'both'", _READ),
     "deletion_accounting": _with("""select arm, kind, count(*) as happened, count(latency) as detected, count(*) - count(latency) as undetected
   from credit where kind in ('DELETE', 'MERGE') group by all""", _READ),

@@ -43,17 +43,3 @@ def failure_runs(changes: DataFrame, down_from: float, down_until: float, span:
     carried = ends.select("range", F.coalesce(F.lag("open").over(order), F.lit(0)).alias("carried"))
     whole = F.col("run") + F.when((F.col("down") == 1) & (F.col("ups") == 0), F.col("carried")).otherwise(0)
     return local.join(carried, "range").select("seq", "arrival", (F.col("down") == 1).alias("down"), whole.alias("run"))
-
-
-def detected(changes: DataFrame, hooks: DataFrame, interval: float, horizon: float, overlap_watermark: DataFrame) -> DataFrame:
-    """(seq, kind, latency, source): for each change the earlier of its first delivery and the first
-    pass whose bound its stamp meets; null if neither within the horizon."""
-    hook = hooks.groupBy("seq").agg(F.min("arrival").alias("hook_at"))
-    pass_no = (F.floor(F.col("event_at") / interval) + 1).cast("int")
-    seen = changes.withColumn("pass_no", pass_no).join(F.broadcast(overlap_watermark.select("pass_no", "lower")), "pass_no", "left")
-    poll = F.when((F.col("pass_no") * interval <= horizon) & (F.col("stamp") >= F.col("lower") - 120.0), F.col("pass_no") * interval)
-    both = seen.withColumn("poll_at", poll).join(hook, "seq", "left")
-    hook_at = F.when(F.col("hook_at") <= horizon, F.col("hook_at"))
-    at = F.least(hook_at, F.col("poll_at"))
-    source = F.when(at.isNull(), None).when(hook_at.isNotNull() & (hook_at == at), "webhook").otherwise("poll")
-    return both.select("seq", "kind", (at - F.col("event_at")).alias("latency"), source.alias("source"))

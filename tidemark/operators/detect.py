@@ -2,7 +2,7 @@
 
 A webhook is a hint: its record is read again at the arrival, and then holds all changes up to
 then; if it is gone, it is marked deleted. A poll reads records whose stamp meets its bound, and so
-never a deleted one.
+never a deleted one; of deletions it is told by the vendor's endpoint.
 """
 
 from __future__ import annotations
@@ -11,20 +11,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_reads(changes: DataFrame, hooks: DataFrame, polls: DataFrame) -> DataFrame:
+def first_reads(changes: DataFrame, hooks: DataFrame, polls: DataFrame, tells: DataFrame) -> DataFrame:
     """changes (seq, kind, record_id, event_at) with hook_at and poll_at, the first time that
-    hooks (record_id, at) and polls (record_id, at) read the record at or after the change.
+    hooks (record_id, at) and polls (record_id, at) read the record at or after the change; a
+    deletion's or merge's poll_at is the first time that tells (record_id, at) names the record.
 
-    One window per record over all three in order of time: no change meets a read in a join.
+    One window per record over all of them in order of time: no change meets a read in a join.
     """
-    none = F.lit(None).cast("double")
-    log = changes.select("record_id", F.col("event_at").alias("t"), F.lit(0).alias("what"), "seq", "kind", none.alias("hook"), none.alias("poll"))
-    read = lambda df, hook, poll: df.select("record_id", F.col("at").alias("t"), F.lit(1).alias("what"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("kind"), hook.alias("hook"), poll.alias("poll"))
-    every = log.union(read(hooks, F.col("at"), none)).union(read(polls, none, F.col("at")))
+    log = changes.select("record_id", F.col("event_at").alias("t"), F.lit(0).alias("what"), "seq", "kind")
+    for name, df in (("hook", hooks), ("poll", polls), ("tell", tells)):
+        log = log.unionByName(df.select("record_id", F.col("at").alias("t"), F.lit(1).alias("what"), F.col("at").alias(name)), allowMissingColumns=True)
     later = Window.partitionBy("record_id").orderBy("t", "what").rowsBetween(0, Window.unboundedFollowing)
-    seen = every.select("*", F.min("hook").over(later).alias("hook_at"), F.min("poll").over(later).alias("poll_at")).where("what = 0")
+    seen = log.select("*", *(F.min(n).over(later).alias(f"{n}_at") for n in ("hook", "poll", "tell"))).where("what = 0")
     dead = F.col("kind").isin("DELETE", "MERGE")
-    return seen.select("seq", "kind", "record_id", F.col("t").alias("event_at"), "hook_at", F.when(~dead, F.col("poll_at")).alias("poll_at"))
+    return seen.select("seq", "kind", "record_id", F.col("t").alias("event_at"), "hook_at", F.when(dead, F.col("tell_at")).otherwise(F.col("poll_at")).alias("poll_at"))
 
 
 def credited(reads: DataFrame, arms: DataFrame, horizon: float) -> DataFrame:

@@ -49,9 +49,15 @@ def as_of(versions: DataFrame, t: float | Column) -> DataFrame:
     return versions.where((F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (F.col("valid_to") > t)))
 
 
-def at_passes(versions: DataFrame, interval: float, passes: int) -> DataFrame:
-    """versions once for each pass k in 1..passes at whose time k * interval they hold: a range join
-    written as an explode of the passes that an interval covers."""
+def held_passes(interval: float, passes: int) -> tuple[Column, Column]:
+    """The first and last of passes 1..passes at whose time, k * interval, a version holds."""
     first = F.greatest(F.lit(1), F.ceil(F.col("valid_from") / interval).cast("int"))
     last = F.when(F.col("valid_to").isNull(), F.lit(passes)).otherwise(F.least(F.lit(passes), (F.ceil(F.col("valid_to") / interval) - 1).cast("int")))
+    return first, last
+
+
+def at_passes(versions: DataFrame, interval: float, passes: int) -> DataFrame:
+    """versions once for each pass k at whose time they hold: a range join written as an explode of
+    the passes that an interval covers."""
+    first, last = held_passes(interval, passes)
     return versions.where(first <= last).withColumn("pass_no", F.explode(F.sequence(first, last)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import as_of, at_passes
+from tidemark.operators.scan import as_of, at_passes, held_passes
 
 EPSILON = 1e-9
 
@@ -24,18 +24,67 @@ def watermarks(versions: DataFrame, interval: float, passes: int, archived: bool
     return out.select("*", F.coalesce(F.lag("watermark").over(w), F.lit(0.0)).alias("lower"))
 
 
-def reads(versions: DataFrame, arms: DataFrame, interval: float, passes: int, archived: bool = False) -> DataFrame:
+def bounds(versions: DataFrame, arms: DataFrame, interval: float, passes: int, archived: bool = False, failed: DataFrame | None = None) -> DataFrame:
+    """(arm, lowers): the watermark that each pass of an arm starts from, as an array in order.
+
+    A pass in failed (arm, pass_no) reads, but doesn't move the watermark on. A version counts at
+    the first pass that does and at whose time it holds: a running maximum needs no others, so that
+    versions aren't multiplied by their passes. One row per arm and pass.
+    """
+    first, last = held_passes(interval, passes)
+    seen = versions.where((F.lit(archived) | ~F.col("tombstone")) & (F.col("last_modified") >= 0)).select(first.alias("first"), last.alias("last"), "last_modified").where("first <= last")
+    each = seen.groupBy("first", "last").agg(F.max("last_modified").alias("stamp"))  # a row per pair of passes at most
+    plan = schedule(arms, passes, failed)
+    moved = each.join(F.broadcast(plan.select("arm", F.col("pass_no").alias("first"), "works")), "first").where("works <= last")
+    best = moved.groupBy("arm", F.col("works").alias("pass_no")).agg(F.max("stamp").alias("stamp"))
+    before = Window.partitionBy("arm").orderBy("pass_no").rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.greatest(F.lit(0.0), F.coalesce(F.max("stamp").over(before), F.lit(0.0)))
+    rows = plan.select("arm", "pass_no").join(best, ["arm", "pass_no"], "left").select("arm", "pass_no", lower.alias("lower"))
+    return rows.groupBy("arm").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass_no", "lower"))), lambda x: x["lower"]).alias("lowers"))
+
+
+def schedule(arms: DataFrame, passes: int, failed: DataFrame | None = None) -> DataFrame:
+    """(arm, pass_no, works): the first pass from pass_no on that doesn't fail, null if none does."""
+    spine = arms.select("arm").crossJoin(F.broadcast(arms.sparkSession.range(1, passes + 1).select(F.col("id").cast("int").alias("pass_no"))))
+    bad = F.lit(None).cast("boolean")
+    if failed is not None:
+        spine = spine.join(F.broadcast(failed.select("arm", "pass_no", F.lit(True).alias("bad"))), ["arm", "pass_no"], "left")
+        bad = F.col("bad")
+    after = Window.partitionBy("arm").orderBy("pass_no").rowsBetween(0, Window.unboundedFollowing)
+    return spine.select("arm", "pass_no", F.min(F.when(bad.isNull(), F.col("pass_no"))).over(after).alias("works"))
+
+
+def reads(versions: DataFrame, arms: DataFrame, interval: float, passes: int, archived: bool = False, failed: DataFrame | None = None) -> DataFrame:
     """(arm, pass_no, id, version, last_modified): live rows that a pass of an arm reads; if
     archived, archived rows too, and tombstone.
 
-    arms (arm, overlap, inclusive) and the watermarks are one row per arm and per pass.
+    arms (arm, overlap, inclusive) and their watermarks are one row per arm. Watermarks never fall,
+    so an arm's passes read a version up to the last one whose bound its stamp meets: only these
+    rows are made.
     """
     deepest = arms.agg(F.max("overlap")).first()[0] or 0.0
-    live = at_passes(versions.where((F.lit(archived) | ~F.col("tombstone")) & (F.col("last_modified") >= -float(deepest))), interval, passes)
-    marks = F.broadcast(watermarks(versions, interval, passes, archived).select("pass_no", "lower"))
-    bound = F.col("lower") - F.col("overlap") + F.when(F.col("inclusive"), 0.0).otherwise(EPSILON)
-    out = live.join(marks, "pass_no").crossJoin(F.broadcast(arms)).where(F.col("last_modified") >= bound)
-    return out.select("arm", "pass_no", "id", "version", "last_modified", *["tombstone"] * archived)
+    live = versions.where((F.lit(archived) | ~F.col("tombstone")) & (F.col("last_modified") >= -float(deepest)))
+    first, last = held_passes(interval, passes)
+    asks = arms.join(bounds(versions, arms, interval, passes, archived, failed), "arm")
+    epsilon = F.when(F.col("inclusive"), 0.0).otherwise(EPSILON)
+    met = F.size(F.filter("lowers", lambda lower: F.col("last_modified") >= lower - F.col("overlap") + epsilon))
+    rows = live.select("id", "version", "last_modified", "tombstone", first.alias("first"), last.alias("last")).where("first <= last").crossJoin(F.broadcast(asks))
+    rows = rows.withColumn("last", F.least(F.col("last"), met)).where("first <= last").withColumn("pass_no", F.explode(F.sequence("first", "last")))
+    return rows.select("arm", "pass_no", "id", "version", "last_modified", *["tombstone"] * archived)
+
+
+def deletions_told(deaths: DataFrame, versions: DataFrame, arms: DataFrame, interval: float, passes: int, retention: float, failed: DataFrame | None = None) -> DataFrame:
+    """(arm, id, pass_no): the pass that learns of a deletion (id, at) from an endpoint which it asks
+    for [its watermark less the overlap, now] and which forgets after ``retention`` seconds.
+
+    A pass in failed (arm, pass_no) isn't answered and leaves its watermark, so that the next one
+    asks again. Bounds only rise: the first pass that is answered decides, one lookup a deletion.
+    """
+    asks = arms.join(bounds(versions, arms, interval, passes, False, failed), "arm").join(schedule(arms, passes, failed), "arm")
+    first = F.greatest(F.lit(1), F.ceil(F.col("at") / interval).cast("int"))
+    rows = deaths.withColumn("pass_no", first).join(F.broadcast(asks), "pass_no").where("works is not null")
+    lower, now = F.element_at("lowers", F.col("works")) - F.col("overlap"), F.col("works") * F.lit(float(interval))
+    return rows.where((F.col("at") >= lower) & (F.col("at") >= now - retention)).select("arm", "id", F.col("works").alias("pass_no"))
 
 
 def without_deleted(local: DataFrame, arms: DataFrame, deletes: DataFrame) -> DataFrame:
