@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark import catalog_arms
-from tidemark.catalog_sql import ORACLES  # noqa: F401
+from tidemark import catalog_arms, catalog_live, catalog_live_sql, catalog_sql
 from tidemark.functions.draws import bucket, draw
 from tidemark.operators import channel, limits, reconcile, report, scan, sync, upsert
 from tidemark.plans.stage import written
@@ -378,4 +377,5 @@ subscription_disable upsert_latest out_of_order_rejects
 redundant_upserts resurrections store_state score local_live rate_window_admission access_pattern_cost fixed_sleep_schedule token_bucket_schedule bar_chart_kinds
 ext_loss_rollup ext_change_rate_window ext_record_sessions
 """.split()
-QUERIES = {name: globals()[name] for name in _NAMES} | catalog_arms.QUERIES
+QUERIES = {name: globals()[name] for name in _NAMES} | catalog_arms.QUERIES | catalog_live.QUERIES
+ORACLES = catalog_sql.ORACLES | catalog_live_sql.ORACLES
