@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import catalog_arms as arms
+from tidemark.functions.draws import draw
 from tidemark.operators import asof, backfill, chains, channel, digest, scan, sync
 from tidemark.plans.stage import new_path, written
 from tidemark.sources import fixtures, vendor
-from tidemark.sources.fixtures import HORIZON, INTERVAL
+from tidemark.sources.fixtures import HORIZON
+from tidemark.streaming import dedup, joins, state
+from tidemark.streaming.feed import fed
 
 #: Fixed value: rows of a backfill's range, ten pages.
 RANGE = 2000
@@ -39,11 +42,11 @@ def vendor_stream_reads(spark, sf):
     """What a stream of modified rows gives, published in four parts; a part's stamps under the
     highest one of an earlier part are lost. The stream stops and starts again between parts."""
     rows = arms._versions(spark, sf, arms._changes(spark, sf)).where("valid_from >= 0 and not tombstone").select("id", "seq", "version", "last_modified", "valid_from")
-    path, state, sink = _store(spark, "stream"), new_path(spark, "state"), new_path(spark, "sink")
+    path, held, sink = _store(spark, "stream"), new_path(spark, "state"), new_path(spark, "sink")
     stream = spark.readStream.schema(rows.schema).format(vendor.NAME).load(path)
     for k in range(4):
         vendor.publish(rows.where(F.least(F.lit(3), F.floor(F.col("valid_from") / QUARTER)) == k), path, per_range=4096)
-        q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", held).trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.schema(rows.schema).parquet(sink).drop("valid_from")
 
@@ -115,7 +118,76 @@ def deliveries_as_of(spark, sf):
     return asof.join(sent, versions, "id", "arrival", "valid_from", "valid_to", leaf=1.0, levels=6).drop("valid_from", "valid_to")
 
 
+SUBSCRIPTIONS, PARTS = 4, 3
+#: Seconds: how long a hint is waited for, how late rows may be, how long an arrival is remembered.
+WITHIN, LATE, KEPT = 60, 20, 120
+
+
+def _moment(seconds):
+    return F.timestamp_micros(F.round(seconds * 1_000_000).cast("long"))
+
+
+def _parts(rows, at: str, extra=None):
+    """rows in PARTS parts by time, and a last part with extra rows, which ends all that waits."""
+    part = F.least(F.lit(PARTS - 1), F.greatest(F.lit(0), F.floor(F.col(at) / (HORIZON / PARTS))))
+    out = [rows.where(part == k) for k in range(PARTS)]
+    return out if extra is None else [*out, extra]
+
+
+def stream_failure_runs(spark, sf):
+    """Failures in a row by subscription, four of them, each disabled after 25; the query stops and
+    starts again between three parts of the log."""
+    tried = F.col("event_at") + channel.lag()
+    changes = fixtures.mutations(spark, sf).select((F.col("record_id") % SUBSCRIPTIONS).alias("subscription"), "seq", "event_at", tried.between(*arms.OUTAGE).alias("down"))
+    with state.rocksdb(spark):
+        return fed(spark, lambda s: state.failure_runs(s, arms.DISABLE_AFTER), _parts(written(changes, "changes"), "event_at"))[0]
+
+
+def stream_first_arrivals(spark, sf):
+    """First deliveries of events, each remembered for two minutes after it."""
+    sent = channel.deliveries(fixtures.mutations(spark, sf)).select("event_id", "seq", "arrival", _moment(F.col("arrival")).alias("at"))
+    with state.rocksdb(spark):
+        return fed(spark, lambda s: state.first_arrivals(s, "event_id", "at", f"{LATE} seconds", KEPT * 1000), _parts(written(sent, "sent"), "arrival"))[0].select("event_id", "seq", "arrival")
+
+
+def _hints(spark, sf):
+    """Changes and the first deliveries about them, in parts; a last part far ahead closes the wait."""
+    changes = arms._changes(spark, sf)
+    sent = written(channel.first_seen(channel.deliveries(changes)).select("record_id", "arrival", _moment(F.col("arrival")).alias("hinted")), "hints")
+    rows = changes.select("seq", "record_id", "event_at", _moment(F.col("event_at")).alias("changed"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("record_id"), F.lit(2 * HORIZON).alias("t"))
+    last = end.select(F.lit(-1).cast("long").alias("seq"), "record_id", F.col("t").alias("event_at"), _moment(F.col("t")).alias("changed"))
+    return _parts(rows, "event_at", last), _parts(sent, "arrival", end.select("record_id", F.col("t").alias("arrival"), _moment(F.col("t")).alias("hinted")))
+
+
+def stream_hinted_changes(spark, sf):
+    """For each change the first hint about its record within a minute: two streams joined."""
+    rows, _ = fed(spark, lambda c, h: joins.hinted(c.drop("event_at"), h, f"{WITHIN} seconds", f"{LATE} seconds"), *_hints(spark, sf))
+    return rows.where("seq >= 0").groupBy("seq").agg(F.unix_micros(F.min("hinted")).alias("hinted_us"))
+
+
+def stream_hint_rereads(spark, sf):
+    """What the re-read that a hint asks for finds: a stream joined with the table of versions."""
+    changes = arms._changes(spark, sf)
+    versions = arms._versions(spark, sf, changes)
+    sent = written(channel.first_seen(channel.deliveries(changes)).select("event_id", "record_id", "arrival"), "hints")
+    return fed(spark, lambda s: joins.reread(s, versions), _parts(sent, "arrival"))[0]
+
+
+def stream_late_rows(spark, sf):
+    """Deliveries that come after their time was closed, as one in fifty is held up until the next
+    part: as the stream's progress counts them and as an anti join with the log finds them."""
+    held = F.when(draw("held", "seq") % 50 == 0, HORIZON / PARTS).otherwise(0.0)
+    sent = channel.first_seen(channel.deliveries(fixtures.mutations(spark, sf)))
+    sent = written(sent.select("event_id", (F.col("arrival") + held).alias("arrival"), _moment(F.col("event_at")).alias("at")), "sent")
+    rows, progress = fed(spark, lambda s: dedup.dedup(s, "event_id", "at", f"{LATE} seconds"), _parts(sent, "arrival"))
+    dropped = sum(o.numRowsDroppedByWatermark for p in progress for o in p.stateOperators)
+    lost = sent.join(rows.select("event_id"), "event_id", "left_anti").agg(F.count("*").alias("n_missing"))
+    return lost.crossJoin(sent.agg(F.count("*").alias("n_sent"))).select("n_sent", "n_missing", F.lit(dropped).cast("long").alias("n_dropped"))
+
+
 _NAMES = """
+stream_failure_runs stream_first_arrivals stream_hinted_changes stream_hint_rereads stream_late_rows
 vendor_modified_since vendor_stream_reads backfill_resumed backfill_copy manifest_digest tree_reconcile merge_survivors
 deliveries_as_of
 """.split()

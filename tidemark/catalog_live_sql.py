@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.catalog_sql import _HOW, _LOCAL, _reads, _with
+from tidemark.catalog_sql import _HOW, _LAG, _LOCAL, _d, _reads, _with
 
 _LEVELS = 8
 
@@ -47,4 +47,19 @@ both_ as (select coalesce(o.copy, t.copy) as copy, coalesce(t.level, o.level) as
 walk as (select record_id, merged_into as at, 1 as hops from merged union all select w.record_id, m.merged_into, hops + 1 from walk w join merged m on m.record_id = w.at)"""),
     "deliveries_as_of": _with("""select event_id, copy, arrival, h.record_id as id, version, tombstone from hooks h join ver v on v.id = h.record_id
   where valid_from <= arrival and (valid_to is null or arrival < valid_to)"""),
+    "stream_failure_runs": _with("""select subscription, seq, case when seq >= off then 25 else run end::BIGINT as run, coalesce(seq >= off, false) as disabled
+  from runs left join (select subscription, min(seq) as off from runs where run = 25 group by subscription) using (subscription)""", f"""tried as (
+  select record_id % 4 as subscription, seq, event_at + {_LAG} between 7200 and 10800 as down from mut),
+isles as (select *, sum((not down)::INT) over (partition by subscription order by seq) as island from tried),
+runs as (select *, sum(down::INT) over (partition by subscription, island order by seq) as run from isles)"""),
+    "stream_first_arrivals": _with("select event_id, seq, arrival from hooks where copy = 0"),
+    "stream_hinted_changes": _with("""select m.seq, min(h.us) as hinted_us from (select seq, record_id, round(event_at * 1000000)::BIGINT as us from mut) m left join
+  (select record_id, round(arrival * 1000000)::BIGINT as us from hooks where copy = 0) h on h.record_id = m.record_id and h.us between m.us and m.us + 60000000 group by m.seq"""),
+    "stream_hint_rereads": _with("""select record_id, event_id, arrival, version, tombstone from hooks join ver on id = record_id
+  where copy = 0 and valid_from <= arrival and (valid_to is null or arrival < valid_to)"""),
+    "stream_late_rows": _with("""select count(*) as n_sent, count(*) filter (us <= closed) as n_missing, count(*) filter (us <= closed) as n_dropped from given join (
+  select part, (max(m) over (order by part rows between unbounded preceding and 1 preceding) // 1000 - 20000) * 1000 as closed
+  from (select part, max(us) as m from given group by part)) using (part)""",
+        f"""given as (select round(event_at * 1000000)::BIGINT as us, least(2, floor((arrival + case when {_d('held', 'seq')} % 50 = 0 then 9600 else 0 end) / 9600)) as part
+  from hooks where copy = 0)"""),
 }

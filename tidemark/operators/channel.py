@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import draw
 
 
+def lag() -> Column:
+    """How long a delivery takes, from 2 to 10 seconds."""
+    return 2.0 + (draw("wd", "seq") % 8000) / F.lit(1000.0)
+
+
 def deliveries(changes: DataFrame, loss: int = 3, duplicate: int = 5, reorder: int = 4) -> DataFrame:
     """(arrival, event_id, record_id, event_at, seq, copy): percentages of the changes are lost,
     sent twice (a second later) or held back by 30 seconds; all take 2 to 10 seconds."""
-    delay = 2.0 + (draw("wd", "seq") % 8000) / F.lit(1000.0)
+    delay = lag()
     late = F.when(draw("wr", "seq") % 100 < reorder, 30.0).otherwise(0.0)
     copies = F.when(draw("w2", "seq") % 100 < duplicate, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     sent = changes.where(draw("wl", "seq") % 100 >= loss)
@@ -30,7 +35,7 @@ def failure_runs(changes: DataFrame, down_from: float, down_until: float, span:
     Gaps and islands within ranges of ``span`` numbers; a run that reaches a range's end is carried
     into the next one, over one row per range.
     """
-    arrival = F.col("event_at") + 2.0 + (draw("wd", "seq") % 8000) / F.lit(1000.0)
+    arrival = F.col("event_at") + lag()
     marked = changes.select(
         "seq", F.floor(F.col("seq") / span).alias("range"), arrival.between(down_from, down_until).cast("int").alias("down"), arrival.alias("arrival"))
     ups = F.sum(1 - F.col("down")).over(Window.partitionBy("range").orderBy("seq"))
