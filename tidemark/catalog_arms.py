@@ -311,13 +311,6 @@ def stream_dedup_equals_batch(spark, sf):
     return _drained(spark, dedup.dedup(_stream(spark, sent, "sent"), "event_id", "at", "1 hour")).select("event_id", "seq")
 
 
-def stream_upsert_equals_batch(spark, sf):
-    events = table(spark, sf, "events").select("user_id", F.col("event_id").alias("version"), "value")
-    sink = new_path(spark, "sink")
-    dedup.upsert(_stream(spark, events, "events"), "user_id", "version", ["value"], new_path(spark, "state"), sink)
-    return spark.read.parquet(sink)
-
-
 def stream_windowed_counts(spark, sf):
     """Events by day, of the days that the watermark has closed."""
     events = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("at"))
@@ -348,6 +341,6 @@ _NAMES = """
 detection_latency latency_percentiles webhook_poll_delta score_by_kind deletion_ladder prediction_tally bar_chart_ghosts score_by_kind_arms channel_arms detection_by_read deletion_accounting
 frozen_watermarks store_stats unversioned_state endpoint_usage short_page_loss world_field_changes world_redirects
 full_field_compare accuracy_both_denominators result_json bar_chart_calls bar_chart_detection
-stream_dedup_equals_batch stream_upsert_equals_batch stream_windowed_counts
+stream_dedup_equals_batch stream_windowed_counts
 """.split()
 QUERIES = {name: globals()[name] for name in _NAMES}

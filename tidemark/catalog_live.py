@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import catalog_arms as arms
-from tidemark.functions.draws import draw
-from tidemark.operators import asof, backfill, chains, channel, digest, scan, sync
+from tidemark.functions.draws import bucket, draw
+from tidemark.operators import asof, backfill, chains, channel, digest, report, scan, sync
 from tidemark.plans.stage import new_path, written
-from tidemark.sources import fixtures, vendor
+from tidemark.sources import fixtures, results, vendor
 from tidemark.sources.fixtures import HORIZON
-from tidemark.streaming import dedup, joins, state
+from tidemark.streaming import dedup, joins, state, store
 from tidemark.streaming.feed import fed
 
 #: Fixed value: rows of a backfill's range, ten pages.
@@ -118,7 +118,7 @@ def deliveries_as_of(spark, sf):
     return asof.join(sent, versions, "id", "arrival", "valid_from", "valid_to", leaf=1.0, levels=6).drop("valid_from", "valid_to")
 
 
-SUBSCRIPTIONS, PARTS = 4, 3
+SUBSCRIPTIONS, PARTS, BUCKETS = 4, 3, 64
 #: Seconds: how long a hint is waited for, how late rows may be, how long an arrival is remembered.
 WITHIN, LATE, KEPT = 60, 20, 120
 
@@ -186,7 +186,55 @@ def stream_late_rows(spark, sf):
     return lost.crossJoin(sent.agg(F.count("*").alias("n_sent"))).select("n_sent", "n_missing", F.lit(dropped).cast("long").alias("n_dropped"))
 
 
+def _writes(spark, sf):
+    return fixtures.table(spark, sf, "events").select("user_id", F.col("event_id").alias("version"), "value")
+
+
+def stream_upsert_equals_batch(spark, sf):
+    """Events upserted by three batches of a stream, each into the buckets that it touches."""
+    path, state_, feed = new_path(spark, "store"), new_path(spark, "state"), new_path(spark, "feed")
+    writes = _writes(spark, sf)
+    for k in range(PARTS):
+        writes.where(F.col("version") % PARTS == k).write.mode("append").parquet(feed)
+        store.upsert(spark.readStream.schema(writes.schema).parquet(feed), path, "user_id", "version", state_, BUCKETS)
+    return store.read(spark, path)
+
+
+def store_versions(spark, sf):
+    """What merges of ever fewer buckets write, and the rows that the table then has."""
+    path, out = new_path(spark, "store"), None
+    writes = _writes(spark, sf)
+    for k, most in enumerate((BUCKETS, 16, 4)):
+        was = store.manifest(spark, path).folders
+        now = store.merge(writes.where((F.col("version") % PARTS == k) & (bucket("store", "user_id", BUCKETS) < most)), path, "user_id", "version", BUCKETS)
+        new = [f for b, f in now.folders.items() if was.get(b) != f]
+        n_written = spark.read.schema(writes.schema).parquet(*new).agg(F.count("*").alias("n_written"))
+        one = n_written.crossJoin(store.read(spark, path).agg(F.count("*").alias("n_rows")))
+        one = one.select(F.lit(now.version).cast("long").alias("version"), F.lit(len(new)).cast("long").alias("n_buckets"), "n_written", "n_rows")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def result_json_read(spark, sf):
+    """The sweep's scores written as documents with nested lists, read back and shredded."""
+    rows = [(f"overlap_{o:04d}", float(o), True, False) for o in (0, 30, 60, 120, 300, 600, 1800)]
+    scores = arms._scores(spark, sf, arms._arms(spark, rows))
+    states = F.array(*(F.struct(F.col(c).alias("n"), F.lit(c).alias("state")) for c in ("correct", "stale", "missing", "ghost")))
+    documents = scores.select("arm", "accuracy", states.alias("states"))
+    path = new_path(spark, "results")
+    results.write(documents, "arm", path)
+    whole, _ = results.read(spark, path, documents.schema)
+    return whole.select("arm", "accuracy", F.explode("states").alias("s")).select("arm", "accuracy", "s.state", "s.n")
+
+
+def kind_sentences(spark, sf):
+    """Changes by kind and hour as a report words them."""
+    hour = F.floor(F.col("event_at") / 3600).cast("long")
+    return fixtures.mutations(spark, sf).groupBy("kind", hour.alias("hour")).agg(F.count("*").alias("n")).select("kind", "hour", report.counted(F.col("n"), "change").alias("said"))
+
+
 _NAMES = """
+stream_upsert_equals_batch store_versions result_json_read kind_sentences
 stream_failure_runs stream_first_arrivals stream_hinted_changes stream_hint_rereads stream_late_rows
 vendor_modified_since vendor_stream_reads backfill_resumed backfill_copy manifest_digest tree_reconcile merge_survivors
 deliveries_as_of

@@ -62,4 +62,13 @@ runs as (select *, sum(down::INT) over (partition by subscription, island order
   from (select part, max(us) as m from given group by part)) using (part)""",
         f"""given as (select round(event_at * 1000000)::BIGINT as us, least(2, floor((arrival + case when {_d('held', 'seq')} % 50 = 0 then 9600 else 0 end) / 9600)) as part
   from hooks where copy = 0)"""),
+    "store_versions": f"""with e as (select user_id, event_id % 3 as part, {_d('store', 'user_id')} % 64 as b from events),
+kept as (select * from e where b < case part when 0 then 64 when 1 then 16 else 4 end),
+v as (select distinct part from (values (0), (1), (2)) t(part))
+select part + 1 as version, (select count(distinct b) from kept k where k.part = v.part) as n_buckets,
+  (select count(distinct user_id) from kept k where k.part <= v.part and b in (select b from kept x where x.part = v.part)) as n_written,
+  (select count(distinct user_id) from kept k where k.part <= v.part) as n_rows from v""",
+    "result_json_read": _with("""select arm, accuracy, state, n from (select arm, accuracy, unnest(['correct', 'stale', 'missing', 'ghost']) as state, unnest([correct, stale, missing, ghost]) as n from score)""", _reads("sweep")),
+    "kind_sentences": _with("""select kind, hour, format('{:,}', n) || ' change' || case when n = 1 then '' else 's' end as said
+  from (select kind, floor(event_at / 3600)::BIGINT as hour, count(*) as n from mut group by all)"""),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,8 @@ def bars(df: DataFrame, label: str, value: str, width: int = 44) -> DataFrame:
     out = df.withColumn("__marks", marks.cast("int")).withColumn("__wide", wide)
     line = F.concat(F.expr(f"rpad({label}, __wide, ' ')"), F.lit("  "), bar, F.lit(" "), F.col(value).cast("string"))
     return out.select(F.col(label).alias("label"), line.alias("line"))
+
+
+def counted(n: Column, noun: str) -> Column:
+    """A count with its noun: thousands apart, and an s unless it is one."""
+    return F.concat(F.format_number(n, 0), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))

@@ -22,17 +22,3 @@ def dedup(stream: DataFrame, key: str, at: str, lateness: str) -> DataFrame:
 def windowed_counts(stream: DataFrame, at: str, length: str, lateness: str, by: list[str]) -> DataFrame:
     """Counts per tumbling window, emitted once the watermark closes it."""
     return stream.withWatermark(at, lateness).groupBy(F.window(at, length), *by).agg(F.count("*").alias("n"))
-
-
-def upsert(stream: DataFrame, key: str, version: str, fields: list[str], checkpoint: str, sink: str) -> None:
-    """Keep the latest version of each key in the Parquet table ``sink``: the state of the
-    aggregate holds a row per key, and each batch writes the table anew."""
-    latest = stream.groupBy(key).agg(F.max(F.struct(version, *fields)).alias("last")).select(key, "last.*")
-    q = (
-        latest.writeStream.outputMode("complete")
-        .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(sink))
-        .option("checkpointLocation", f"{checkpoint}/{uuid.uuid4().hex}")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
