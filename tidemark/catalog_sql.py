@@ -21,7 +21,10 @@ dead as (select record_id, min(seq) as death from raw2 where kind in ('DELETE',
 mut as (select seq, event_at, kind, r.record_id, case kind when 'UPDATE' then event_at
     when 'IN_FLIGHT_UPDATE' then event_at - ({_d('bk', 'seq')} % 120)::DOUBLE when 'LATE_CLOCK_UPDATE' then event_at - 11.0::DOUBLE end as stamp,
   case when kind = 'MERGE' then partner end as merged_into, death
-  from raw2 r left join dead d on d.record_id = r.record_id where death is null or seq <= death),
+  from raw2 r left join dead d on d.record_id = r.record_id where death is null or seq <= death
+  union all select m.seq, event_at, 'UPDATE', moved_to, event_at, null, e.death from (
+    select seq, event_at, low + (seq * 7 + r.record_id) % n as moved_to from raw2 r join dead d using (record_id), size where seq > death) m
+  left join dead e on e.record_id = m.moved_to where e.death is null or m.seq < e.death),
 eff as (
   select id, 0::BIGINT as seq, -1.0::DOUBLE as event_at, last_modified as stamp, 0 as bump, false as kill from rec
   union all select record_id, seq, event_at, stamp, (kind not in ('DELETE', 'MERGE'))::INT, kind in ('DELETE', 'MERGE') from mut

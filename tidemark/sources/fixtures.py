@@ -38,29 +38,37 @@ def _kind(percent: Column) -> Column:
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, event_at, kind, record_id, stamp, merged_into): the complete log of changes.
+    """(seq, event_at, kind, record_id, stamp, merged_into, death): the complete log of changes.
 
-    A record's changes end with its first DELETE or MERGE; a merge into itself is an update. stamp
-    is null where the record keeps the one it has.
+    A record's changes end with its first DELETE or MERGE, whose number is ``death``; what would hit
+    it later is redirected to another record as a plain update. A merge into itself is an update.
+    stamp is null where the record keeps the one it has.
     """
-    kept = _drawn(spark, sf_dir).where("death is null or seq <= death")
+    drawn = _drawn(spark, sf_dir)
+    kept = drawn.where("death is null or seq <= death")
     at = F.col("event_at")
     stamp = (
         F.when(F.col("kind") == "UPDATE", at)
         .when(F.col("kind") == "IN_FLIGHT_UPDATE", at - (draw("bk", "seq") % BACKDATE).cast("double"))
         .when(F.col("kind") == "LATE_CLOCK_UPDATE", at - CLOCK_SKEW)
     )
-    return kept.select("seq", "event_at", "kind", "record_id", stamp.alias("stamp"), F.when(F.col("kind") == "MERGE", F.col("partner")).alias("merged_into"), "death")
+    own = kept.select("seq", "event_at", "kind", "record_id", stamp.alias("stamp"), F.when(F.col("kind") == "MERGE", F.col("partner")).alias("merged_into"), "death")
+    moved = _moved(drawn).select(
+        "seq", "event_at", F.lit("UPDATE").alias("kind"), F.col("moved_to").alias("record_id"), at.alias("stamp"), F.lit(None).cast("long").alias("merged_into"), F.col("died").alias("death"))
+    return own.unionByName(moved)
 
 
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, event_at, record_id, moved_to): the changes that hit a record after its death, as plain
     updates of another one; those whose other record is dead by then too are dropped."""
-    rows = _drawn(spark, sf_dir)
+    return _moved(_drawn(spark, sf_dir)).select("seq", "event_at", "record_id", "moved_to")
+
+
+def _moved(rows: DataFrame) -> DataFrame:
     moved = F.col("low") + (F.col("seq") * 7 + F.col("record_id")) % F.col("n")
     late = rows.where("seq > death").select("seq", "event_at", "record_id", moved.alias("moved_to"))
     deaths = rows.where("seq = death").select(F.col("record_id").alias("moved_to"), F.col("death").alias("died"))
-    return late.join(deaths, "moved_to", "left").where("died is null or seq < died").select("seq", "event_at", "record_id", "moved_to")
+    return late.join(deaths, "moved_to", "left").where("died is null or seq < died")
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
