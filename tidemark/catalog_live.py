@@ -124,7 +124,7 @@ WITHIN, LATE, KEPT = 60, 20, 120
 
 
 def _moment(seconds):
-    return F.timestamp_micros(F.round(seconds * 1_000_000).cast("long"))
+    return F.timestamp_micros(F.lit(fixtures.EPOCH_US) + F.round(seconds * 1_000_000).cast("long"))
 
 
 def _parts(rows, at: str, extra=None):
@@ -163,7 +163,7 @@ def _hints(spark, sf):
 def stream_hinted_changes(spark, sf):
     """For each change the first hint about its record within a minute: two streams joined."""
     rows, _ = fed(spark, lambda c, h: joins.hinted(c.drop("event_at"), h, f"{WITHIN} seconds", f"{LATE} seconds"), *_hints(spark, sf))
-    return rows.where("seq >= 0").groupBy("seq").agg(F.unix_micros(F.min("hinted")).alias("hinted_us"))
+    return rows.where("seq >= 0").groupBy("seq").agg((F.unix_micros(F.min("hinted")) - fixtures.EPOCH_US).alias("hinted_us"))
 
 
 def stream_hint_rereads(spark, sf):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.plans.stage import written
+
 BROKEN = "_broken"
 
 
@@ -19,5 +21,5 @@ def read(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame,
     """(rows of whole documents, (file, text) of those that aren't JSON of the schema)."""
     declared = StructType([*schema.fields]).add(BROKEN, "string")
     found = spark.read.schema(declared).option("multiLine", True).option("columnNameOfCorruptRecord", BROKEN).option("recursiveFileLookup", True).json(path)
-    found = found.withColumn("file", F.input_file_name())
+    found = written(found.withColumn("file", F.input_file_name()), "results")  # parsed once; Spark can't query broken rows alone otherwise
     return found.where(F.col(BROKEN).isNull()).drop(BROKEN, "file"), found.where(F.col(BROKEN).isNotNull()).select("file", F.col(BROKEN).alias("text"))
