@@ -71,3 +71,12 @@ def test_filter_has_no_false_negatives_and_deletes():
     held.delete(hi[:2500], lo[:2500])
     assert held.contains(hi[2500:], lo[2500:]).all()
     assert held.contains(hi[:2500], lo[:2500]).sum() < 10
+
+
+def test_clashing_names_come_back_by_either_way(spark):
+    docs = spark.createDataFrame([(i, "menu\nown " + str(i), f"r{i}", i, "g", 2 * i) for i in range(12)], "doc_id long, text string, __row string, __of long, __gone string, n_lines long")
+    index = LineIndex.build(docs, min_docs=10)
+    want = sorted((i, f"own {i}", f"r{i}", i, "g", 2, 1) for i in range(12))
+    for most in (64 << 20, 0):
+        out = index.clean(docs, broadcast_bytes=most)
+        assert out.columns == ["doc_id", "text", "__row", "__of", "__gone", "n_lines", "n_dropped"] and sorted(map(tuple, out.collect())) == want

@@ -50,7 +50,7 @@ def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "ids"]
 
 
-CLASHING = "low long, toxic long, kept long, row long, own long, n_lines long, n_dropped long, size long, draw long, copies long, h long, class long, component long, key long, batch long"
+CLASHING = "low long, toxic long, kept long, row long, own long, n_lines long, n_dropped long, size long, draw long, copies long, h long, class long, component long, key long, batch long, __h long, __d long, __row long, __of long, __gone long, __draw long, __i long"
 
 
 def odd_rows():

@@ -124,3 +124,11 @@ def test_held_out_toxic_documents_of_the_labelled_tables(spark):
     toxic = [not k for i, k in got.items() if i in known and known[i][1] == 1]
     clean = [k for i, k in got.items() if known.get(i) == (1, 0)]
     assert np.mean(toxic) > 0.6 and np.mean(clean) > 0.97
+
+
+def test_repeated_rows_of_a_labelled_id_count_once(spark):
+    texts = [(i, f"good words {i}" if i % 2 else f"bad trash {i}") for i in range(200)]
+    docs = spark.createDataFrame(texts + [(0, "bad trash 0")] * 10_000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    once = quality.fit(docs.dropDuplicates(), labels)
+    assert (once == quality.fit(docs, labels)).all() and once.any()

@@ -94,3 +94,9 @@ def signed(a: np.ndarray) -> np.ndarray:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns of any name can't get in the way."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def hidden(df: DataFrame, *keep: str) -> DataFrame:
+    """df with columns named by their places but for those kept, so that none clashes with a name
+    used inside; toDF() with df's own names brings them back."""
+    return df.toDF(*(c if c in keep else f"_{i}" for i, c in enumerate(df.columns)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACE, column, materialize, only, signed
+from tidemark.llm.common import SPACE, column, hidden, materialize, only, signed
 from tidemark.llm.cuckoo import CuckooFilter
 
 KEYS_PER_SHARD = 200_000
@@ -153,6 +153,8 @@ class LineIndex:
         return self._clean_by_join(docs)
 
     def _clean_by_join(self, docs: DataFrame) -> DataFrame:
+        given = docs.columns
+        docs = hidden(docs, "text")
         names = docs.columns
         docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
         least = self.min_chars
@@ -197,7 +199,7 @@ class LineIndex:
                 columns[at_text] = pa.array(kept, pa.binary()).cast(columns[at_text].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(m, pa.int64())], schema.names)
 
-        return both.mapInArrow(drop, schema)
+        return both.mapInArrow(drop, schema).toDF(*given, "n_lines", "n_dropped")
 
 
 def _screen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,7 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> np.ndarray:
     """Weights (2, SLOTS + 1) for low quality and for toxicity; the last column is the intercept.
 
     Ridge logistic regression over all slots, fitted on at most ``sample`` labelled documents,
-    those of smallest hash of doc_id: only their slots come to the driver. No slot is left out; the
+    those of smallest hash of doc_id: only their slots come to the driver. Of several rows of one
+    doc_id the least text counts, so that ``sample`` bounds rows too. No slot is left out; the
     less its log odds ratio differs from 0, in standard errors, the more it is shrunk.
     """
     known = judged(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -82,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> np.ndarray:
             found = [np.sort(slots(text or b"", seen)).astype("<u2").tobytes() for text in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2)), pa.array(found, pa.binary())], ["low", "toxic", "slots"])
 
-    rows = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "low", "toxic")
+    rows = only(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "low", "toxic").agg(F.min("text").alias("text")).select("text", "low", "toxic")
     rows = materialize(rows.mapInArrow(run, "low int, toxic int, slots binary"), "labelled")
     # in an order of their own, so that sums don't depend on the partitions
     picked = sorted((bytes(r["slots"]), r["low"], r["toxic"]) for r in rows.toLocalIterator())

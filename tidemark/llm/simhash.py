@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, materialize, only, signed
+from tidemark.llm.common import column, hidden, materialize, only, signed
 from tidemark.llm.components import connected
 
 SEGMENTS, WIDTH, CHAIN = 8, 8, 5
@@ -250,12 +250,13 @@ def first_rows(docs: DataFrame, each: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     keep = each.groupBy("component", "doc_id", "h").agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by(F.struct("doc_id", "h", "n"), order).alias("first"))
     keep = materialize(keep.select("first.*"), "keep").toDF("__d", "__h", "n_same")
-    tagged = docs.withColumn("__row", row_hash(docs))
+    own = hidden(docs, "doc_id")
+    tagged = own.withColumn("__row", row_hash(own))
     # as many rows as groups: never broadcast
     kept = tagged.join(keep.hint("merge"), (F.col("__row") == F.col("__h")) & tagged["doc_id"].eqNullSafe(keep["__d"]), "left_semi")
     if not keep.where("n_same > 1").isEmpty():  # the same row again
         kept = kept.dropDuplicates(["doc_id", "__row"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*own.columns).toDF(*docs.columns)
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, tau: int = 4) -> DataFrame:
