@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import catalog_arms, catalog_live
-from tidemark.operators import asof, backfill, chains, digest, scan, sync
+from tidemark.operators import asof, backfill, chains, digest, report, scan, sync
 from tidemark.plans.stage import new_path
 from tidemark.sources import results, vendor
 from tidemark.streaming import joins, state, store
@@ -210,3 +210,11 @@ def test_joined_streams_hold_only_what_may_still_meet(spark):
 def test_late_rows_are_there_and_counted(spark):
     row = catalog_live.stream_late_rows(spark, SF).first()
     assert 0 < row.n_dropped == row.n_missing < row.n_sent // 10
+
+
+def test_charts_of_too_few_bars_fail_and_counts_have_nouns(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 1234567)], "k string, n long")
+    assert report.bars(rows, "k", "n", expected=2).count() == 2
+    with pytest.raises(Exception, match="3 bars expected, found 2"):
+        report.bars(rows, "k", "n", expected=3).collect()
+    assert [r.s for r in rows.orderBy("k").select(report.counted(F.col("n"), "call").alias("s")).collect()] == ["1 call", "1,234,567 calls"]

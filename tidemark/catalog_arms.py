@@ -79,7 +79,7 @@ def prediction_tally(spark, sf):
 
 
 def bar_chart_ghosts(spark, sf):
-    return report.bars(_rungs(spark, sf).select(F.concat_ws(" ", "vendor", "arm").alias("label"), F.col("ghost").alias("n")), "label", "n")
+    return report.bars(_rungs(spark, sf).select(F.concat_ws(" ", "vendor", "arm").alias("label"), F.col("ghost").alias("n")), "label", "n", expected=2 * len(RUNGS))
 
 
 def score_by_kind_arms(spark, sf):

@@ -12,6 +12,7 @@ from tidemark.operators import asof, backfill, chains, channel, digest, report,
 from tidemark.plans.stage import new_path, written
 from tidemark.sources import fixtures, results, vendor
 from tidemark.sources.fixtures import HORIZON
+from tidemark.sources.rules import with_rules
 from tidemark.streaming import dedup, joins, state, store
 from tidemark.streaming.feed import fed
 
@@ -233,8 +234,21 @@ def kind_sentences(spark, sf):
     return fixtures.mutations(spark, sf).groupBy("kind", hour.alias("hour")).agg(F.count("*").alias("n")).select("kind", "hour", report.counted(F.col("n"), "change").alias("said"))
 
 
+def vendor_costs(spark, sf):
+    """Calls that each vendor's rules ask of a backfill, a re-read of all changed records, and a bulk
+    export, and the rows that its search can't reach."""
+    state = scan.as_of(arms._versions(spark, sf, arms._changes(spark, sf)), HORIZON)
+    each = with_rules(state.select("tombstone", (F.col("valid_from") >= 0).alias("changed")))
+    seen = ~F.col("tombstone") | F.col("retention").isNull()
+    sums = each.groupBy("vendor", "page", "batch", "ceiling", "bulk").agg(F.count_if(seen).alias("n"), F.count_if(~F.col("tombstone") & F.col("changed")).alias("m"))
+    calls = lambda n, size: F.ceil(n / size).cast("long")
+    return sums.select(
+        "vendor", F.col("n").alias("scannable"), (calls(F.col("n"), F.col("page")) + 1).alias("backfill"), calls(F.col("m"), F.col("batch")).alias("reread"),
+        calls(F.col("n"), F.col("bulk")).alias("bulk_jobs"), F.greatest(F.lit(0), F.col("n") - F.col("ceiling")).alias("beyond_search"))
+
+
 _NAMES = """
-stream_upsert_equals_batch store_versions result_json_read kind_sentences
+vendor_costs stream_upsert_equals_batch store_versions result_json_read kind_sentences
 stream_failure_runs stream_first_arrivals stream_hinted_changes stream_hint_rereads stream_late_rows
 vendor_modified_since vendor_stream_reads backfill_resumed backfill_copy manifest_digest tree_reconcile merge_survivors
 deliveries_as_of

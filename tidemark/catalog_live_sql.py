@@ -71,4 +71,8 @@ select part + 1 as version, (select count(distinct b) from kept k where k.part =
     "result_json_read": _with("""select arm, accuracy, state, n from (select arm, accuracy, unnest(['correct', 'stale', 'missing', 'ghost']) as state, unnest([correct, stale, missing, ghost]) as n from score)""", _reads("sweep")),
     "kind_sentences": _with("""select kind, hour, format('{:,}', n) || ' change' || case when n = 1 then '' else 's' end as said
   from (select kind, floor(event_at / 3600)::BIGINT as hour, count(*) as n from mut group by all)"""),
+    "vendor_costs": _with("""select vendor, n as scannable, ceil(n / page::DOUBLE)::BIGINT + 1 as backfill, ceil(m / batch::DOUBLE)::BIGINT as reread,
+  ceil(n / bulk::DOUBLE)::BIGINT as bulk_jobs, case when n is not null then greatest(0, case when ceiling is null then 0 else n - ceiling end) end as beyond_search from (
+    select vendor, page, batch, ceiling, bulk, count(*) filter (not tombstone or keeps) as n, count(*) filter (not tombstone and valid_from >= 0) as m
+    from final, (values ('atlas', 200, 200, null::BIGINT, 100000, false), ('beacon', 100, 100, 10000, null, true)) v(vendor, page, batch, ceiling, bulk, keeps) group by all)"""),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,15 @@ def first_seen(events: DataFrame) -> DataFrame:
     return events.groupBy("event_id").agg(F.min(F.struct("arrival", "copy", "record_id", "event_at", "seq")).alias("x")).select("event_id", "x.*")
 
 
-def failure_runs(changes: DataFrame, down_from: float, down_until: float, span: int = 4096) -> DataFrame:
+def failure_runs(changes: DataFrame, down_from: float, down_until: float, span: int | None = None) -> DataFrame:
     """(seq, down, run): how many deliveries in a row have failed, in order of the log.
 
     Gaps and islands within ranges of ``span`` numbers; a run that reaches a range's end is carried
-    into the next one, over one row per range.
+    into the next one, over one row per range. Ranges grow with the root of the log's length, so
+    that neither they nor their number are more than a task holds.
     """
+    if span is None:
+        span = max(4096, math.isqrt(changes.agg(F.max("seq")).first()[0] or 0))
     arrival = F.col("event_at") + lag()
     marked = changes.select(
         "seq", F.floor(F.col("seq") / span).alias("range"), arrival.between(down_from, down_until).cast("int").alias("down"), arrival.alias("arrival"))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bars(df: DataFrame, label: str, value: str, width: int = 44) -> DataFrame:
+def bars(df: DataFrame, label: str, value: str, width: int = 44, expected: int | None = None) -> DataFrame:
     """(label, line): a proportional bar, at least one mark for any positive value. df is a report's
-    few rows, so one window spans them."""
+    few rows, so one window spans them. A chart of other than ``expected`` rows fails."""
     every = Window.partitionBy()
+    if expected is not None:
+        wrong = F.raise_error(F.concat(F.lit(f"{expected} bars expected, found "), F.count("*").over(every).cast("string")))
+        df = df.withColumn(label, F.when(F.count("*").over(every) == expected, F.col(label)).otherwise(wrong.cast("string")))
     top = F.max(value).over(every)
     marks = F.when((F.col(value) == 0) | (top == 0), 0).otherwise(F.greatest(F.lit(1), F.bround(width * F.col(value) / top, 0).cast("int")))
     wide = F.max(F.length(label)).over(every)
