@@ -11,7 +11,7 @@ from tidemark.functions.draws import bucket, draw
 from tidemark.operators import asof, backfill, chains, channel, digest, report, scan, sync
 from tidemark.plans.stage import new_path, written
 from tidemark.sources import fixtures, results, vendor
-from tidemark.sources.fixtures import HORIZON
+from tidemark.sources.fixtures import HORIZON, INTERVAL
 from tidemark.sources.rules import with_rules
 from tidemark.streaming import dedup, joins, state, store
 from tidemark.streaming.feed import fed
@@ -247,8 +247,20 @@ def vendor_costs(spark, sf):
         calls(F.col("n"), F.col("bulk")).alias("bulk_jobs"), F.greatest(F.lit(0), F.col("n") - F.col("ceiling")).alias("beyond_search"))
 
 
+def score_over_time(spark, sf):
+    """The copy against the truth up to each of four times, by the passes until then."""
+    times = spark.createDataFrame([(f"{t:05d}", float(t)) for t in (7200, 14400, 21600, 28800)], "arm string, up_to double")
+    versions = arms._versions(spark, sf, arms._changes(spark, sf))
+    read = sync.reads(versions, arms._one(spark), INTERVAL, arms.PASSES).drop("arm")
+    until = read.crossJoin(F.broadcast(times)).where(F.col("pass_no") * F.lit(INTERVAL) <= F.col("up_to"))
+    local = sync.local_copy(fixtures.records(spark, sf), until, times)
+    truth = scan.as_of(versions.crossJoin(F.broadcast(times)), F.col("up_to")).where("not tombstone").select("arm", "id", F.col("version").alias("true_version"))
+    state = sync.states(truth.join(local, ["arm", "id"], "full_outer"))
+    return sync.score(state).select(F.col("arm").cast("long").alias("up_to"), "correct", "stale", "ghost", "accuracy")
+
+
 _NAMES = """
-vendor_costs stream_upsert_equals_batch store_versions result_json_read kind_sentences
+score_over_time vendor_costs stream_upsert_equals_batch store_versions result_json_read kind_sentences
 stream_failure_runs stream_first_arrivals stream_hinted_changes stream_hint_rereads stream_late_rows
 vendor_modified_since vendor_stream_reads backfill_resumed backfill_copy manifest_digest tree_reconcile merge_survivors
 deliveries_as_of

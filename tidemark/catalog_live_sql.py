@@ -75,4 +75,9 @@ select part + 1 as version, (select count(distinct b) from kept k where k.part =
   ceil(n / bulk::DOUBLE)::BIGINT as bulk_jobs, case when n is not null then greatest(0, case when ceiling is null then 0 else n - ceiling end) end as beyond_search from (
     select vendor, page, batch, ceiling, bulk, count(*) filter (not tombstone or keeps) as n, count(*) filter (not tombstone and valid_from >= 0) as m
     from final, (values ('atlas', 200, 200, null::BIGINT, 100000, false), ('beacon', 100, 100, 10000, null, true)) v(vendor, page, batch, ceiling, bulk, keeps) group by all)"""),
+    "score_over_time": _with("""select up_to, count(*) filter (t.version = l.version) as correct, count(*) filter (t.version <> l.version) as stale, count(*) filter (t.version is null) as ghost,
+  round_even(count(*) filter (t.version = l.version) / count(t.version)::DOUBLE, 6) as accuracy from (
+    select up_to, rec.id, coalesce(arg_max(r.version, pass_no), 1) as version from rec cross join times left join reads r on r.id = rec.id and 300 * pass_no <= up_to group by all) l
+  left join (select up_to, id, version from ver, times where valid_from <= up_to and (valid_to is null or valid_to > up_to) and not tombstone) t using (up_to, id) group by up_to""",
+        _reads("one"), "times as (select unnest([7200, 14400, 21600, 28800])::BIGINT as up_to)"),
 }

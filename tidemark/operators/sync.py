@@ -116,7 +116,11 @@ def compare(truth: DataFrame, local: DataFrame, arms: DataFrame) -> DataFrame:
     has a row per arm."""
     arms = arms.select("arm")
     want = truth.select("id", F.col("version").alias("true_version")).crossJoin(F.broadcast(arms))
-    both = want.join(local, ["arm", "id"], "full_outer")
+    return states(want.join(local, ["arm", "id"], "full_outer"))
+
+
+def states(both: DataFrame) -> DataFrame:
+    """(arm, id, state) of rows (arm, id, true_version, version), nulls where a side has none."""
     state = (
         F.when(F.col("true_version").isNull(), "ghost").when(F.col("version").isNull(), "missing")
         .when(F.col("version") == F.col("true_version"), "correct").otherwise("stale")
