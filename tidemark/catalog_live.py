@@ -16,8 +16,8 @@ from tidemark.sources.rules import with_rules
 from tidemark.streaming import dedup, joins, state, store
 from tidemark.streaming.feed import fed
 
-#: Fixed value: rows of a backfill's range, ten pages.
-RANGE = 2000
+#: Rows of a backfill's range, ten pages at least; ranges at most.
+RANGE, RANGES = 2000, 1000
 HALF, QUARTER = 14_400.0, 7200.0
 
 
@@ -32,7 +32,7 @@ def vendor_modified_since(spark, sf):
     for name in ("atlas", "beacon"):
         state = scan.as_of(arms._versions(spark, sf, changes, name == "beacon"), HORIZON).select("id", "version", "last_modified", "tombstone")
         path = _store(spark, name)
-        vendor.publish(written(state if name == "beacon" else state.where("not tombstone"), "state"), path, per_range=4096)
+        vendor.publish(written(state if name == "beacon" else state.where("not tombstone"), "state"), path)
         found = spark.read.format(vendor.NAME).load(path).where(F.col("last_modified") >= HALF)
         one = found.select(F.lit(name).alias("vendor"), "id", "version", "last_modified", "tombstone")
         out = one if out is None else out.union(one)
@@ -46,22 +46,26 @@ def vendor_stream_reads(spark, sf):
     path, held, sink = _store(spark, "stream"), new_path(spark, "state"), new_path(spark, "sink")
     stream = spark.readStream.schema(rows.schema).format(vendor.NAME).load(path)
     for k in range(4):
-        vendor.publish(rows.where(F.least(F.lit(3), F.floor(F.col("valid_from") / QUARTER)) == k), path, per_range=4096)
+        vendor.publish(rows.where(F.least(F.lit(3), F.floor(F.col("valid_from") / QUARTER)) == k), path)
         q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", held).trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.schema(rows.schema).parquet(sink).drop("valid_from")
 
 
+def _per_range(rows: DataFrame) -> int:
+    return max(RANGE, rows.count() // RANGES)
+
+
 def backfill_resumed(spark, sf):
     """A backfill whose first attempt commits two ranges and loses a third, whose second takes one
     more, and whose third finishes: by range its rows, how often it was read, the attempt that
     committed it and the watermark after that."""
     rows = fixtures.records(spark, sf).select("id", "last_modified")
-    folder, marks, read = new_path(spark, "backfill"), [], None
+    folder, size, marks, read = new_path(spark, "backfill"), _per_range(rows), [], None
     for k, (budget, fails) in enumerate(((2, 1), (1, None), (None, None)), 1):
-        left = backfill.plan(rows, folder, "last_modified", "id", RANGE).join(backfill.committed(spark, folder), "range", "left_anti").orderBy("range")
+        left = backfill.plan(rows, folder, "last_modified", "id", size).join(backfill.committed(spark, folder), "range", "left_anti").orderBy("range")
         tried = written((left if budget is None else left.limit(budget + (fails or 0))).select("range", F.lit(k).alias("attempt")), "tried")
-        backfill.attempt(rows, folder, "last_modified", "id", RANGE, budget, fails)
+        backfill.attempt(rows, folder, "last_modified", "id", size, budget, fails)
         read = tried if read is None else read.union(tried)
         marks.append(backfill.watermark(spark, folder, 0.0))
     done = read.groupBy("range").agg(F.count("*").alias("n_reads"), F.max("attempt").cast("long").alias("attempt"))
@@ -72,9 +76,9 @@ def backfill_resumed(spark, sf):
 def backfill_copy(spark, sf):
     """The copy that an interrupted backfill leaves once it was resumed."""
     rows = fixtures.records(spark, sf)
-    folder = new_path(spark, "backfill")
+    folder, size = new_path(spark, "backfill"), _per_range(rows)
     for budget, fails in ((1, 1), (2, 2), (None, None)):
-        backfill.attempt(rows, folder, "last_modified", "id", RANGE, budget, fails)
+        backfill.attempt(rows, folder, "last_modified", "id", size, budget, fails)
     return backfill.copied(spark, folder, rows.schema)
 
 
@@ -147,6 +151,7 @@ def stream_failure_runs(spark, sf):
 def stream_first_arrivals(spark, sf):
     """First deliveries of events, each remembered for two minutes after it."""
     sent = channel.deliveries(fixtures.mutations(spark, sf)).select("event_id", "seq", "arrival", _moment(F.col("arrival")).alias("at"))
+    sent = written(sent, "sent")
     with state.rocksdb(spark):
         return fed(spark, lambda s: state.first_arrivals(s, "event_id", "at", f"{LATE} seconds", KEPT * 1000), _parts(written(sent, "sent"), "arrival"))[0].select("event_id", "seq", "arrival")
 

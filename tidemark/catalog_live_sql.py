@@ -20,7 +20,7 @@ _RECS = "select id as k, '=' || id || '|=' || owner || '|=' || stage || '|=' ||
 _MUTS = "select seq as k, '=' || seq || '|=' || kind || '|=' || record_id || '|' || coalesce('=' || merged_into, '-') as row from mut"
 _SIDE = "select id as k, '=' || id || '|=' || version as row from "
 
-_RANGES = """ranges as (select (rn - 1) // 2000 as range, id from (select id, row_number() over (order by last_modified, id) as rn from rec)),
+_RANGES = """ranges as (select (rn - 1) // greatest(2000, n // 1000) as range, id from (select id, row_number() over (order by last_modified, id) as rn from rec), size),
 sized as (select range, count(*) as n from ranges group by range),
 tries as (select range, n, case when range < 2 then 1 when range = 2 then 2 else 3 end as attempt from sized)"""
 

@@ -22,17 +22,20 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 NAME = "tidemark_vendor"
+#: Rows of a range and ranges of a publication, if its caller doesn't say.
+LEAST, MOST = 4096, 10_000
 
 
-def publish(rows: DataFrame, path: str, stamp: str = "last_modified", key: str = "id", per_range: int = 1_000_000) -> None:
-    """Append rows to the store at ``path`` in ranges of about per_range rows in order of (stamp, key).
+def publish(rows: DataFrame, path: str, stamp: str = "last_modified", key: str = "id", per_range: int | None = None) -> None:
+    """Append rows to the store at ``path`` in ranges of about per_range rows in order of (stamp, key);
+    if null, of LEAST rows or so many more that there are MOST ranges.
 
     The listing of a publication is written after its ranges, so that a failed one isn't seen.
     """
-    spark, name = rows.sparkSession, uuid.uuid4().hex
-    ranges = -(-rows.count() // per_range)
-    if not ranges:
+    spark, name, n = rows.sparkSession, uuid.uuid4().hex, rows.count()
+    if not n:
         return
+    ranges = -(-n // (per_range or max(LEAST, n // MOST)))
     sorted_ = rows.repartitionByRange(ranges, stamp, key).sortWithinPartitions(stamp, key)
     sorted_.write.parquet(f"{path}/ranges/{name}")
     written = spark.read.schema(rows.schema).parquet(f"{path}/ranges/{name}")

@@ -29,7 +29,8 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 class FailureRuns(StatefulProcessor):
     """Rows (seq, down) of a subscription, in order of seq, to (key, seq, run, disabled): failures in
-    a row so far; after ``limit`` of them the subscription is disabled, and its run stays."""
+    a row so far; after ``limit`` of them the subscription is disabled, and its run stays. A batch's
+    rows of one subscription are put in order in memory: maxFilesPerTrigger bounds them."""
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
