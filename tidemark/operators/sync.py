@@ -67,15 +67,15 @@ def reads(versions: DataFrame, arms: DataFrame, interval: float, passes: int, ar
     first, last = held_passes(interval, passes)
     asks = arms.join(bounds(versions, arms, interval, passes, archived, failed), "arm")
     epsilon = F.when(F.col("inclusive"), 0.0).otherwise(EPSILON)
-    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-
-    def halve(s, _):
-        meets = F.col("last_modified") >= F.get("lowers", middle(s)) - F.col("overlap") + epsilon
-        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(meets, middle(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(meets, s["hi"]).otherwise(middle(s)).alias("hi")))
-
-    met = F.aggregate(F.sequence(F.lit(1), F.lit(passes.bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(passes).alias("hi")), halve)["lo"]
     rows = live.select("id", "version", "last_modified", "tombstone", first.alias("first"), last.alias("last")).where("first <= last").crossJoin(F.broadcast(asks))
-    rows = rows.withColumn("last", F.least(F.col("last"), met)).where("first <= last").withColumn("pass_no", F.explode(F.sequence("first", "last")))
+    # how many passes' bounds the stamp meets, by halving: a column a step, so that each is compiled
+    rows = rows.withColumn("met", F.lit(0))
+    for step in (1 << k for k in reversed(range(passes.bit_length()))):
+        bound = F.get("lowers", F.col("met") + (step - 1)) - F.col("overlap") + epsilon
+        rows = rows.withColumn("met", F.col("met") + F.when(F.col("last_modified") >= bound, step).otherwise(0))
+    upto = F.least(F.col("last"), F.col("met"))
+    read = F.when(F.col("first") <= upto, F.sequence("first", upto)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("pass_no", F.explode(read))
     return rows.select("arm", "pass_no", "id", "version", "last_modified", *["tombstone"] * archived)
 
 
