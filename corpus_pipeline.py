@@ -38,9 +38,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word Jaccard similarity of 0.8 or more stays.
 
-    At 0.8 about 15 % of a SimHash's bits differ, whatever its width; pigeonring keys for that
-    radius hold too few bits to tell documents apart, so that candidates come from bands of minima
-    and are compared by their shingles themselves. The row of the smallest doc_id stays, nulls last.
+    Fingerprints of 64 bits nominate pairs within four bits by pigeonring chains. At 0.8 about 15 % of
+    a SimHash's bits differ, whatever its width, and keys for that radius hold too few bits to tell
+    documents apart, so that bands of minima nominate what lies beyond. All candidates are compared
+    by their shingles themselves. The row of the smallest doc_id stays, nulls last.
     Null texts and texts without words are one group; a text under five words is one shingle. Rows
     of one doc_id are told apart by their contents.
     """
@@ -70,7 +71,7 @@ STAGES = [
     ("sentencepiece_encode", sentencepiece_encode),
 ]
 
-#: SQL can't express the classifier, the bands of minima, the mix's draws or the encoding.
+#: SQL can't express the classifier, fingerprints and bands of minima, the mix's draws or the encoding.
 ORACLE_SQL = None
 
 

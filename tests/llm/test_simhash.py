@@ -158,3 +158,23 @@ def test_pipeline_stage_matches_brute_force_jaccard(spark, monkeypatch, group):
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
     bits = simhash.keep_first(docs, 5, 4)
     assert bits.count() > len(want)  # one changed word in 100 is past four bits
+
+
+def test_pipeline_stage_takes_fingerprints_within_four_bits(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    for i in range(1, 40, 2):  # every second one is near the one before it, some are equal
+        fps[i] = fps[i - 1] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, i % 5, replace=False)))
+    classes = spark.createDataFrame([(i, int(f.view(np.int64))) for i, f in enumerate(fps)], "class long, fp long")
+    assert sorted({tuple(sorted(r)) for r in simhash.near_prints(classes, 4).collect()}) == [(i, i + 1) for i in range(0, 40, 2)]
+    # two texts that are near by their fingerprints and shingles but share no band
+    sets = [np.arange(100, dtype=np.uint64), np.arange(1, 101, dtype=np.uint64), np.arange(50, 150, dtype=np.uint64)]
+    keys = np.arange(3 * simhash.BANDS).reshape(3, -1)
+    assert simhash.similar_forest(sets, keys, np.array([7, 6, 5], dtype=np.uint64), 4, 0.8) == [(0, 1)]
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, tau: asked.append((prints.count(), tau)) or links(prints, tau))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (3, None)], "doc_id long, text string")
+    assert corpus_pipeline.simhash_near_dedup(spark, docs, "").count() == 3
+    assert asked == [(2, 4)]

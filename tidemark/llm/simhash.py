@@ -31,20 +31,25 @@ BUCKET = 4096
 SMALL = 64
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Bit b is set if it is set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     k = min(shingle, len(words))
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.array(
-        [hash_of(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())],
-        dtype=np.uint64,
-    )
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the shingles' hashes; 0 if there are none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -278,15 +283,7 @@ GROUP, GROUP_BYTES = 512, 16 << 20
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; none without words."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1])).tolist()
-    k = min(shingle, len(words))
-    hash_of = xxhash.xxh64_intdigest
-    return np.unique(np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -306,8 +303,9 @@ def bands(found: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similar_forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Places of links that connect what pairs sharing a band, of Jaccard least or more, connect."""
+def similar_forest(sets: list[np.ndarray], keys: np.ndarray, fps: np.ndarray, tau: int, least: float) -> list[tuple[int, int]]:
+    """Places of links that connect what pairs with fingerprints within tau bits or a band in common,
+    of Jaccard least or more, connect."""
     sizes = np.array([len(s) for s in sets])
     rest = np.arange(len(sets))
     queue: list[int] = []
@@ -316,7 +314,7 @@ def similar_forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> li
         if not queue:
             queue, rest = [int(rest[0])], rest[1:]
         here = queue.pop()
-        near = rest[(keys[rest] == keys[here]).any(axis=1)]
+        near = rest[(np.bitwise_count(fps[rest] ^ fps[here]) <= tau) | (keys[rest] == keys[here]).any(axis=1)]
         near = near[np.minimum(sizes[near], sizes[here]) >= least * np.maximum(sizes[near], sizes[here])]
         if not len(near):
             continue
@@ -329,33 +327,51 @@ def similar_forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> li
     return out
 
 
-def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_prints(classes: DataFrame, tau: int) -> DataFrame:
+    """Links (a, b) that connect the classes (class, fp) whose fingerprints differ in at most tau bits:
+    those of one fingerprint to its smallest class, and these by links()."""
+    prints = materialize(classes.groupBy("fp").agg(F.min("class").alias("a"), F.count("*").alias("n")), "prints")
+    same = classes.join(prints.where("n > 1"), "fp").where("a <> class").select("a", F.col("class").alias("b"))
+    one, other = prints.select(F.col("fp").alias("p"), "a"), prints.select(F.col("fp").alias("q"), F.col("a").alias("b"))
+    return same.union(links(prints.select("fp"), tau).toDF("p", "q").join(one, "p").join(other, "q").select("a", "b"))
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, tau: int = 4, least: float = 0.8) -> DataFrame:
     """(doc_id, h, component) per row of docs (doc_id, text, h): linked rows have one component.
 
     Rows with equal sets of shingles form a class; texts without words are one. Classes are linked
-    if the Jaccard similarity of their sets is least or more, by the sets themselves. Classes that
-    share a band with another form candidate groups, by links to each band's smallest class; each
+    if the Jaccard similarity of their sets is least or more, by the sets themselves. Candidates are
+    classes whose fingerprints pigeonring chains find within tau bits and, beyond that radius, those
+    that share a band with another, by links to each band's smallest class. They form groups; each
     group's texts, one of each class, come together once and are compared within. A group over
     GROUP documents or GROUP_BYTES is dealt out in pairs of chunks.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            sets = [shingles(t or b"", shingle) for t in column(batch, "text")]
-            keys = [bands(s) if len(s) else None for s in sets]
-            found = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], ["doc_id", "h", "class", "keys"])
+            named, fps, keys = [], [], []
+            for text in column(batch, "text"):
+                hashes = shingle_hashes(text or b"", shingle)
+                found = np.unique(hashes)
+                named.append(class_of(found))
+                fps.append(fingerprint_of(hashes))
+                keys.append(bands(found) if len(found) else None)
+            told = [pa.array(named, pa.int64()), pa.array(signed(np.array(fps, dtype=np.uint64))), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *told], ["doc_id", "h", "class", "fp", "keys"])
 
     texts = only(docs, "doc_id", "text", "h")
-    each = materialize(texts.mapInArrow(run, "doc_id long, h long, class long, keys array<long>"), "shingled")
-    classes = materialize(each.groupBy("class").agg(F.min("h").alias("rep"), F.first("keys").alias("keys")), "classes")
+    each = materialize(texts.mapInArrow(run, "doc_id long, h long, class long, fp long, keys array<long>"), "shingled")
+    classes = each.groupBy("class").agg(F.min("h").alias("rep"), F.min_by("fp", "h").alias("fp"), F.first("keys").alias("keys"))
+    classes = materialize(classes, "classes")
     keyed = classes.select(F.explode("keys").alias("key"), "class")
     pivots = keyed.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    met = materialize(keyed.join(pivots, "key").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "met")
+    banded = keyed.join(pivots, "key").where("a <> class").select("a", F.col("class").alias("b"))
+    printed = near_prints(classes.where("keys is not null").select("class", "fp"), tau)
+    met = materialize(printed.union(banded).distinct(), "met")
     groups = materialize(connected(met).toDF("class", "group").join(classes, "class"), "groups")
     # rows of one h are the same row again, so any of them will do
     own = texts.join(groups.select(F.col("rep").alias("h")).hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
-    members = materialize(groups.join(own, groups["rep"] == own["h"]).select("group", "class", "keys", "text"), "members")
+    members = materialize(groups.join(own, groups["rep"] == own["h"]).select("group", "class", "fp", "keys", "text"), "members")
     parts = members.groupBy("group").agg(
         F.ceil(F.greatest(F.count("*") / GROUP, F.sum(F.octet_length("text")) / GROUP_BYTES)).cast("int").alias("n")
     )
@@ -364,23 +380,23 @@ def similar_classes(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
         members.join(parts, "group")
         .withColumn("c", mine)
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("group", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "class", "keys", "text")
+        .select("group", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "class", "fp", "keys", "text")
     )
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles((text or "").encode(), shingle) for text in pdf["text"]]
         keys = np.array(pdf["keys"].tolist(), dtype=np.int64).reshape(-1, BANDS)
         names = pdf["class"].tolist()
-        links = similar_forest(sets, keys, least)
-        return pd.DataFrame({"a": [names[i] for i, _ in links], "b": [names[i] for _, i in links]}, dtype="int64")
+        found = similar_forest(sets, keys, pdf["fp"].to_numpy().view(np.uint64), tau, least)
+        return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[i] for _, i in found]}, dtype="int64")
 
     linked = materialize(dealt.groupBy("group", "lo", "hi").applyInPandas(pair, "a long, b long").distinct(), "pairs")
     found = connected(linked).toDF("class", "found")
     return each.join(found, "class", "left").select("doc_id", "h", F.coalesce("found", "class").alias("component"))
 
 
-def keep_first_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def keep_first_similar(docs: DataFrame, shingle: int = 5, tau: int = 4, least: float = 0.8) -> DataFrame:
     """docs without near-duplicates by Jaccard similarity of shingles: of each group of linked texts
     one row stays, as in keep_first(). Null texts are texts without words."""
     tagged = docs.select(F.col("doc_id"), F.col("text"), row_hash(docs).alias("h"))
-    return first_rows(docs, similar_classes(tagged, shingle, least))
+    return first_rows(docs, similar_classes(tagged, shingle, tau, least))
