@@ -153,7 +153,7 @@ def stream_first_arrivals(spark, sf):
     sent = channel.deliveries(fixtures.mutations(spark, sf)).select("event_id", "seq", "arrival", _moment(F.col("arrival")).alias("at"))
     sent = written(sent, "sent")
     with state.rocksdb(spark):
-        return fed(spark, lambda s: state.first_arrivals(s, "event_id", "at", f"{LATE} seconds", KEPT * 1000), _parts(written(sent, "sent"), "arrival"))[0].select("event_id", "seq", "arrival")
+        return fed(spark, lambda s: state.first_arrivals(s, "event_id", "at", f"{LATE} seconds", KEPT * 1000), _parts(sent, "arrival"))[0].select("event_id", "seq", "arrival")
 
 
 def _hints(spark, sf):
