@@ -131,6 +131,20 @@ def test_instants_meet_the_version_that_holds(spark):
     assert sorted(map(tuple, got.select("k", "t", "a", "b", "i").collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_only_hot_keys_go_by_cells(spark, monkeypatch):
+    """Overlaps and instants of keys with few and many versions; few ones are never put into cells."""
+    rng = random.Random(6)
+    versions = [(k, a, rng.choice([None, a + rng.uniform(0, 200)]), i) for k, n in ((1, 3), (2, asof.FEW), (3, asof.FEW + 1), (4, 1)) for i, a in enumerate(rng.uniform(0, 500) for _ in range(n))]
+    asked = [(k, rng.uniform(0, 600)) for k in (1, 2, 3, 5) for _ in range(20)]
+    cells = asof._cells
+    monkeypatch.setattr(asof, "_cells", lambda *a: F.array(F.struct(F.lit(0).alias("level"), F.raise_error(F.lit("cells")).cast("long").alias("cell"))) if few else cells(*a))
+    for few in (False, True):
+        own = [v for v in versions if v[0] != 3 or not few]
+        got = asof.join(spark.createDataFrame(asked, "k long, t double"), spark.createDataFrame(own, "k long, a double, b double, i long"), "k", "t", "a", "b", leaf=1.0, levels=4)
+        want = [(k, t, a, b, i) for k, t in asked for v, a, b, i in own if v == k and a <= t and (b is None or t < b)]
+        assert sorted(map(tuple, got.select("k", "t", "a", "b", "i").collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_store_survives_a_merge_that_dies(spark, monkeypatch):
     path = new_path(spark, "store")
     rows = lambda ids, v, x: spark.createDataFrame([(i, v, x) for i in ids], "k long, v long, x string")
@@ -182,6 +196,24 @@ def test_arrivals_are_forgotten_after_their_time(spark):
     assert progress[-1].stateOperators[0].numRowsTotal <= 4
 
 
+def test_arrivals_are_remembered_by_the_bucket(spark):
+    """However many keys there are, state has a few rows a bucket; one bucket gives what many do."""
+    rng = random.Random(4)
+    rows = [[(f"k{rng.randrange(p * 60, p * 60 + 90)}", 1000 + p * 300 + rng.randrange(300)) for _ in range(200)] for p in range(3)]
+    parts = [moments(spark, r, "k string, t long") for r in rows]
+    found = []
+    for buckets in (1, 7):
+        with state.rocksdb(spark):
+            out, progress = fed(spark, lambda s, n=buckets: state.first_arrivals(s, "k", "at", "5 seconds", 200_000, n), parts)
+        found.append(sorted((r.k, r.t) for r in out.collect()))
+        assert max(p.stateOperators[0].numRowsTotal for p in progress) <= 3 * buckets
+    assert found[0] == found[1]
+    first = {}
+    for k, t in rows[0]:
+        first[k] = min(t, first.get(k, t))
+    assert {k: t for k, t in found[0] if t < 1300} == first
+
+
 def test_a_disabled_subscription_stays_so_over_restarts(spark):
     rows = [(s, i, i >= 3 if s else i % 2 == 0) for i in range(12) for s in (0, 1)]
     parts = [spark.createDataFrame([r for r in rows if r[1] // 4 == k], "subscription long, seq long, down boolean") for k in range(3)]
