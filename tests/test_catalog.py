@@ -155,3 +155,27 @@ def test_deletions_asked_for_leave_fewer_ghosts(spark):
 def test_both_channels_miss_least(spark):
     missed = {r.arm: r.n_missed for r in catalog.QUERIES["channel_arms"](spark, SF).collect()}
     assert missed["both"] < missed["webhook"] < missed["poll"] and missed["both"] < missed["both_outage"]
+
+
+def test_first_reads_of_what_an_outage_leaves_against_brute_force(spark):
+    import random
+
+    from tidemark.operators import detect
+
+    rng = random.Random(9)
+    changes = [(i, rng.choice(["UPDATE", "DELETE"]), rng.randrange(4), float(rng.randrange(50)), i % 3 == 0) for i in range(120)]
+    hooks = [(rng.randrange(4), float(rng.randrange(60)), rng.random() < 0.5) for _ in range(60)]
+    polls, tells = ([(rng.randrange(4), float(rng.randrange(60))) for _ in range(n)] for n in (30, 10))
+    read = lambda rows, more="": spark.createDataFrame(rows, f"record_id long, at double{more}")
+    asked = spark.createDataFrame(changes, "seq long, kind string, record_id long, event_at double, last boolean")
+    rows = detect.first_reads(asked, read(hooks, ", left boolean"), read(polls), read(tells))
+    arms = spark.createDataFrame([("all", True, True, False), ("outage", True, True, True)], "arm string, hook boolean, poll boolean, outage boolean")
+    want = []
+    for seq, kind, record, t, last in changes:
+        first = lambda found: min((at for r, at, *_ in found if r == record and at >= t), default=None)
+        poll = first(tells if kind == "DELETE" else polls)
+        for arm, found in (("all", hooks), ("outage", [h for h in hooks if h[2]])):
+            times = [x for x in (first(found), poll) if x is not None and x <= 40.0]
+            want.append((arm, seq, min(times) - t if times else None, last))
+    got = detect.credited(rows, arms, 40.0, "last").select("arm", "seq", "latency", "last").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)

@@ -112,33 +112,29 @@ class _Channels:
         told = sync.deletions_told(_deaths(self.changes), self.versions, _one(spark), INTERVAL, PASSES, RETENTION)
         at = lambda df: df.select(F.col("id").alias("record_id"), (F.col("pass_no") * F.lit(INTERVAL)).alias("at"))
         self.polls, self.tells = at(self.read), at(told)
-        self.deliveries = channel.deliveries(self.changes)
-        sent = channel.first_seen(self.deliveries)
+        # each event's first delivery, how many there are, and whether the outage leaves it
+        sent = channel.deliveries(self.changes).groupBy("event_id").agg(F.min(F.struct("arrival", "copy", "record_id", "seq")).alias("x"), F.count("*").alias("n"))
         runs = channel.failure_runs(self.changes, *OUTAGE)
         off = runs.where(F.col("down") & (F.col("run") == DISABLE_AFTER)).agg(F.min("seq").alias("off"))
-        left = sent.crossJoin(F.broadcast(off)).where(~F.col("arrival").between(*OUTAGE) & (F.col("off").isNull() | (F.col("seq") < F.col("off"))))
-        self.hints = {False: sent, True: left.drop("off")}
+        left = ~F.col("arrival").between(*OUTAGE) & (F.col("off").isNull() | (F.col("seq") < F.col("off")))
+        sent = sent.select("x.*", "n").crossJoin(F.broadcast(off))
+        self.sent = written(sent.select("record_id", F.col("arrival").alias("at"), "n", left.alias("left")), "sent")
 
-    def credited(self, changes):
+    def credited(self, changes, *more):
         """(arm, seq, kind, latency, source) of changes for polls alone, webhooks alone, both, and
-        both with the outage."""
-        out = None
-        for outage, hints in self.hints.items():
-            arms = self.spark.createDataFrame([w[:3] for w in WAYS if w[3] == outage], "arm string, hook boolean, poll boolean")
-            rows = detect.first_reads(changes, hints.select("record_id", F.col("arrival").alias("at")), self.polls, self.tells)
-            one = detect.credited(rows, arms, HORIZON)
-            out = one if out is None else out.union(one)
-        return out
+        both with the outage; ``more`` names columns of changes to give too."""
+        arms = self.spark.createDataFrame(WAYS, "arm string, hook boolean, poll boolean, outage boolean")
+        return detect.credited(detect.first_reads(changes, self.sent.drop("n"), self.polls, self.tells), arms, HORIZON, *more)
 
     def calls(self):
         """(arm, calls, absorbed): pages and deletion calls of the polls, one call a hint, and the
         deliveries that dedup takes out."""
         pages = self.read.groupBy("pass_no").agg(F.floor(F.count("*") / PAGE).alias("full")).agg(F.coalesce(F.sum("full"), F.lit(0)).alias("full"))
         sums = pages.select((F.col("full") + 2 * PASSES).alias("polls"))
-        for outage, hints in self.hints.items():
-            n = hints.agg(F.count("*").alias(f"hints_{outage}"))
-            sent = self.deliveries.join(hints.select("event_id"), "event_id", "left_semi").agg(F.count("*").alias(f"sent_{outage}"))
-            sums = sums.crossJoin(n).crossJoin(sent)  # of one row each
+        left = lambda c: F.coalesce(F.sum(F.when(F.col("left"), F.col(c))), F.lit(0))
+        n = self.sent.withColumn("one", F.lit(1)).agg(
+            F.count("*").alias("hints_False"), F.coalesce(F.sum("n"), F.lit(0)).alias("sent_False"), left("one").alias("hints_True"), left("n").alias("sent_True"))
+        sums = sums.crossJoin(n)  # of one row each
         hint = lambda name, hook, outage: F.col(f"{name}_{outage}") if hook else F.lit(0)
         rows = [F.struct(F.lit(arm).alias("arm"), (F.col("polls") * int(poll) + hint("hints", hook, outage)).cast("long").alias("calls"),
                          (hint("sent", hook, outage) - hint("hints", hook, outage)).cast("long").alias("absorbed")) for arm, hook, poll, outage in WAYS]
@@ -147,20 +143,22 @@ class _Channels:
 
 def _credited(spark, sf):
     channels = _Channels(spark, sf)
-    return written(channels.credited(channels.changes), "credited")
+    return written(channels.credited(channels.changes.select("seq", "kind", "record_id", "event_at")), "credited")
 
 
 def channel_arms(spark, sf):
     """Per arm: changes detected and by what, latencies, records whose last change isn't in the copy
     at the end, calls, and duplicate deliveries absorbed."""
     channels = _Channels(spark, sf)
-    each = written(channels.credited(channels.changes), "credited")
+    last = scan.as_of(channels.versions, HORIZON).where("valid_from >= 0")
+    last = last.select("seq", F.when(F.col("tombstone"), "DELETE").otherwise("UPDATE").alias("kind"), F.col("id").alias("record_id"), F.col("valid_from").alias("event_at"), F.lit(True).alias("last"))
+    asked = channels.changes.select("seq", "kind", "record_id", "event_at", F.lit(False).alias("last")).union(last)
+    both = written(channels.credited(asked, "last"), "credited")
+    each = both.where("not last")
     counts = each.groupBy("arm").agg(
         F.count("*").alias("n_changes"), F.count("latency").alias("n_detected"), (F.count("*") - F.count("latency")).alias("n_missed"),
         F.count_if(F.col("source") == "webhook").alias("by_webhook"), F.count_if(F.col("source") == "poll").alias("by_poll"), F.max("latency").alias("max_latency"))
-    last = scan.as_of(channels.versions, HORIZON).where("valid_from >= 0")
-    last = last.select("seq", F.when(F.col("tombstone"), "DELETE").otherwise("UPDATE").alias("kind"), F.col("id").alias("record_id"), F.col("valid_from").alias("event_at"))
-    wrong = channels.credited(last).groupBy("arm").agg(F.count_if(F.col("latency").isNull()).alias("wrong"))
+    wrong = both.where("last").groupBy("arm").agg(F.count_if(F.col("latency").isNull()).alias("wrong"))
     middle = percentiles(each.where("latency is not null"), ["arm"], "latency", [50, 95]).drop("n")
     return counts.join(middle, "arm", "left").join(wrong, "arm", "left").join(channels.calls(), "arm", "left")
 

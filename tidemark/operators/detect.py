@@ -12,28 +12,36 @@ from pyspark.sql import functions as F
 
 
 def first_reads(changes: DataFrame, hooks: DataFrame, polls: DataFrame, tells: DataFrame) -> DataFrame:
-    """changes (seq, kind, record_id, event_at) with hook_at and poll_at, the first time that
-    hooks (record_id, at) and polls (record_id, at) read the record at or after the change; a
-    deletion's or merge's poll_at is the first time that tells (record_id, at) names the record.
+    """changes (seq, kind, record_id, event_at and others) with hook_at and poll_at, the first time
+    that hooks (record_id, at) and polls (record_id, at) read the record at or after the change; a
+    deletion's or merge's poll_at is the first time that tells (record_id, at) names the record. If
+    hooks have ``left``, left_at is the first time of those where it is true.
 
-    One window per record over all of them in order of time: no change meets a read in a join.
+    One window per record over all of them in order of time, latest first, so that each row adds one
+    read to what is known: no change meets a read in a join.
     """
-    log = changes.select("record_id", F.col("event_at").alias("t"), F.lit(0).alias("what"), "seq", "kind")
+    more = [c for c in changes.columns if c not in ("seq", "kind", "record_id", "event_at")]
+    log = changes.select("record_id", F.col("event_at").alias("t"), F.lit(0).alias("what"), "seq", "kind", *more)
+    names = ["hook", "poll", "tell", *["left"] * ("left" in hooks.columns)]
     for name, df in (("hook", hooks), ("poll", polls), ("tell", tells)):
-        log = log.unionByName(df.select("record_id", F.col("at").alias("t"), F.lit(1).alias("what"), F.col("at").alias(name)), allowMissingColumns=True)
-    later = Window.partitionBy("record_id").orderBy("t", "what").rowsBetween(0, Window.unboundedFollowing)
-    seen = log.select("*", *(F.min(n).over(later).alias(f"{n}_at") for n in ("hook", "poll", "tell"))).where("what = 0")
+        told = [F.when(F.col("left"), F.col("at")).alias("left")] if "left" in df.columns else []
+        log = log.unionByName(df.select("record_id", F.col("at").alias("t"), F.lit(1).alias("what"), F.col("at").alias(name), *told), allowMissingColumns=True)
+    later = Window.partitionBy("record_id").orderBy(F.desc("t"), F.desc("what")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.select("*", *(F.min(n).over(later).alias(f"{n}_at") for n in names)).where("what = 0")
     dead = F.col("kind").isin("DELETE", "MERGE")
-    return seen.select("seq", "kind", "record_id", F.col("t").alias("event_at"), "hook_at", F.when(dead, F.col("tell_at")).otherwise(F.col("poll_at")).alias("poll_at"))
+    poll = F.when(dead, F.col("tell_at")).otherwise(F.col("poll_at")).alias("poll_at")
+    return seen.select("seq", "kind", "record_id", F.col("t").alias("event_at"), "hook_at", poll, *(f"{n}_at" for n in names[3:]), *more)
 
 
-def credited(reads: DataFrame, arms: DataFrame, horizon: float) -> DataFrame:
+def credited(reads: DataFrame, arms: DataFrame, horizon: float, *more: str) -> DataFrame:
     """(arm, seq, kind, latency, source) of each change under each of arms (arm, hook, poll): the
     earlier of the reads that the arm has, a hint first if both come at once; nulls if neither
-    comes within the horizon."""
+    comes within the horizon. Of arms with ``outage`` true, left_at counts instead of hook_at.
+    ``more`` names columns of reads to give too."""
     both = reads.crossJoin(F.broadcast(arms))
-    hook = F.when(F.col("hook") & (F.col("hook_at") <= horizon), F.col("hook_at"))
+    hinted = F.when(F.col("outage"), F.col("left_at")).otherwise(F.col("hook_at")) if "outage" in arms.columns else F.col("hook_at")
+    hook = F.when(F.col("hook") & (hinted <= horizon), hinted)
     poll = F.when(F.col("poll") & (F.col("poll_at") <= horizon), F.col("poll_at"))
     at = F.least(hook, poll)
     source = F.when(hook.isNotNull() & (hook == at), "webhook").when(at.isNotNull(), "poll")
-    return both.select("arm", "seq", "kind", (at - F.col("event_at")).alias("latency"), source.alias("source"))
+    return both.select("arm", "seq", "kind", (at - F.col("event_at")).alias("latency"), source.alias("source"), *more)
